@@ -155,17 +155,16 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for name in ("ta", "tb"):
-                body, off = X.flat(batch.column(name))
-                sets.append(shingle_sets(body, off, size))
-            (xa, oa), (xb, ob) = sets
+            (ba, fa), (bb, fb) = (X.flat(batch.column(name)) for name in ("ta", "tb"))
             keep = np.zeros(batch.num_rows, bool)
-            for r in range(batch.num_rows):
-                a, b = xa[oa[r] : oa[r + 1]], xb[ob[r] : ob[r + 1]]
-                if len(a) and len(b) and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep[r] = 100 * both >= percent * (len(a) + len(b) - both)
+            for lo, hi in X.slices(fa + fb, 1 << 20):
+                xa, oa = shingle_sets(ba[fa[lo] : fa[hi]], fa[lo : hi + 1] - fa[lo], size)
+                xb, ob = shingle_sets(bb[fb[lo] : fb[hi]], fb[lo : hi + 1] - fb[lo], size)
+                for r in range(hi - lo):
+                    a, b = xa[oa[r] : oa[r + 1]], xb[ob[r] : ob[r + 1]]
+                    if len(a) and len(b) and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        keep[lo + r] = 100 * both >= percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     return run
@@ -175,9 +174,10 @@ def _shingle_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = X.flat(batch.column("text"))
-            sets, at = shingle_sets(body, off, size)
-            n = np.diff(at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], names=["doc_id", "n", "shingle"])
+            for lo, hi in X.slices(off, 1 << 20):
+                sets, at = shingle_sets(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                n = np.diff(at)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(lo, hi), n))), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], names=["doc_id", "n", "shingle"])
 
     return run
 

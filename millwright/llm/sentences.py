@@ -108,27 +108,30 @@ def _span_rows(run_length: int, least_words: int):
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     for batch in batches:
-        body, off = X.flat(batch.column("text"))
-        start, end, _, first = sentences(body, off)
-        data = body.tobytes()
-        out: list[list] = [[], [], [], [], []]
-        for k, found in enumerate(batch.column("spans").to_pylist()):
-            n = int(first[k + 1] - first[k])
-            gone = np.zeros(n, bool)
-            for s in found or ():
-                gone[s >> 24 : (s >> 24) + ((s >> 1) & 0x7FFFFF)] = True
-            lo, hi = int(off[k]), int(off[k + 1])
-            # a removed sentence goes with the blanks behind it
-            begins = np.append(start[first[k] : first[k + 1]], hi)
-            kept = [data[lo : begins[0]]] + [data[begins[i] : begins[i + 1]] for i in range(n) if not gone[i]]
-            text = b"".join(kept)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-            for col, v in zip(out, (n, int(gone.sum()), hi - lo - len(text), [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])], text.decode())):
-                col.append(v)
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-        types = (pa.int64(), pa.int64(), pa.int64(), kind, pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "n_sentences", "n_removed", "n_bytes_removed", "removed", "kept"])
+        whole, offsets = X.flat(batch.column("text"))
+        spans = batch.column("spans").to_pylist()
+        for r0, r1 in X.slices(offsets, 1 << 20):
+            body, off = whole[offsets[r0] : offsets[r1]], offsets[r0 : r1 + 1] - offsets[r0]
+            start, _, _, first = sentences(body, off)
+            data = body.tobytes()
+            out: list[list] = [[], [], [], [], []]
+            for k, found in enumerate(spans[r0:r1]):
+                n = int(first[k + 1] - first[k])
+                gone = np.zeros(n, bool)
+                for s in found or ():
+                    gone[s >> 24 : (s >> 24) + ((s >> 1) & 0x7FFFFF)] = True
+                lo, hi = int(off[k]), int(off[k + 1])
+                # a removed sentence goes with the blanks behind it
+                begins = np.append(start[first[k] : first[k + 1]], hi)
+                kept = [data[lo : begins[0]]] + [data[begins[i] : begins[i + 1]] for i in range(n) if not gone[i]]
+                text = b"".join(kept)
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+                for col, v in zip(out, (n, int(gone.sum()), hi - lo - len(text), [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])], text.decode())):
+                    col.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), kind, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r0, r1 - r0), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "n_sentences", "n_removed", "n_bytes_removed", "removed", "kept"])
 
 
 def remove_repeated_spans(docs: DataFrame, run: int = 3, least_words: int = 20) -> DataFrame:

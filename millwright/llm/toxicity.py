@@ -22,7 +22,8 @@ from millwright.llm import textops as X
 from millwright.llm.common import held_out, staged
 from millwright.llm.quality import labelled_rows
 
-TERMS, BLOCK, LEAST_DOCS = 512, 128, 3
+TERMS, BLOCK, LEAST_DOCS = 512, 128, 5
+LEAST_RATIO = 10.0  # log-likelihood ratio: about one chance term in 100,000 gets there
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x80:] = 1
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
@@ -36,20 +37,21 @@ def terms(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of every term in the batch, in all and in toxic examples."""
+    """Document counts of every term in a slice of rows, in all and in toxic examples."""
     for batch in batches:
         body, off = X.flat(batch.column("text"))
-        word, first = terms(body, off)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        order = np.lexsort((row, word))
-        word, row = word[order], row[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
-        word, row = word[new], row[new]
-        toxic = batch.column("label").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-        at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(word[at].view(np.int64)), pa.array(np.diff(np.append(at, len(word)))), pa.array(np.add.reduceat(toxic, at) if len(at) else toxic[:0])], names=["term", "n", "t"])
+        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo, hi in X.slices(off, 1 << 21):
+            word, first = terms(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            row = np.repeat(np.arange(lo, hi), np.diff(first))
+            order = np.lexsort((row, word))
+            word, row = word[order], row[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+            word, toxic = word[new], label[row[new]]
+            at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+            n, t = np.diff(np.append(at, len(word))), np.add.reduceat(toxic, at) if len(at) else toxic[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), pa.array(n), pa.array(t)], names=["term", "n", "t"])
 
 
 def term_counts(space: np.ndarray, body: np.ndarray, offsets: np.ndarray):
@@ -127,10 +129,11 @@ def _examples(space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = X.flat(batch.column("text"))
-            row, term, count = term_counts(space, body, off)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, count)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "terms", "counts"])
+            for lo, hi in X.slices(off, 1 << 21):
+                row, term, count = term_counts(space, body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, count)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "label")] + lists, names=["doc_id", "label", "terms", "counts"])
 
     return run
 
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Exampl
 
     n, t, N, P = F.col("n"), F.col("t"), F.lit(float(max(total, 1))), F.lit(float(toxic))
     ratio = xlogx(t, n * P / N) + xlogx(n - t, n * (N - P) / N) + xlogx(P - t, (N - n) * P / N) + xlogx(N - P - n + t, (N - n) * (N - P) / N)
-    chosen = found.withColumn("g", ratio).where("g > 3").orderBy(F.desc("g"), "term").limit(TERMS).select("term", "n").collect() if 0 < toxic < total else []
+    chosen = found.withColumn("g", ratio).where(F.col("g") > LEAST_RATIO).orderBy(F.desc("g"), "term").limit(TERMS).select("term", "n").collect() if 0 < toxic < total else []
     space = np.array([r[0] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(space)
     space = space[order]
