@@ -8,11 +8,12 @@ join sets with 100 * |A & B| >= percent * |A | B|, confirmed on the full sets.
    rows (order, values) are range-sorted; neighbours whose common prefix is ``LEAST`` values or
    more become candidates, and so does the first row of such a region.  Two sets of similarity s
    miss each other in all orders with probability (1 - s**5)**26: 3e-5 at 0.8, 2.4e-7 at 0.85, 2e-10 at 0.9.
-3. Round one confirms each document's best candidate (longest common prefixes in sum).  Regions
-   whose rows are then all in one component are done, however large.
-4. Regions that still mix components go deeper: small ones compare all their cross-component
-   members, large ones meet by the rarest shingles of the exact prefix filter (two sets of the
-   wanted similarity share one of the n - ceil(0.85 n) + 1 rarest shingles).  No partner is capped.
+3. Candidates are confirmed in rounds, and a pair already in one component is not looked at again:
+   each document's best candidate (longest common prefixes in sum), then the other candidates, then
+   each mixed region's members against its best-linked one.
+4. Regions that still mix components go deeper: every row outside the region's main component is
+   compared with all its rows by whole signatures, in blocks, and what agrees within five standard
+   deviations of the threshold is confirmed.  No partner is capped.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from millwright.llm.components import components
 
 TREES, LEAST, DEEP = 26, 5, 5
 VALUES = TREES * LEAST
-SMALL_REGION = 32
+REGION_BLOCK = 2000  # rows of a region that one task compares with its open rows
 SEPARATORS = b" \t\n\x0b\x0c\r"
 _WORD = X.class_table(SEPARATORS)
 _rng = np.random.default_rng(20240229)
@@ -170,14 +171,31 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _shingle_rows(size: int):
+def _close(percent: int):
+    """Blocks of a region come sorted, open rows first; pairs of an open row with any row of another
+    component whose signatures agree often enough (five deviations below the threshold)."""
+    p = percent / 100
+    least = VALUES * (p - 5 * (p * (1 - p) / VALUES) ** 0.5)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asks, tables = None, [], None
         for batch in batches:
-            body, off = X.flat(batch.column("text"))
-            for lo, hi in X.slices(off, 1 << 20):
-                sets, at = shingle_sets(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
-                n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(lo, hi), n))), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], names=["doc_id", "n", "shingle"])
+            out: set[tuple[int, int]] = set()
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, VALUES)
+            cols = [batch.column(c).to_pylist() for c in ("region", "block", "ask", "doc_id", "label")]
+            for k, (region, part, ask, doc, label) in enumerate(zip(*cols)):
+                if (region, part) != block:
+                    block, asks, tables = (region, part), [], None
+                if ask:
+                    asks.append((doc, label, sig[k]))
+                    continue
+                if not asks:
+                    continue
+                if tables is None:
+                    tables = np.array([a[0] for a in asks]), np.array([a[1] for a in asks]), np.array([a[2] for a in asks])
+                for other in tables[0][(tables[1] != label) & ((tables[2] == sig[k]).sum(axis=1) >= least)].tolist():
+                    out.add((min(doc, other), max(doc, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sorted(out)], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -216,32 +234,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         return staged(two.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long"), "links")
 
+    def label(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
+        named = labels.select(F.col("node").alias(col), F.col("label").alias("_l"))
+        return df.join(named, col, "left").withColumn(out, F.coalesce("_l", col)).drop("_l")
+
+    def open_pairs(df: DataFrame, labels: DataFrame) -> DataFrame:
+        return label(label(df, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("depth", -F.col("a"))).alias("a"))
     links = confirmed(best)
     labels = staged(components(links), "labels")
+    links = links.unionByName(confirmed(open_pairs(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")))
+    labels = staged(components(links), "labels")
 
-    def label(df: DataFrame, col: str, out: str) -> DataFrame:
-        named = labels.select(F.col("node").alias(col), F.col("label").alias("_l"))
-        return df.join(named, col, "left").withColumn(out, F.coalesce("_l", col)).drop("_l")
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Members of the regions that hold several components, with the rows of the region."""
+        rows = label(regions, labels, "doc_id", "label")
+        some = rows.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
+        return rows.join(some.select("region", "rows"), "region")
+
+    regions = staged(members.distinct(), "regions")
+    now = staged(mixed(labels), "mixed")
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    hub = now.join(degree, "doc_id", "left").groupBy("region").agg(F.max_by(F.struct("doc_id", "label"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("doc_id"))).alias("hub"))
+    spokes = now.join(hub, "region").where("label <> hub.label").select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+    links = staged(links.unionByName(confirmed(spokes.join(pairs, ["a", "b"], "left_anti"))), "links")
+    labels = staged(components(links), "labels")
 
-    cross = label(label(pairs.select("a", "b"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
-    cross = cross.join(best, ["a", "b"], "left_anti")
-    region = label(members.distinct(), "doc_id", "label")
-    mixed = region.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
-    mixed = staged(region.join(mixed.select("region", "rows"), "region"), "mixed")
-    small = mixed.where(F.col("rows") <= SMALL_REGION)
-    l, r = (small.select("region", F.col("doc_id").alias(k), F.col("label").alias("l" + k)) for k in "ab")
-    within = l.join(r, "region").where("a < b and la <> lb").select("a", "b")
-    large = mixed.where(F.col("rows") > SMALL_REGION).select("doc_id", "label").distinct()
-    rare = texts.join(large.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_rows(size), "doc_id long, n long, shingle long")
-    freq = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("f", "shingle"))
-    rare = rare.join(freq, "shingle").withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("f > 1")
-    rare = rare.join(large, "doc_id").select("shingle", "doc_id", "label")
-    l, r = (rare.select("shingle", F.col("doc_id").alias(k), F.col("label").alias("l" + k)) for k in "ab")
-    deeper = l.join(r, "shingle").where("a < b and la <> lb").select("a", "b")
-    more = cross.unionByName(within).unionByName(deeper).distinct()
-    links = links.unionByName(confirmed(more))
+    now = staged(mixed(labels), "mixed")
+    parts = now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
+    blocks = F.ceil(F.col("rows") / REGION_BLOCK).cast("int")
+    now = now.join(parts, "region").join(reps.select("doc_id", "sig"), "doc_id")
+    rest = now.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("ask", F.lit(True))
+    every = now.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("ask", F.lit(False))
+    cols = ["region", "block", "ask", "doc_id", "label", "sig"]
+    close = rest.select(*cols).unionByName(every.select(*cols)).repartition("region", "block").sortWithinPartitions("region", "block", F.desc("ask"))
+    close = close.mapInArrow(_close(percent), "a long, b long").distinct()
+    links = links.unionByName(confirmed(close.join(pairs.select("a", "b").unionByName(spokes).distinct(), ["a", "b"], "left_anti")))
     same_id = some.groupBy("n", "s1", "s2", "doc_id").agg(F.count(F.lit(1)).alias("c")).drop("c")
     final = components(links.unionByName(same_id.join(reps.select("n", "s1", "s2", F.col("doc_id").alias("b")), ["n", "s1", "s2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
