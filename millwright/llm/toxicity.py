@@ -22,7 +22,7 @@ from millwright.llm import textops as X
 from millwright.llm.common import held_out, staged
 from millwright.llm.quality import labelled_rows
 
-TERMS, BLOCK, LEAST_DOCS = 512, 128, 5
+TERMS, BLOCK, LEAST_DOCS = 512, 512, 5
 LEAST_RATIO = 10.0  # log-likelihood ratio: about one chance term in 100,000 gets there
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x80:] = 1

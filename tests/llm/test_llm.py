@@ -166,15 +166,15 @@ def test_toxicity_held_out(spark):
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
-    rows = [np.sort(rng.choice(30, rng.integers(1, 6), replace=False)) for _ in range(900)]
-    row = np.repeat(np.arange(900), [len(r) for r in rows])
+    rows = [np.sort(rng.choice(30, rng.integers(1, 6), replace=False)) for _ in range(3000)]
+    row = np.repeat(np.arange(3000), [len(r) for r in rows])
     term = np.concatenate(rows)
     count = rng.integers(1, 4, len(term))
     idf = rng.random(30) + 1
-    index = toxicity.Examples(np.arange(30, dtype=np.uint64), idf, 0.1, np.arange(900) * 7 % 1000, rng.integers(0, 2, 900).astype(float), row, term, count)
-    dense = np.zeros((900, 30))
+    index = toxicity.Examples(np.arange(30, dtype=np.uint64), idf, 0.1, np.arange(3000) * 7 % 3001, rng.integers(0, 2, 3000).astype(float), row, term, count)
+    dense = np.zeros((3000, 30))
     dense[row, term] = toxicity._weights(row, term, count, idf)
-    docs = np.arange(900) * 7 % 1000
+    docs = np.arange(3000) * 7 % 3001
     for q in range(60):
         value = dense[q][dense[q] > 0]
         place, score = index.nearest(np.flatnonzero(dense[q]), value, 10)
