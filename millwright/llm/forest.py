@@ -12,8 +12,9 @@ join sets with 100 * |A & B| >= percent * |A | B|, confirmed on the full sets.
    each document's best candidate (longest common prefixes in sum), then the other candidates, then
    each mixed region's members against its best-linked one.
 4. Regions that still mix components go deeper: every row outside the region's main component is
-   compared with all its rows by whole signatures, in blocks, and what agrees within five standard
-   deviations of the threshold is confirmed.  No partner is capped.
+   compared with all its rows by whole signatures, in blocks; the rows of pairs that agree within five
+   standard deviations of the threshold are dealt out again with their texts, and links are confirmed
+   inside the blocks, so that pairs never leave a task.  No partner is capped.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from millwright.llm.components import components
 
 TREES, LEAST, DEEP = 26, 5, 5
 VALUES = TREES * LEAST
-REGION_BLOCK = 2000  # rows of a region that one task compares with its open rows
+REGION_BLOCK, ASK_BLOCK = 1000, 2000  # rows, and open rows, of a region that one task compares
 SEPARATORS = b" \t\n\x0b\x0c\r"
 _WORD = X.class_table(SEPARATORS)
 _rng = np.random.default_rng(20240229)
@@ -162,44 +163,92 @@ def _confirm(size: int, percent: int):
                 xa, oa = shingle_sets(ba[fa[lo] : fa[hi]], fa[lo : hi + 1] - fa[lo], size)
                 xb, ob = shingle_sets(bb[fb[lo] : fb[hi]], fb[lo : hi + 1] - fb[lo], size)
                 for r in range(hi - lo):
-                    a, b = xa[oa[r] : oa[r + 1]], xb[ob[r] : ob[r + 1]]
-                    if len(a) and len(b) and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        keep[lo + r] = 100 * both >= percent * (len(a) + len(b) - both)
+                    keep[lo + r] = _linked(xa[oa[r] : oa[r + 1]], xb[ob[r] : ob[r + 1]], percent)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     return run
 
 
-def _close(percent: int):
-    """Blocks of a region come sorted, open rows first; pairs of an open row with any row of another
-    component whose signatures agree often enough (five deviations below the threshold)."""
+def _tree(region: int, sig: np.ndarray) -> int:
+    """The order whose region this is, found from any of its rows."""
+    for t in range(TREES):
+        head = bytes([t]) + sig[LEAST * t : LEAST * (t + 1)].tobytes()
+        if int.from_bytes(_region(head), "little", signed=True) == region:
+            return t
+    return -1
+
+
+def _close(percent: int, size: int = 0):
+    """Blocks of a region come sorted, open rows first.  An open row and a row of another component are
+    close if their signatures agree often enough (five deviations below the threshold); such a pair
+    belongs to the first order whose head they share.  Without ``size`` the rows of close pairs come
+    out; with it their sets are compared, and one link for each open row and component comes out."""
     p = percent / 100
     least = VALUES * (p - 5 * (p * (1 - p) / VALUES) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, asks, tables = None, [], None
+        block, asks, tables, tree, linked = None, [], None, -1, set()
         for batch in batches:
-            out: set[tuple[int, int]] = set()
+            out: set[tuple] = set()
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(-1, VALUES)
-            cols = [batch.column(c).to_pylist() for c in ("region", "block", "ask", "doc_id", "label")]
-            for k, (region, part, ask, doc, label) in enumerate(zip(*cols)):
-                if (region, part) != block:
-                    block, asks, tables = (region, part), [], None
+            sets: list = [None] * batch.num_rows
+            if size:
+                body, off = X.flat(batch.column("text"))
+                for lo, hi in X.slices(off, 1 << 20):
+                    x, at = shingle_sets(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                    sets[lo:hi] = [x[at[r] : at[r + 1]] for r in range(hi - lo)]
+            cols = [batch.column(c).to_pylist() for c in ("region", "block", "part", "ask", "doc_id", "label")]
+            for k, (region, *place, ask, doc, label) in enumerate(zip(*cols)):
+                if (region, place) != block:
+                    block, asks, tables, tree, linked = (region, place), [], None, _tree(region, sig[k]), set()
                 if ask:
-                    asks.append((doc, label, sig[k]))
+                    asks.append((doc, label, sig[k], sets[k]))
                     continue
                 if not asks:
                     continue
                 if tables is None:
-                    tables = np.array([a[0] for a in asks]), np.array([a[1] for a in asks]), np.array([a[2] for a in asks])
-                for other in tables[0][(tables[1] != label) & ((tables[2] == sig[k]).sum(axis=1) >= least)].tolist():
-                    out.add((min(doc, other), max(doc, other)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sorted(out)], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    tables = np.array([a[1] for a in asks]), np.array([a[2] for a in asks])
+                same = tables[1] == sig[k]
+                near = np.flatnonzero((tables[0] != label) & (same.sum(axis=1) >= least))
+                near = near[same[near].reshape(len(near), TREES, LEAST).all(axis=2).argmax(axis=1) == tree] if len(near) else near
+                for i in near.tolist():
+                    other = asks[i][0]
+                    if not size:
+                        out.update(((region, doc, False), (region, other, True)))
+                    elif (i, label) not in linked and _linked(asks[i][3], sets[k], percent):
+                        linked.add((i, label))
+                        out.add((min(doc, other), max(doc, other)))
+            names = ["a", "b"] if size else ["region", "doc_id", "ask"]
+            kinds = [pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(len(names))], names=names)
 
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _dealt(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows (``ask``: open rows as such) dealt into blocks that hold each open row with each row once."""
+    n = rows.groupBy("region").agg(F.count_if("ask").alias("asks"), F.count_if(~F.col("ask")).alias("rows")).where("asks > 0 and rows > 0")
+    blocks, parts = (F.ceil(F.col(c) / size).cast("int") for c, size in (("rows", REGION_BLOCK), ("asks", ASK_BLOCK)))
+    rows = rows.join(n.select("region", blocks.alias("blocks"), parts.alias("parts")), "region")
+
+    def own(count: str) -> Column:
+        return F.array(F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int"))
+
+    def each(count: str) -> Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    rows = rows.withColumn("block", F.explode(F.when(F.col("ask"), each("blocks")).otherwise(own("blocks"))))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("ask"), own("parts")).otherwise(each("parts"))))
+    return rows.select("region", "block", "part", "ask", *cols).repartition("region", "block", "part").sortWithinPartitions("region", "block", "part", F.desc("ask"), "doc_id")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest linked id), kept.
 
@@ -263,14 +312,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     now = staged(mixed(labels), "mixed")
     parts = now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
-    blocks = F.ceil(F.col("rows") / REGION_BLOCK).cast("int")
-    now = now.join(parts, "region").join(reps.select("doc_id", "sig"), "doc_id")
-    rest = now.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("ask", F.lit(True))
-    every = now.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("ask", F.lit(False))
-    cols = ["region", "block", "ask", "doc_id", "label", "sig"]
-    close = rest.select(*cols).unionByName(every.select(*cols)).repartition("region", "block").sortWithinPartitions("region", "block", F.desc("ask"))
-    close = close.mapInArrow(_close(percent), "a long, b long").distinct()
-    links = links.unionByName(confirmed(close.join(pairs.select("a", "b").unionByName(spokes).distinct(), ["a", "b"], "left_anti")))
+    now = now.join(parts, "region").select("region", "doc_id", "label", F.explode(F.when(F.col("label") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("ask"))
+    signatures = reps.select("doc_id", "sig")
+    close = _dealt(now.join(signatures, "doc_id"), ["doc_id", "label", "sig"]).mapInArrow(_close(percent), "region long, doc_id long, ask boolean")
+    close = staged(close.distinct(), "close").join(now, ["region", "doc_id", "ask"])
+    close = close.join(signatures, "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    links = links.unionByName(_dealt(close, ["doc_id", "label", "sig", "text"]).mapInArrow(_close(percent, size), "a long, b long").distinct())
     same_id = some.groupBy("n", "s1", "s2", "doc_id").agg(F.count(F.lit(1)).alias("c")).drop("c")
     final = components(links.unionByName(same_id.join(reps.select("n", "s1", "s2", F.col("doc_id").alias("b")), ["n", "s1", "s2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
