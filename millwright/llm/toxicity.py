@@ -1,16 +1,19 @@
-"""Operator 5: toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-1. A bounded sample of labelled rows (``sample_rows``) gives the examples.  The terms that tell the labels
-   apart best (``TERMS`` at most, by likelihood ratio of document counts) span the vector space.
-2. The examples' inverted index is cut into blocks of ``BLOCK`` examples.  Each block knows the largest
-   weight of every term in it.  A query takes blocks by descending upper bound and stops when no
-   block can reach its k-th best cosine, so the k nearest are exact; ties go to the smaller id.
-3. The neighbours vote by cosine, shrunk towards the share of toxic examples among those that hold
-   none of the terms, which is also the score of a text without any.  Neighbours are the evidence.
+"""Operator 5: toxicity by the nearest labelled examples under exact weighted TF-IDF cosine.
+
+1. A bounded sample of labelled rows (``sample_rows``) gives the examples.  Every term of an example is
+   indexed.  A term weighs its idf, times one plus the log-likelihood ratio of its document counts by
+   label; equal examples count once.  A term that no example holds has the idf of count 0.  Norms are
+   over all terms of a text.
+2. A query's cosine with every example is summed in single precision: the ``DENSE`` commonest terms by
+   matrix product, the others by inverted lists.  Whatever comes within the rounding error of the k-th
+   best is summed again in double precision, so the k nearest are exact; ties go to the smaller id.
+3. The neighbours vote by cosine, shrunk towards the share of toxic examples, which is also the score of
+   a text that shares no term with any.  Neighbours are the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,8 @@ from millwright.llm import textops as X
 from millwright.llm.common import held_out, staged
 from millwright.llm.quality import labelled_rows
 
-TERMS, BLOCK, LEAST_DOCS = 512, 512, 5
-LEAST_RATIO = 10.0  # log-likelihood ratio: about one chance term in 100,000 gets there
+DENSE, QUERIES = 256, 32  # terms, and queries, of one matrix product
+SLACK = (DENSE + 8) * 2.0**-22  # twice the error of a cosine in single precision, and some more
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x80:] = 1
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
@@ -36,134 +39,148 @@ def terms(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return X.span_hash(X.prefix_hash(low), start, end), first
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of every term in a slice of rows, in all and in toxic examples."""
-    for batch in batches:
-        body, off = X.flat(batch.column("text"))
-        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-        for lo, hi in X.slices(off, 1 << 21):
-            word, first = terms(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            row = np.repeat(np.arange(lo, hi), np.diff(first))
-            order = np.lexsort((row, word))
-            word, row = word[order], row[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
-            word, toxic = word[new], label[row[new]]
-            at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-            n, t = np.diff(np.append(at, len(word))), np.add.reduceat(toxic, at) if len(at) else toxic[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), pa.array(n), pa.array(t)], names=["term", "n", "t"])
-
-
-def term_counts(space: np.ndarray, body: np.ndarray, offsets: np.ndarray):
-    """Sparse counts of the chosen terms: (row, term number, count), sorted."""
+def bags(body: np.ndarray, offsets: np.ndarray):
+    """Sparse counts of all terms: (row, term hash, count), sorted."""
     word, first = terms(body, offsets)
-    if not len(word) or not len(space):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    p = np.minimum(np.searchsorted(space, word), len(space) - 1)
-    hit = np.flatnonzero(space[p] == word)
-    row = np.searchsorted(first, hit, side="right") - 1
-    key, count = np.unique(row * len(space) + p[hit], return_counts=True)
-    return key // len(space), key % len(space), count
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((word, row))
+    word, row = word[order], row[order]
+    at = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])))) if len(word) else np.zeros(0, np.int64)
+    return row[at], word[at], np.diff(np.append(at, len(word)))
 
 
-def _weights(row, term, count, idf):
-    """TF-IDF values of unit length by row."""
-    value = (1 + np.log(count)) * idf[term]
+def _unit(row, value):
+    """Values of unit length by row."""
     norm = np.sqrt(np.bincount(row, value * value, int(row.max()) + 1 if len(row) else 0))
     return value / norm[row] if len(row) else value
 
 
+def _weights(row, term, count, idf):
+    """TF-IDF values of unit length by row."""
+    return _unit(row, (1 + np.log(count)) * idf[term])
+
+
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of all ranges end to end."""
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Examples:
-    """Block-max inverted index over the examples that hold a chosen term."""
-
-    def __init__(self, space, idf, prior, doc, label, row, term, count):
-        self.space, self.idf, self.prior = space, idf, prior
-        value = _weights(row, term, count, idf)
-        # like examples into one block, so that block bounds are tight
-        lead = np.full(len(doc), len(space))
-        best = np.zeros(len(doc))
-        for r, t, v in zip(row, term, value):
-            if v > best[r]:
-                best[r], lead[r] = v, t
-        place = np.argsort(np.lexsort((doc, -best, lead)))
-        order = np.argsort(place)
-        self.doc, self.label = doc[order], label[order]
-        p = place[row]
-        s = np.lexsort((p, term, p // BLOCK))
-        self.p, self.v = (p % BLOCK)[s], value[s]
-        block, term = (p // BLOCK)[s], term[s]
-        self.blocks = int(block.max()) + 1 if len(block) else 0
-        cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])))) if len(block) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(block))
-        self.lists = {(int(block[a]), int(term[a])): (int(a), int(b)) for a, b in zip(cut, ends)}
-        self.most = np.zeros((len(space), max(1, self.blocks)))
-        np.maximum.at(self.most, (term, block), self.v)
+    """The examples as sparse rows; a worker builds lists and matrix when it first needs them."""
+
+    def __init__(self, space, idf, prior, doc, label, row, term, count, unseen: float = 1.0):
+        self.space, self.idf, self.prior, self.unseen = space, idf, prior, unseen
+        self.doc, self.label = doc, label
+        self.at = np.searchsorted(row, np.arange(len(doc) + 1))
+        self.term, self.count = term.astype(np.int32), count.astype(np.min_scalar_type(int(count.max()) if len(count) else 0))
+        self.ready = False
+
+    def _build(self) -> None:
+        row = np.repeat(np.arange(len(self.doc)), np.diff(self.at))
+        self.value = _weights(row, self.term, self.count.astype(np.int64), self.idf)
+        held = np.bincount(self.term, minlength=len(self.space))
+        self.column = np.full(len(self.space), -1)
+        most = np.argsort(-held, kind="stable")[:DENSE]
+        self.column[most] = np.arange(len(most))
+        self.matrix = np.zeros((len(most), len(self.doc)), np.float32)
+        at = self.column[self.term]
+        self.matrix[at[at >= 0], row[at >= 0]] = self.value[at >= 0]
+        order = np.flatnonzero(at < 0)
+        order = order[np.argsort(self.term[order], kind="stable")]
+        held[most] = 0
+        self.lists = np.concatenate(([0], np.cumsum(held)))
+        self.p, self.v = row[order].astype(np.int32), self.value[order].astype(np.float32)
+        self.query = np.zeros(len(self.space))
+        self.ready = True
 
     def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places of the k nearest examples, cosines), best first; places with cosine 0 never."""
-        bound = value @ self.most[term]
-        place, score = np.zeros(0, np.int64), np.zeros(0)
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, v in zip(term.tolist(), value.tolist()):
-                if (span := self.lists.get((int(b), t))) is not None:
-                    acc[self.p[span[0] : span[1]]] += v * self.v[span[0] : span[1]]
-            at = np.flatnonzero(acc > max(0.0, least - 1e-12))
-            if len(at):
-                place, score = np.concatenate((place, at + b * BLOCK)), np.concatenate((score, acc[at]))
-                best = np.lexsort((self.doc[place], -np.round(score, 12)))[:k]
-                place, score = place[best], score[best]
-                if len(score) == k:
-                    least = score[-1]
-        return place, score
+        return next(self.nearest_all(np.array([0, len(term)]), term, value, k))
+
+    def nearest_all(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of many queries, whose terms lie end to end."""
+        if not self.ready:
+            self._build()
+        for q in range(0, len(first) - 1, QUERIES):
+            ends = first[q : q + QUERIES + 1]
+            t, v = term[ends[0] : ends[-1]], value[ends[0] : ends[-1]]
+            row, column = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), self.column[t]
+            lead = np.zeros((len(ends) - 1, len(self.matrix)), np.float32)
+            lead[row[column >= 0], column[column >= 0]] = v[column >= 0]
+            sums = lead @ self.matrix
+            for i in range(len(ends) - 1):
+                part = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+                yield self._best(t[part], v[part], sums[i], k)
+
+    def _best(self, term, value, total, k):
+        size = self.lists[term + 1] - self.lists[term]
+        at = _ranges(self.lists[term], size)
+        if len(at):
+            total = total + np.bincount(self.p[at], np.repeat(value, size) * self.v[at], len(total))
+        least = np.partition(total, len(total) - k)[len(total) - k] - SLACK if len(total) > k else 0.0
+        place = np.flatnonzero((total > 0) & (total >= least))
+        size = self.at[place + 1] - self.at[place]
+        at = _ranges(self.at[place], size)
+        self.query[term] = value
+        score = np.bincount(np.repeat(np.arange(len(place)), size), self.value[at] * self.query[self.term[at]], len(place))
+        self.query[term] = 0
+        best = np.lexsort((self.doc[place], -np.round(score, 12)))[:k]
+        return place[best], score[best]
 
     def vote(self, place: np.ndarray, score: np.ndarray, shrink: float) -> float:
         return float((score @ self.label[place] + shrink * self.prior) / (score.sum() + shrink))
 
 
-def _examples(space):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, off = X.flat(batch.column("text"))
-            for lo, hi in X.slices(off, 1 << 21):
-                row, term, count = term_counts(space, body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "label")] + lists, names=["doc_id", "label", "terms", "counts"])
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        body, off = X.flat(batch.column("text"))
+        for lo, hi in X.slices(off, 1 << 21):
+            row, term, count = bags(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            at = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (term.view(np.int64), count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "label")] + lists, names=["doc_id", "label", "terms", "counts"])
 
-    return run
+
+def _ratio(n, t, total: float, toxic: float) -> np.ndarray:
+    """Log-likelihood ratio of terms in n examples, t of them toxic."""
+
+    def xlogx(o, e):
+        some = o > 0
+        return np.where(some, o * np.log(np.where(some, o, 1) / np.where(some, e, 1)), 0.0)
+
+    clean, rest = total - toxic, total - n
+    both = xlogx(t, n * toxic / total) + xlogx(n - t, n * clean / total)
+    return np.maximum(0, both + xlogx(toxic - t, rest * toxic / total) + xlogx(clean - n + t, rest * clean / total))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Examples:
-    """The index over at most ``sample_rows`` examples, each with ``TERMS`` counts at most."""
+    """The index over at most ``sample_rows`` examples; its size is that of their distinct terms."""
     rows = labelled_rows(docs, labels, "toxic", sample_rows).select("doc_id", "label", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = staged(rows, "examples")
-    total, toxic = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), F.sum("label")).first())
-    found = rows.mapInArrow(_counts, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST_DOCS)
-
-    def xlogx(o, e):
-        return F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
-
-    n, t, N, P = F.col("n"), F.col("t"), F.lit(float(max(total, 1))), F.lit(float(toxic))
-    ratio = xlogx(t, n * P / N) + xlogx(n - t, n * (N - P) / N) + xlogx(P - t, (N - n) * P / N) + xlogx(N - P - n + t, (N - n) * (N - P) / N)
-    chosen = found.withColumn("g", ratio).where(F.col("g") > LEAST_RATIO).orderBy(F.desc("g"), "term").limit(TERMS).select("term", "n").collect() if 0 < toxic < total else []
-    space = np.array([r[0] for r in chosen], np.int64).view(np.uint64)
-    order = np.argsort(space)
-    space = space[order]
-    idf = np.log((1 + total) / (1 + np.array([r[1] for r in chosen], float)[order])) + 1 if chosen else np.zeros(0)
-    held = rows.mapInArrow(_examples(space), "doc_id long, label int, terms array<int>, counts array<int>").orderBy("doc_id").collect()
-    without = [r[1] for r in held if not r[2]]
-    prior = (sum(without) + toxic / max(total, 1)) / (len(without) + 1) if held else 0.5
-    held = [r for r in held if r[2]]
-    size = [len(r[2]) for r in held]
-    row = np.repeat(np.arange(len(held)), size)
-    term = np.array([t for r in held for t in r[2]], np.int64)
-    count = np.array([c for r in held for c in r[3]], np.int64)
-    return Examples(space, idf, prior, np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float), row, term, count)
+    found = staged(rows.mapInArrow(_examples, "doc_id long, label int, terms array<long>, counts array<int>"), "examples").toArrow()
+    doc, label = (found.column(c).to_numpy().astype(t) for c, t in (("doc_id", np.int64), ("label", float)))
+    size = found.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    word, count = (found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
+    del found
+    order = np.lexsort((size, label, doc))
+    at = _ranges((np.cumsum(size) - size)[order], size[order])
+    doc, label, size, word, count = doc[order], label[order], size[order], word[at].view(np.uint64), count[at]
+    prior = float(label.mean()) if len(label) else 0.5
+    ends = np.cumsum(size)
+    # equal examples count once
+    known: dict[bytes, int] = {}
+    lead = np.array([known.setdefault(_key(word[b - n : b], count[b - n : b]), r) == r for r, (b, n) in enumerate(zip(ends.tolist(), size.tolist()))], bool)
+    space, term = np.unique(word, return_inverse=True)
+    row = np.repeat(np.arange(len(doc)), size)
+    once = lead[row]
+    n = np.bincount(term[once], minlength=len(space)).astype(float)
+    t = np.bincount(term[once], label[row[once]], len(space))
+    total, toxic = float(lead.sum()), float(label[lead].sum())
+    weight = (np.log((1 + total) / (1 + n)) + 1) * (1 + _ratio(n, t, total, toxic)) if len(space) else np.zeros(0)
+    return Examples(space, weight, prior, doc, label, row, term, count, np.log(1 + total) + 1)
+
+
+def _key(word: np.ndarray, count: np.ndarray) -> bytes:
+    return hashlib.blake2b(word.tobytes() + count.astype(np.int64).tobytes(), digest_size=16).digest()
 
 
 def _score(shared, k: int, shrink: float):
@@ -172,17 +189,24 @@ def _score(shared, k: int, shrink: float):
         for batch in batches:
             scores, evidence = np.full(batch.num_rows, index.prior), [[] for _ in range(batch.num_rows)]
             body, off = X.flat(batch.column("text"))
-            known: dict[bytes, tuple[float, list]] = {}  # equal vectors are looked up once a batch
-            for lo, hi in X.slices(off, 1 << 20):
-                row, term, count = term_counts(index.space, body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                value = _weights(row, term, count, index.idf)
-                cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else []
-                for a, b in zip(cut, [*cut[1:], len(row)]):
-                    key = term[a:b].tobytes() + count[a:b].tobytes()
-                    if key not in known:
-                        place, score = index.nearest(term[a:b], value[a:b], k)
-                        known[key] = (index.vote(place, score, shrink), [{"doc_id": int(index.doc[p]), "toxic": int(index.label[p]), "cosine": float(s)} for p, s in zip(place, score)])
-                    scores[lo + row[a]], evidence[lo + row[a]] = known[key]
+            known: dict[bytes, tuple[float, list]] = {}  # equal texts are looked up once a batch
+            for lo, hi in X.slices(off, 1 << 20) if len(index.space) else ():
+                row, word, count = bags(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                p = np.minimum(np.searchsorted(index.space, word), len(index.space) - 1)
+                hit = index.space[p] == word
+                value = _unit(row, (1 + np.log(count)) * np.where(hit, index.idf[p], index.unseen))
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                keys = [_key(word[a:b], count[a:b]) if a < b else b"" for a, b in zip(cut[:-1], cut[1:])]
+                ask = {key: r for r, key in enumerate(keys) if key and key not in known}
+                use = hit & np.isin(row, np.fromiter(ask.values(), np.int64, len(ask)))
+                at = np.concatenate(([0], np.cumsum(use)))
+                asked = np.array([*sorted(ask.values())], np.int64)
+                first = np.append(at[cut[asked]], at[-1])
+                for r, (place, score) in zip(asked.tolist(), index.nearest_all(first, p[use], value[use], k)):
+                    known[keys[r]] = (index.vote(place, score, shrink), [{"doc_id": int(index.doc[x]), "toxic": int(index.label[x]), "cosine": float(s)} for x, s in zip(place, score)])
+                for r, key in enumerate(keys):
+                    if key:
+                        scores[lo + r], evidence[lo + r] = known[key]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores), pa.array(evidence, kind)], names=[*keep, "score", "evidence"])

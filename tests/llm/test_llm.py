@@ -184,6 +184,36 @@ def test_nearest_is_exact():
         assert np.allclose(score, cosine[want])
 
 
+def test_every_term_counts(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(5, 60))) + (f" bad{k % 4}" if k % 5 == 0 else f" only{k}") for k in range(900)]
+    texts += [texts[1], texts[2] + " unheard of", "", "never seen words", "bad0 " + " ".join(f"w{n}" for n in range(300, 380))]
+    docs = frame(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(900)], "doc_id long, quality int, toxic int")
+    train = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1]
+    bag = [{w: t.split().count(w) for w in t.split()} for t in texts]
+    held = list({tuple(sorted(bag[k].items())): k for k in train}.values())
+    N, P = len(held), sum(k % 5 == 0 for k in held)
+
+    def weight(w):
+        n, t = sum(w in bag[k] for k in held), sum(w in bag[k] and k % 5 == 0 for k in held)
+        cells = ((t, n * P), (n - t, n * (N - P)), (P - t, (N - n) * P), (N - P - n + t, (N - n) * (N - P)))
+        return (np.log((1 + N) / (1 + n)) + 1) * (1 + max(0.0, sum(o * np.log(o * N / e) for o, e in cells if o)))
+
+    weights = {w: weight(w) for w in {w for b in bag for w in b}}
+    vectors = [{w: (1 + np.log(c)) * weights[w] for w, c in b.items()} for b in bag]
+    vectors = [{w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for v in vectors]
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for q, v in enumerate(vectors):
+        if q % 9 and q < 900:
+            continue
+        near = sorted((-round(sum(x * vectors[k].get(w, 0) for w, x in v.items()), 9), k) for k in train)
+        near = [x for x in near if x[0] < 0][:10]
+        assert np.allclose([e.cosine for e in got[q].evidence], [-c for c, _ in near]), q
+        shrunk = 0.5 * sum(k % 5 == 0 for k in train) / len(train)
+        assert np.isclose(got[q].score, (sum(-c for c, k in near if k % 5 == 0) + shrunk) / (sum(-c for c, _ in near) + 0.5))
+
+
 # 4
 
 
