@@ -3,7 +3,9 @@
 A sentence ends after ``. ! ?`` (and what follows up to the next blank) or at a line end.  From every
 sentence the span of ``run`` consecutive sentences that starts there is hashed (128 bits, over the
 trimmed sentences); a span short of ``least_words`` words grows by further sentences until it has
-them, so that runs of one-word sentences do not count.  The spans join globally on their hash; the one
+them, so that runs of one-word sentences do not count.  Fewer sentences are a span
+if they have ``few_words`` words.  Spans up to a sentence are added where needed, so that a repeated run of
+whole sentences with ``long_words`` words (over 50) is covered whole, whatever its sentence lengths.  The spans join globally on their hash; the one
 with the smallest (document, position) is the first, and every sentence covered by a span that is
 not the first of its hash is removed.  Spans may start anywhere, so overlapping repeats are found.
 
@@ -70,7 +72,25 @@ def spans(words: np.ndarray, first: np.ndarray, run: int, least_words: int):
     return np.where(end <= stop, end, -1)
 
 
-def _span_rows(run_length: int, least_words: int):
+def all_spans(words: np.ndarray, first: np.ndarray, run: int, least_words: int, few_words: int, long_words: int):
+    """(starts, ends): ``spans``, the runs of fewer sentences with ``few_words`` words, and runs up to a
+    sentence where they are needed so that the spans inside any run of ``long_words`` words cover it whole."""
+    n = len(words)
+    low, stop = (np.repeat(x, np.diff(first)) for x in (first[:-1], first[1:]))
+    end = spans(words, first, run, least_words)
+    total = np.concatenate(([0], np.cumsum(words)))
+    ahead = np.searchsorted(total, total[:-1] + few_words, side="left")
+    a, b = np.flatnonzero(end >= 0), np.flatnonzero((ahead <= stop) & ((end < 0) | (ahead < end)))
+    # the last start of a span that ends at a sentence: no span up to there is needed besides
+    last = np.full(n + 1, -1)
+    np.maximum.at(last, end[a], a)
+    np.maximum.at(last, ahead[b], b)
+    back = np.searchsorted(total, total[1:] - long_words, side="right") - 1
+    c = np.flatnonzero((back >= low) & (last[1:] < back))
+    return np.concatenate((a, b, back[c])), np.concatenate((end[a], ahead[b], c + 1))
+
+
+def _span_rows(run_length: int, *least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = X.flat(batch.column("text"))
@@ -78,8 +98,7 @@ def _span_rows(run_length: int, least_words: int):
             for lo, hi in X.slices(off, 1 << 20):
                 b, o = body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 start, end, words, first = sentences(b, o)
-                to = spans(words, first, run_length, least_words)
-                at = np.flatnonzero(to >= 0)
+                at, to = all_spans(words, first, run_length, *least)
                 if not len(at):
                     continue
                 one = X.span_hash(X.prefix_hash(b), start, end)
@@ -88,9 +107,9 @@ def _span_rows(run_length: int, least_words: int):
                     p = np.zeros(len(h) + 1, np.uint64)
                     pw, inv = X.powers(len(h) + 1)
                     np.cumsum(h * pw[: len(h)], out=p[1:])
-                    hashes.append(X.mix64((p[to[at]] - p[at]) * inv[at]))
+                    hashes.append(X.mix64((p[to] - p[at]) * inv[at]))
                 row = np.searchsorted(first, at, side="right") - 1
-                parts.append((row + lo, at - first[row], to[at] - at, *hashes))
+                parts.append((row + lo, at - first[row], to - at, *hashes))
             if not parts:
                 continue
             row, at, size, h1, h2 = (np.concatenate(x) for x in zip(*parts))
@@ -134,14 +153,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r0, r1 - r0), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "n_sentences", "n_removed", "n_bytes_removed", "removed", "kept"])
 
 
-def remove_repeated_spans(docs: DataFrame, run: int = 3, least_words: int = 20) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, run: int = 3, least_words: int = 20, few_words: int = 30, long_words: int = 51) -> DataFrame:
     """Per row: doc_id, n_sentences, n_removed, n_bytes_removed, removed (sentence spans), kept (text).
 
     Null text counts as empty.  The order of documents is (doc_id, a hash of the text), a null id
     first.  Rows that repeat both are one document and come out alike, as often as they came in.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = docs.mapInArrow(_span_rows(run, least_words), "doc_id long, tag long, h1 long, h2 long, span long")
+    found = docs.mapInArrow(_span_rows(run, least_words, few_words, long_words), "doc_id long, tag long, h1 long, h2 long, span long")
     found = found.withColumn("least", F.min(F.struct("doc_id", "tag", F.shiftright("span", 24))).over(W.partitionBy("h1", "h2")))
     first = F.struct("doc_id", "tag", F.shiftright("span", 24)).eqNullSafe(F.col("least"))
     found = found.where((F.col("span").bitwiseAND(1) == 1) | ~first)

@@ -273,6 +273,35 @@ def test_sentence_spans(spark):
     assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got} == want
 
 
+def brute_covered(docs, long):
+    """Docs as lists of sentences: for each how many lie in a repeated run of ``long`` words or more."""
+    seen, out = set(), []
+    for s in docs:
+        gone, own = [False] * len(s), []
+        for p in range(len(s)):
+            for e in range(p + 1, len(s) + 1):
+                n = sum(len(x.split()) for x in s[p:e])
+                if n >= long:
+                    own.append((p, e))
+                    if tuple(s[p:e]) in seen:
+                        gone[p:e] = [True] * (e - p)
+        seen |= {tuple(s[p:e]) for p, e in own}
+        out.append(sum(gone))
+    return out
+
+
+def test_long_sentences(spark):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n)) + "."
+    pool = [[sentence(n) for n in sizes] for sizes in ([60], [45, 12], [12, 45], [60, 5], [5, 60], [60, 1, 1, 1], [1, 1, 1, 60], [20, 20, 20, 1, 1, 1, 1], [25, 26], [8] * 7)]
+    short, middle = [sentence(20)], [sentence(35)]
+    docs = [[sentence(4), *p, sentence(3)] for p in pool] + [[sentence(2), *p, sentence(5)] for p in pool] + [pool[0], pool[0], pool[1], short, short, middle, middle]
+    got = {r.doc_id: r.n_removed for r in sentences.remove_repeated_spans(frame(spark, [(k, " ".join(d)) for k, d in enumerate(docs)])).collect()}
+    want = brute_covered(docs, 51)
+    assert want[10:23] == [len(p) for p in pool] + [1, 1, 2]
+    assert [got[k] for k in range(len(docs))] == [*want[:-2], 0, 1]
+
+
 # 7
 
 
