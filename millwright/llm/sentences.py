@@ -9,7 +9,7 @@ whole sentences with ``long_words`` words (over 50) is covered whole, whatever i
 with the smallest (document, position) is the first, and every sentence covered by a span that is
 not the first of its hash is removed.  Spans may start anywhere, so overlapping repeats are found.
 
-A batch sends one span of each hash to the hash's task (its own later copies are repeats by
+A batch sends its first span of each hash to the hash's task (its own later copies are repeats by
 themselves), so a line that is in every document costs one row for each batch.
 """
 
@@ -115,10 +115,16 @@ def _span_rows(run_length: int, *least: int):
             row, at, size, h1, h2 = (np.concatenate(x) for x in zip(*parts))
             doc = batch.column("doc_id").take(pa.array(row))
             ids = doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            order = np.lexsort((at, ids, h2, h1))
-            again = np.zeros(len(row), bool)
+            tags = batch.column("tag").to_numpy(zero_copy_only=False)[row]
+            order = np.lexsort((at, tags, ids, h2, h1))
             a, b = order[:-1], order[1:]
-            again[b] = (h1[a] == h1[b]) & (h2[a] == h2[b])
+            new = np.ones(len(row), bool)
+            new[1:] = (h1[a] != h1[b]) | (h2[a] != h2[b])
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+            # a repeated row's same place is no repeat, and says nothing new
+            other = (ids[order] != ids[lead]) | (tags[order] != tags[lead]) | (at[order] != at[lead])
+            order, again = order[new | other], other[new | other]
+            row, at, size, h1, h2, doc = row[order], at[order], size[order], h1[order], h2[order], doc.take(pa.array(order))
             h1 = np.where(again, X.mix64(h1 + np.arange(len(row), dtype=np.uint64)), h1)
             yield pa.RecordBatch.from_arrays(
                 [doc, batch.column("tag").take(pa.array(row)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((at << 24 | size << 1 | again))], names=["doc_id", "tag", "h1", "h2", "span"])

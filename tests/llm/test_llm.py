@@ -302,6 +302,19 @@ def test_long_sentences(spark):
     assert [got[k] for k in range(len(docs))] == [*want[:-2], 0, 1]
 
 
+def test_repeated_rows_in_one_batch(spark):
+    text = " ".join(f"Sentence {k} holds words a{k} b{k} c{k} d{k}." for k in range(6))
+    other = text + " One more sentence here."
+    for rows in ([(1, text), (1, text)], [(None, text), (None, text), (2, "Short.")], [(1, text), (1, other), (1, text), (2, text)]):
+        got = sentences.remove_repeated_spans(frame(spark, rows).coalesce(1)).collect()
+        apart = sentences.remove_repeated_spans(frame(spark, rows).repartition(len(rows) * 3)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, apart))
+        assert len(got) == len(rows) and max(r.n_sentences - r.n_removed for r in got) >= 6
+        ids = {r.doc_id for r in got}
+        if len(rows) == 2:
+            assert ids == {1} and all(r.n_removed == 0 and r.kept == text for r in got)
+
+
 # 7
 
 
