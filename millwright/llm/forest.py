@@ -140,7 +140,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prev = (key, doc)
         yield _found(out)
     if first:
-        yield _found([(2, part, first[1], 0, first[0]), (3, part, prev[1], 0, prev[0])])
+        # the outer rows' regions may run on in other partitions, so they are members in any case
+        ends = [(1, int.from_bytes(_region(key), "little", signed=True), doc, 0, None) for key, doc in (first, prev)]
+        yield _found([(2, part, first[1], 0, first[0]), (3, part, prev[1], 0, prev[0]), *ends])
 
 
 def _region(key: bytes) -> bytes:

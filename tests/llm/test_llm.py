@@ -138,6 +138,18 @@ def test_near_duplicates_mixed_region(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 85)
 
 
+def test_region_members_at_partition_ends(spark):
+    key = lambda region, deep: bytes([0]) + bytes([region]) * (4 * forest.LEAST) + bytes([deep]) * (2 * forest.DEEP)
+    parts = [[(key(1, 0), 1), (key(2, 0), 2)], [(key(2, 1), 3), (key(2, 2), 4), (key(3, 0), 5)], [(key(3, 1), 6)], [(key(3, 2), 7), (key(4, 0), 8), (key(4, 1), 9)]]
+    sorted_rows = spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda x: x)
+    found = spark.createDataFrame(sorted_rows, "key binary, doc_id long").mapInArrow(forest._neighbours, "kind int, a long, b long, depth int, key binary").collect()
+    members = {}
+    for r in found:
+        if r.kind == 1:
+            members.setdefault(r.a, set()).add(r.b)
+    assert sorted(sorted(m) for m in members.values() if len(m) > 1) == [[2, 3, 4], [5, 6, 7], [8, 9]]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 103), (103, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
