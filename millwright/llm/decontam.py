@@ -165,8 +165,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     An item of fewer than ``window`` words, but not none, is one window.  Null text has no words.
     Items with a null id are left out; rows that repeat an item count once.  An empty benchmark
-    leaves all documents clean.  Where several blocks are needed, rows that repeat both id and text
-    come out once.
+    leaves all documents clean.  Rows that repeat both id and text come out alike, as often as they
+    came in.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id long, tag long, n_words long, hits {_HIT}, matches {_MATCH}"
@@ -176,8 +176,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.groupBy("doc_id", "tag").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("matches")).alias("matches"))
-    merged = out.select("doc_id", "tag", "n_words", "hits", "matches")
+    out = out.groupBy("doc_id", "tag").agg(F.max("n_words").alias("n_words"), F.collect_set("hits").alias("hits"), F.flatten(F.collect_set("matches")).alias("matches"), (F.count(F.lit(1)) / len(parts)).cast("long").alias("copies"))
+    merged = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return merged.select("doc_id", "tag", "n_words", F.flatten("hits").alias("hits"), "matches").withColumn("hits", F.array("hits")).mapInArrow(_joined, schema)
 
 

@@ -416,6 +416,18 @@ def test_decontamination(spark):
     assert longest == len(base[10:200].split()) - 1  # the last word is cut in the item
 
 
+def test_decontamination_blocks_alike(spark):
+    base = awkward()[0][1]
+    bench = spark.createDataFrame([(k, base[10 + 9 * k : 200 + 9 * k], "x") for k in range(6)], "item_id long, text string, doc_id string")
+    docs = frame(spark, [*awkward(), (2, base), (None, base), (7, "one")])
+
+    def found(block_bytes):
+        rows = decontam.contamination(docs, bench, block_bytes=block_bytes).collect()
+        return sorted(str((r.doc_id, r.tag, r.n_words, r.hits, sorted(r.matches))) for r in rows)
+
+    assert found(300) == found(16 << 20)
+
+
 # 9
 
 
