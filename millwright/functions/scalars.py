@@ -14,14 +14,21 @@ AT_MACHINE = "설비"
 LOCATION_WORDS = [("수리", "repair"), ("폐기", "retired"), ("불용", "retired")]
 TIME_FORMATS = ["yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy.M.d H:m:s", "yyyy.M.d H:m", "yyyy.M.d", "yyyy/M/d H:m:s", "yyyy/M/d"]
 TOOL_SHAPE = r"^#?[A-Za-z]{1,3}\d{4,}$"
+# Times of a process log: the formats above, and with fractions of a second or an offset.
+LOG_TIMES = [*TIME_FORMATS, "yyyy-M-d'T'H:m", "yyyy-M-d H:m:s.SSS", "yyyy-M-d'T'H:m:s.SSS", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d H:m:sXXX", "yyyy-M-d'T'H:m:sXXX", "yyyy/M/d H:m", "yyyyMMdd", "yyyyMMddHHmmss", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy"]
 
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(c), r"^[\s\u00A0\u3000]+|[\s\u00A0\u3000]+$", "")
+
+
 def _blank_to_null(c: Column) -> Column:
-    c = F.regexp_replace(c, r"^\s+|\s+$", "")
+    c = stripped(c)
     return F.when(c != "", c)
 
 
@@ -40,18 +47,18 @@ def cell_to_text(cell_type, text, num, ts, flag) -> Column:
 
 def normalize_text(c) -> Column:
     """F2."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"[\s\u00A0\u3000]+", " ")))
 
 
 def normalize_tool(c) -> Column:
     """tool id without leading #, upper case; total words and blanks are null."""
-    t = F.upper(F.trim(F.regexp_replace(F.trim(_c(c)), "^#+", "")))
+    t = F.upper(stripped(F.regexp_replace(stripped(c), "^#+", "")))
     return F.when((t != "") & ~F.lower(t).isin(NOT_A_TOOL), t)
 
 
 def is_tool_name(c) -> Column:
     """F4."""
-    return F.coalesce(F.trim(_c(c)).rlike(TOOL_SHAPE), F.lit(False))
+    return F.coalesce(stripped(c).rlike(TOOL_SHAPE), F.lit(False))
 
 
 def normalize_status(c) -> Column:
@@ -71,13 +78,18 @@ def status_from_location(c) -> Column:
 
 def to_float(c) -> Column:
     """commas dropped, a percent sign divides by 100, anything else is null (also 1_000, inf, nan)."""
-    t = F.regexp_replace(F.trim(_c(c)), ",", "")
+    t = F.regexp_replace(stripped(c), ",", "")
     percent = t.endswith("%")
-    body = F.trim(F.regexp_replace(t, "%$", ""))
-    value = F.when(body.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), body.try_cast("double"))
+    value = plain_number(F.regexp_replace(t, "%$", ""))
     return F.when(percent, value / 100).otherwise(value)
 
 
+def plain_number(c) -> Column:
+    """A number as digits, point and exponent; what only some readers take (1d, 0x1, inf, nan) is null."""
+    body = stripped(c)
+    return F.when(body.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), body.try_cast("double"))
+
+
 def to_int(c) -> Column:
     """F8."""
     return to_float(c).try_cast("bigint")
@@ -85,8 +97,17 @@ def to_int(c) -> Column:
 
 def to_datetime(c) -> Column:
     """the formats in order; none fits: null."""
-    t = F.trim(_c(c))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS])
+    return _first_time(c, TIME_FORMATS)
+
+
+def log_time(c) -> Column:
+    """A time of a process log."""
+    return _first_time(c, LOG_TIMES)
+
+
+def _first_time(c, formats: list[str]) -> Column:
+    t = stripped(c)
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
 
 
 def run_date(c) -> Column:
@@ -121,6 +142,13 @@ def column_letters(n) -> Column:
     )
 
 
+def a1_offset(address, rows, cols) -> Column:
+    """the address so many rows down and columns right; beyond the sheet's edges: null."""
+    at = a1_row_col(address)
+    row, col = at["row_no"] + rows, at["col_no"] + cols
+    return F.when((row >= 1) & (col >= 1), F.concat(column_letters(col), row.cast("string")))
+
+
 def type_name(cell_type) -> Column:
     """the kind of a cell; bool is not a number."""
     k = _c(cell_type)

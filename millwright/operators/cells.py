@@ -98,15 +98,25 @@ def outline(cells: DataFrame, sample: int = 4, width: int = 24) -> DataFrame:
         F.array_max(F.transform(head, lambda c: c["col_no"])).alias("to_col"), F.slice(F.transform(head, lambda c: c["value"]), 1, sample).alias("samples"))
 
 
-def format_rows(cells: DataFrame, most_cols: int = 702) -> DataFrame:
-    """Each row of the used range as tab-separated text, empty cells as a dot."""
+def format_rows(cells: DataFrame) -> DataFrame:
+    """Each row of the used range as tab-separated text behind its number, empty cells as a dot; the
+    row before the first holds the column letters, so that every value stands below its letter."""
     used = used_shape(cells)
     text = cells.groupBy(*SHEET, "row_no").agg(F.map_from_entries(F.collect_list(F.when(cell_text().isNotNull(), F.struct("col_no", cell_text().alias("v"))))).alias("m"))
-    every = used.withColumn("row_no", F.explode(F.sequence("first_row", "last_row")))
-    line = F.array_join(F.transform(F.sequence("first_col", F.least("last_col", F.lit(most_cols))), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("·"))), "\t")
+    every = used.withColumn("row_no", F.explode(F.sequence(F.col("first_row") - 1, F.col("last_row"))))
+    cols = F.sequence("first_col", "last_col")
+    head = F.array_join(F.transform(cols, S.column_letters), "\t")
+    body = F.array_join(F.transform(cols, lambda c: F.coalesce(F.try_element_at("m", c), F.lit("·"))), "\t")
+    is_head = F.col("row_no") < F.col("first_row")
+    line = F.when(is_head, F.concat(F.lit("\t"), head)).otherwise(F.concat(F.col("row_no").cast("string"), F.lit("\t"), body))
     return every.join(text, [*SHEET, "row_no"], "left").select(*SHEET, "row_no", line.alias("line"))
 
 
+def sheet_names(cells: DataFrame) -> DataFrame:
+    """The sheets of every file."""
+    return cells.select(*SHEET).distinct()
+
+
 def pick_layout(cells: DataFrame, layouts: DataFrame, least: int = 3) -> DataFrame:
     """Newest layout of the sheet's kind whose anchors all match; fewer than ``least`` never match.
 
@@ -119,18 +129,19 @@ def pick_layout(cells: DataFrame, layouts: DataFrame, least: int = 3) -> DataFra
     return ok.groupBy(*SHEET).agg(F.max("id").alias("layout_id"))
 
 
-def _tables(layouts: DataFrame) -> DataFrame:
-    t = layouts.select(F.col("id").alias("layout_id"), "key_values", F.posexplode("tables").alias("table_no", "t")).where("t.role = 'detail'")
+def _tables(layouts: DataFrame, role: str | None = "detail") -> DataFrame:
+    t = layouts.select(F.col("id").alias("layout_id"), "key_values", F.posexplode("tables").alias("table_no", "t"))
+    t = t if role is None else t.where(F.col("t.role") == role)
     return t.select("layout_id", "table_no", "key_values", F.col("t.data_start_row").alias("start"), F.col("t.data_end_row").alias("end"), F.col("t.columns").alias("columns"))
 
 
-def table_rows(cells: DataFrame, picked: DataFrame, layouts: DataFrame, raw: bool = False) -> DataFrame:
+def table_rows(cells: DataFrame, picked: DataFrame, layouts: DataFrame, raw: bool = False, role: str | None = "detail") -> DataFrame:
     """R2, R4 shared: one row for each consumed data row of every detail table with its mapped cells.
 
     With an end row blank rows are skipped, without one the first blank row ends the table.  ``raw``
     calls a row blank only when its cells are absent (R4), else when they hold no text (R2).
     """
-    t = picked.join(_tables(layouts), "layout_id").join(used_shape(cells).select(*SHEET, "last_row"), SHEET)
+    t = picked.join(_tables(layouts, role), "layout_id").join(used_shape(cells).select(*SHEET, "last_row"), SHEET)
     last = F.least(F.coalesce("end", "last_row"), F.col("last_row"))
     rows = t.where(last >= F.col("start")).withColumn("row_no", F.explode(F.sequence("start", last)))
     cols = rows.select(*SHEET, "layout_id", "table_no", "end", "row_no", F.posexplode("columns").alias("position", "c"))
@@ -166,16 +177,32 @@ def layout_errors(layouts: DataFrame) -> DataFrame:
     return _tables(layouts).withColumn("error", bad).where("error is not null").select("layout_id", "table_no", "error")
 
 
-def layout_gaps(cells: DataFrame, picked: DataFrame, layouts: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(filled but unmapped columns of each table, ranges of rows with ``least`` filled cells that no table covers)."""
+def layout_gaps(cells: DataFrame, picked: DataFrame, layouts: DataFrame, least: int = 3, hint: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(filled but unmapped columns of each detail table with the first text in them, header rows
+    first; per sheet the rows with ``least`` filled cells that no table and no key-value covers, folded
+    into ranges)."""
     used = table_rows(cells, picked, layouts, raw=True).select(*SHEET, "layout_id", "table_no", "row_no")
-    filled = cells.where(cell_text().isNotNull()).select(*SHEET, "row_no", "col_no")
+    t = layouts.select(F.col("id").alias("layout_id"), "key_values", F.posexplode("tables").alias("table_no", "t"))
+    heads = picked.join(t.select("layout_id", "table_no", F.explode("t.header_rows").alias("row_no")), "layout_id").select(*used.columns)
+    inside = used.withColumn("head", F.lit(1)).unionByName(heads.withColumn("head", F.lit(0))).groupBy(*used.columns).agg(F.min("head").alias("head"))
+    filled = cells.withColumn("value", cell_text()).where("value is not null").select(*SHEET, "row_no", "col_no", "value")
     mapped = _tables(layouts).select("layout_id", "table_no", F.explode("columns").alias("c")).select("layout_id", "table_no", S.a1_column("c.column").alias("col_no"))
-    inside = filled.join(used, [*SHEET, "row_no"]).select(*SHEET, "layout_id", "table_no", "col_no").distinct()
-    columns = inside.join(mapped, ["layout_id", "table_no", "col_no"], "left_anti").withColumn("column", S.column_letters("col_no"))
+    detail = inside.join(_tables(layouts).select("layout_id", "table_no").distinct(), ["layout_id", "table_no"], "left_semi")
+    seen = filled.join(detail, [*SHEET, "row_no"]).groupBy(*SHEET, "layout_id", "table_no", "col_no").agg(F.min_by("value", F.struct("head", "row_no")).alias("v"))
+    columns = seen.join(mapped, ["layout_id", "table_no", "col_no"], "left_anti").withColumn("column", S.column_letters("col_no"))
+    columns = columns.withColumn("hint", F.when(F.length("v") > hint, F.concat(F.substring("v", 1, hint), F.lit("…"))).otherwise(F.col("v"))).drop("v")
+
+    # rows of any table from its first header row on, and rows of key-values, are covered
+    start = picked.join(t, "layout_id").select(*SHEET, "layout_id", "table_no", F.array_min(F.concat("t.header_rows", F.array("t.data_start_row"))).alias("lo"), (F.col("t.data_start_row") - 1).alias("hi"))
+    before = start.where("hi >= lo").select(*SHEET, F.explode(F.sequence("lo", "hi")).alias("row_no"))
+    keys = picked.join(layouts.select(F.col("id").alias("layout_id"), F.explode("key_values").alias("k")), "layout_id").select(*SHEET, F.explode(F.array("k.value_cell", "k.label_cell")).alias("cell"))
+    keys = keys.where("cell is not null").select(*SHEET, S.a1_row_col("cell")["row_no"].alias("row_no"))
+    other = table_rows(cells, picked, layouts, raw=True, role=None).select(*SHEET, "row_no")
+    covered = other.unionByName(before).unionByName(keys).unionByName(heads.select(*SHEET, "row_no")).distinct()
     thick = filled.groupBy(*SHEET, "row_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    open_rows = thick.join(used, [*SHEET, "row_no"], "left_anti").join(picked.select(*SHEET), SHEET, "left_semi")
+    open_rows = thick.join(covered, [*SHEET, "row_no"], "left_anti").join(picked.select(*SHEET), SHEET, "left_semi")
     island = F.col("row_no") - F.row_number().over(W.partitionBy(*SHEET).orderBy("row_no"))
     ranges = open_rows.withColumn("i", island).groupBy(*SHEET, "i").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
     label = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")))
-    return columns, ranges.select(*SHEET, "lo", label.alias("rows"))
+    folded = F.array_sort(F.collect_list(F.struct("lo", label.alias("r"))))
+    return columns, ranges.groupBy(*SHEET).agg(F.array_join(F.transform(folded, lambda x: x["r"]), ", ").alias("rows"))

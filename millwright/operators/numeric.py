@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.sources.staging import staged
+
 
 def neighbours(dg: Column | str, k: int = 2) -> Column:
     """M1: for every zone its 2k+1 neighbours, zero beyond the edges."""
@@ -92,29 +96,57 @@ def available_features(df: DataFrame, candidates: list[str]) -> list[str]:
     return [c for c, n in zip(have, counts) if n]
 
 
-def fit_level(df: DataFrame, features: list[str], label: str = "wet_mean", product: str = "product", alpha: float = 1.0, most_products: int = 1000) -> Column:
-    """M6: the prediction as a column.  Median impute, population scaling, product one-hot (an unknown
-    product is all zero), ridge with a free intercept; sums come from one aggregate."""
+class LevelModel(NamedTuple):
+    """A fitted level model: ``weights`` has one row for each product, the rest is a few numbers."""
+
+    inputs: list[Column]
+    slopes: list[float]
+    intercept: float
+    product: str
+    weights: DataFrame
+
+    def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
+        """``df`` with the prediction; an unknown product has no weight of its own."""
+        level = F.lit(self.intercept)
+        for x, b in zip(self.inputs, self.slopes):
+            level = level + x * b
+        joined = df.withColumn(out, level).join(self.weights, self.product, "left")
+        return joined.withColumn(out, F.col(out) + F.coalesce("_w", F.lit(0.0))).drop("_w")
+
+
+def fit_level(df: DataFrame, features: list[str], label: str = "wet_mean", product: str = "product", alpha: float = 1.0) -> LevelModel:
+    """M6: median impute, population scaling, product one-hot (an unknown product is all zero), ridge with a
+    free intercept.
+
+    The one-hot block of the normal equations is diagonal, so it is eliminated product by product from
+    sums of each product; what is left to solve is as wide as the features, however many products there are.
+    """
     df = df.where(F.col(label).isNotNull())
-    med = df.agg(*[F.percentile(c, 0.5) for c in features]).first()
+    med = df.agg(*[F.percentile(c, 0.5) for c in features]).first() if features else ()
     filled = [F.coalesce(F.col(c), F.lit(m)) for c, m in zip(features, med)]
-    moments = df.agg(*[f(x) for x in filled for f in (F.avg, F.stddev_pop)]).first()
+    moments = df.agg(*[f(x) for x in filled for f in (F.avg, F.stddev_pop)]).first() if features else ()
     scaled = [(x - m) / (s or 1.0) for x, m, s in zip(filled, moments[::2], moments[1::2])]
-    names = [r[0] for r in df.select(product).where(F.col(product).isNotNull()).distinct().orderBy(product).limit(most_products + 1).collect()]
-    if len(names) > most_products:
-        raise ValueError(f"more than {most_products} products: the one-hot system would not fit the driver")
-    x = [*scaled, *[F.coalesce((F.col(product) == p).cast("double"), F.lit(0.0)) for p in names], F.lit(1.0)]
+    x = [*scaled, F.lit(1.0)]
     n = len(x)
-    sums = iter(df.agg(*[F.sum(x[i] * x[j]) for i in range(n) for j in range(i, n)], *[F.sum(v * F.col(label)) for v in x]).first())
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    y = F.col(label)
+    per = df.groupBy(product).agg(
+        *[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i, j in pairs], *[F.sum(x[i] * y).alias(f"y{i}") for i in range(n)], *[F.sum(x[i]).alias(f"s{i}") for i in range(n)], F.sum(y).alias("t"))
+    size = F.col(f"s{n - 1}") + alpha  # rows of the product
+    own = F.col(product).isNotNull()
+    less = lambda v: F.when(own, v / size).otherwise(0.0)
+    sums = iter(per.agg(
+        *[F.sum(F.col(f"a{i}_{j}") - less(F.col(f"s{i}") * F.col(f"s{j}"))) for i, j in pairs],
+        *[F.sum(F.col(f"y{i}") - less(F.col(f"s{i}") * F.col("t"))) for i in range(n)]).first())
     a = np.zeros((n, n))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = next(sums) or 0.0
+    w = np.linalg.solve(a + np.diag([alpha] * (n - 1) + [1e-12]), np.array([v or 0.0 for v in sums]))
+    rest = F.col("t")
     for i in range(n):
-        for j in range(i, n):
-            a[i, j] = a[j, i] = next(sums)
-    w = np.linalg.solve(a + np.diag([alpha] * (n - 1) + [1e-12]), np.array(list(sums)))
-    out = F.lit(float(w[-1]))
-    for v, c in zip(x[:-1], w):
-        out = out + v * float(c)
-    return out
+        rest = rest - F.col(f"s{i}") * float(w[i])
+    weights = per.where(own).select(product, (rest / size).alias("_w"))
+    return LevelModel(scaled, [float(v) for v in w[:-1]], float(w[-1]), product, weights)
 
 
 def recommend_gap(lots: DataFrame, g: np.ndarray, bounds: tuple[float, float], max_step: float, lam_move: float = 0.01, lam_smooth: float = 0.01, tol: float = 1e-9, steps: int = 20_000) -> DataFrame:
@@ -155,44 +187,108 @@ def prev_lot_baseline(finals: DataFrame, cols: list[str]) -> DataFrame:
     return out.dropna(subset=cols)
 
 
+def _running_medians(cols: list[str]):
+    """Rows come sorted by product and time; two heaps hold the lower and the upper half seen so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        product, heaps = None, []
+        for b in batches:
+            names = b.column("product").to_pylist()
+            values = [b.column(c).to_pylist() for c in cols]
+            out: list[list] = [[None] * b.num_rows for _ in cols]
+            for k, name in enumerate(names):
+                if k == 0 and not heaps or name != product:
+                    product, heaps = name, [([], []) for _ in cols]
+                for (low, high), v, o in zip(heaps, values, out):
+                    if low:
+                        o[k] = -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
+                    if v[k] is None:
+                        continue
+                    heapq.heappush(high, -heapq.heappushpop(low, -v[k]))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+            yield pa.RecordBatch.from_arrays([b.column("lot_id"), b.column("product"), *(pa.array(o, pa.float64()) for o in out)], names=["lot_id", "product", *cols])
+
+    return run
+
+
 def median_baseline(finals: DataFrame, cols: list[str]) -> DataFrame:
-    """Median of all earlier lots of the product."""
-    w = W.partitionBy("product").orderBy("worked_at", "lot_id").rowsBetween(W.unboundedPreceding, -1)
-    return finals.select("lot_id", "product", *[F.percentile(c, F.lit(0.5)).over(w).alias(c) for c in cols]).dropna(subset=cols)
+    """Median of all earlier lots of the product, kept up to date by two heaps: a row costs a
+    logarithm, where a percentile over a growing frame would sort all rows before it anew."""
+    kinds = {f.name: f.dataType.simpleString() for f in finals.schema}
+    rows = finals.select("lot_id", "product", "worked_at", *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = rows.repartition("product").sortWithinPartitions("product", "worked_at", "lot_id").drop("worked_at")
+    schema = f"lot_id {kinds['lot_id']}, product {kinds['product']}, " + ", ".join(f"{c} double" for c in cols)
+    return rows.mapInArrow(_running_medians(cols), schema).dropna(subset=cols)
 
 
 def time_holdout(df: DataFrame, at: str, tie: str, frac: float = 0.2) -> DataFrame:
-    """Adds fold; the first int(n * (1 - frac)) rows by time train.
+    """Adds fold; the first int(n * (1 - frac)) rows by time, then ``tie``, train.
 
-    A rank by counts of each time first, so that rows are numbered inside one time and no window
-    spans the table.
+    The keys are dealt out by range and written once; the one key at which training ends is looked up
+    in the one partition that holds it, and every row compares itself with it.  Rows that agree in both
+    columns stay on one side; a null time sorts first.
     """
-    n = df.count()
-    cut = int(n * (1 - frac))
-    counts = df.groupBy(at).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(at).withColumn("_p", F.spark_partition_id())
-    total = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"))
-    before = total.withColumn("_b", F.sum("_t").over(W.orderBy("_p")) - F.col("_t")).select("_p", "_b")  # a row for each partition
-    start = ranged.join(before, "_p").withColumn("_s", F.sum("_n").over(W.partitionBy("_p").orderBy(at)) - F.col("_n") + F.col("_b")).select(at, "_s")
-    rank = F.row_number().over(W.partitionBy(at).orderBy(tie)) - 1
-    return df.join(start, at).withColumn("_r", rank + F.col("_s")).withColumn("fold", F.when(F.col("_r") < cut, "train").otherwise("test")).drop("_r", "_s")
+    keys = F.struct(F.col(at).isNotNull(), F.col(at), F.col(tie).isNotNull(), F.col(tie))
+    ranged = staged(df.select(at, tie).repartitionByRange(at, tie).withColumn("_p", F.spark_partition_id()), "time-ranges")
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_p").count().collect())  # a row for each partition
+    left = int(sum(n for _, n in sizes) * (1 - frac))
+    for part, n in sizes:
+        if left < n:
+            break
+        left -= n
+    else:
+        return df.withColumn("fold", F.lit("train"))
+    rank = F.row_number().over(W.orderBy(keys)) - 1  # of one partition's keys
+    first = ranged.where(F.col("_p") == part).select(at, tie, keys.alias("_k"), rank.alias("_r")).where(F.col("_r") == left).select(F.col("_k").alias("_cut"))
+    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one")  # one row
+    return out.withColumn("fold", F.when(keys < F.col("_cut"), "train").otherwise("test")).drop("_cut", "_one")
 
 
 def lot_group_splits(df: DataFrame, n_splits: int, lot: str = "lot_id") -> DataFrame:
-    """(lot, fold): no lot is split; lots in descending size are dealt there and back over the
-    folds, a balance that needs ranks only and no list of lots in one place."""
+    """(lot, n, fold): no lot is split; lots go in descending size, each to the fold with the fewest
+    rows so far (the first of equals)."""
     sizes = df.groupBy(lot).agg(F.count(F.lit(1)).alias("n"))
     return lot_folds(sizes, n_splits, lot)
 
 
-def lot_folds(sizes: DataFrame, n_splits: int, lot: str) -> DataFrame:
-    # lots of one size are interchangeable: number them inside their size and continue over sizes
-    k = F.row_number().over(W.partitionBy("n").orderBy(lot)) - 1
-    per = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c"))  # a row for each distinct size
-    start = per.withColumn("s", F.coalesce(F.sum("c").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("n", "s")
-    r = sizes.withColumn("k", k).join(start, "n").withColumn("r", F.col("k") + F.col("s"))
-    lap, place = F.floor(F.col("r") / n_splits), F.col("r") % n_splits
-    return r.select(lot, "n", F.when(lap % 2 == 0, place).otherwise(n_splits - 1 - place).cast("int").alias("fold"))
+def deal_sizes(counts: list[tuple[int, int]], n_splits: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """Greedy deal of ``many`` lots of each size, largest size first: (size, [(first rank, folds in turn)]).
+
+    Lots of one size that go to the lightest fold take the folds in turn as soon as those are level to
+    within one lot; before that the folds that are behind take turns among themselves.
+    """
+    load, out = [0] * n_splits, []
+    for size, many in sorted(counts, reverse=True):
+        runs, rank = [], 0
+        while rank < many:
+            low = min(load)
+            behind = sorted((f for f in range(n_splits) if load[f] < low + size), key=lambda f: (load[f], f))
+            # a turn gives each of them one lot; the next fold joins in when they come within one lot of it
+            ahead = min((load[f] for f in range(n_splits) if f not in behind), default=None)
+            turns = -(-(many - rank) // len(behind)) if ahead is None else max(1, (ahead - max(load[f] for f in behind)) // size)
+            take = min(many - rank, turns * len(behind))
+            runs.append((rank, behind))
+            for k, f in enumerate(behind):
+                load[f] += size * (take // len(behind) + (k < take % len(behind)))
+            rank += take
+        out.append((size, runs))
+    return out
+
+
+def lot_folds(sizes: DataFrame, n_splits: int, lot: str, parts: int = 64) -> DataFrame:
+    """``lot_group_splits`` from (lot, n).  The deal follows from how many lots there are of each size, a
+    short table; lots of one size are numbered in ``parts`` of their own, as one size may hold most lots."""
+    rows = staged(sizes.withColumn("_part", F.pmod(F.xxhash64(lot), F.lit(parts)).cast("int")), "lot-sizes")
+    counts = rows.groupBy("n", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_s", F.coalesce(F.sum("_c").over(W.partitionBy("n").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    k = F.row_number().over(W.partitionBy("n", "_part").orderBy(lot)) - 1
+    ranked = rows.withColumn("_k", k).join(before, ["n", "_part"]).withColumn("_r", F.col("_k") + F.col("_s"))
+    totals = [(int(r[0]), int(r[1])) for r in counts.groupBy("n").agg(F.sum("_c")).collect()]  # a row for each distinct size
+    table = sizes.sparkSession.createDataFrame(deal_sizes(totals, n_splits), "n long, runs array<struct<first:long,folds:array<int>>>")
+    run = F.element_at(F.filter("runs", lambda x: x["first"] <= F.col("_r")), -1)
+    fold = F.get(run["folds"], ((F.col("_r") - run["first"]) % F.size(run["folds"])).cast("int"))
+    return ranked.join(table, "n").select(lot, "n", fold.alias("fold"))
 
 
 def hit_rate(df: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.sources.staging import staged
+
 KEY = ["lot_id", "item_id"]
 
 
@@ -69,7 +71,11 @@ def control_changes(changes: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def tuning_end_last_change(changes: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Last real control change of every lot; null where nothing was touched."""
+    """Last real control change of every lot; null where nothing was touched.  Where the input
+    has no ``prev_value`` the first row of each lot and item is its start and no change."""
+    if "prev_value" not in changes.columns:
+        at = F.row_number().over(W.partitionBy(*KEY).orderBy("worked_at"))
+        changes = changes.withColumn("prev_value", F.when(at > 1, 0.0))
     hit = control_changes(changes, catalogue).groupBy("lot_id").agg(F.max("worked_at").alias("tuning_end"))
     return changes.select("lot_id").distinct().join(hit, "lot_id", "left")
 
@@ -187,11 +193,12 @@ def audit(readings: DataFrame, catalogue: DataFrame, minutes: int = 1, n_zones:
     """One row of facts about a log.  ``minutes`` scales all minute parameters."""
     from millwright.operators.numeric import rank_diagnostics
 
-    deduped = dedupe(readings)
+    # what several facts are read from is written once
+    deduped = staged(dedupe(readings), "deduped")
     changes = compress_runs(deduped)
-    events, deltas = build_events(changes, catalogue, 2 * minutes)
-    wet = wet_long(deduped, catalogue)
-    ann = annotate_settling(events, wet_mean(wet), std_max, 5, 30 * minutes)
+    events, deltas = (staged(x, name) for x, name in zip(build_events(changes, catalogue, 2 * minutes), ("events", "deltas")))
+    wet = staged(wet_long(deduped, catalogue), "wet")
+    ann = staged(annotate_settling(events, wet_mean(wet), std_max, 5, 30 * minutes), "settling")
     rank = rank_diagnostics(delta_samples(ann, deltas, wet, 5 * minutes, n_zones), n_zones).select(F.col("effective_rank"))
     facts = ann.agg(F.count(F.lit(1)).alias("n_events"), F.count_if(~F.col("contaminated")).alias("n_clean_events"))
     base = deduped.agg(F.count_distinct("lot_id").alias("n_lots"), F.min("worked_at").alias("from"), F.max("worked_at").alias("to"), F.count(F.lit(1)).alias("n_rows"))

@@ -68,26 +68,76 @@ def resolve_runs(runs: DataFrame, tools: DataFrame, equipment: DataFrame) -> Dat
     return out.select("mold_no", "started_at", "ended_at", "equipment", pick("code", "own_code").alias("code"), pick("line", "own_line").alias("line"), F.col("hit").isNull().alias("fallback"), "order_key")
 
 
+DAY = 86_400_000_000  # microseconds
+
+
+def _covered(runs: DataFrame) -> DataFrame:
+    """Adds first and last covered day and their number; null where a run is open or has no length."""
+    span = F.unix_micros("ended_at") - F.unix_micros("started_at")
+    n = F.when(span > 0, F.greatest(F.ceil(span / F.lit(DAY)), F.lit(1)).cast("int"))
+    first = F.when(span > 0, F.to_date("started_at"))
+    return runs.withColumn("days_expected", n.cast("long")).withColumn("first_day", first).withColumn("last_day", F.date_add(first, n - 1))
+
+
 def run_days(runs: DataFrame) -> DataFrame:
     """One row for each covered day; ceil(duration / 24 h) days from the start date, one at least."""
-    span = F.unix_micros("ended_at") - F.unix_micros("started_at")
-    n = F.ceil(span / F.lit(86_400_000_000)).cast("int")
-    closed = runs.where(span > 0)
-    return closed.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))).withColumn("day", F.date_add(F.to_date("started_at"), F.col("k"))).drop("k")
+    closed = _covered(runs).where("first_day is not null").withColumn("day", F.explode(F.sequence("first_day", "last_day")))
+    return closed.drop("days_expected", "first_day", "last_day")
+
+
+def running_totals(production: DataFrame) -> DataFrame:
+    """(code, day, sums and count of production rows up to the day, the code's first and last day), for
+    every day between the code's first and last: as many rows as codes have days, whatever runs there are."""
+    span = production.where("code is not null and day is not null").groupBy("code").agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    every = span.withColumn("day", F.explode(F.sequence("low", "high")))
+    w = W.partitionBy("code").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    sums = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("produced", "defects")]
+    return every.join(production, ["code", "day"], "left").select("code", "day", "low", "high", *sums, F.count("produced").over(w).alias("found"))
 
 
 def defect_rates(runs: DataFrame, production: DataFrame) -> DataFrame:
-    """Produced, defects, days found and expected, and rate = sum of defects / sum of production."""
-    days = run_days(runs.select("mold_no", "started_at", "ended_at", "code")).join(production, ["day", "code"], "left")
-    daily = F.array_sort(F.collect_list(F.when(F.col("produced").isNotNull(), F.struct("day", "produced", "defects")))).alias("daily")
-    per = days.groupBy("mold_no", "started_at").agg(F.sum("produced").alias("produced"), F.sum("defects").alias("defects"), F.count("produced").alias("days_found"), F.count(F.lit(1)).alias("days_expected"), daily)
-    out = runs.join(per, ["mold_no", "started_at"], "left")
-    return out.withColumn("rate", F.try_divide(F.col("defects").cast("double"), F.col("produced").cast("double")))
+    """Produced, defects, days found and expected, and rate = sum of defects / sum of production.
+
+    A run's sums are running totals at its last day less those before its first, so a run costs two
+    look-ups however many days it covers, and runs that start together stay apart.
+    """
+    totals = running_totals(production)
+    span = totals.groupBy("code").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    out = _covered(runs).join(span, "code", "left")
+    for edge, day in (("to", F.col("last_day")), ("from", F.date_sub("first_day", 1))):
+        at = totals.select("code", F.col("day").alias("at"), *[F.col(c).alias(f"{edge}_{c}") for c in ("produced", "defects", "found")])
+        out = out.withColumn("at", F.when(day >= F.col("low"), F.least(day, F.col("high")))).join(at, ["code", "at"], "left").drop("at")
+    closed = F.col("days_expected").isNotNull()
+    less = {c: F.coalesce(f"to_{c}", F.lit(0)) - F.coalesce(f"from_{c}", F.lit(0)) for c in ("produced", "defects", "found")}
+    out = out.withColumn("days_found", F.when(closed, less["found"]))
+    for c in ("produced", "defects"):
+        out = out.withColumn(c, F.when(F.col("days_found") > 0, less[c]))
+    rate = F.try_divide(F.col("defects").cast("double"), F.col("produced").cast("double"))
+    return out.select(*runs.columns, "produced", "defects", "days_found", "days_expected", rate.alias("rate"))
+
+
+def daily_lists(runs: DataFrame, production: DataFrame) -> DataFrame:
+    """(mold_no, started_at, order_key, defects_json): the production rows of a run's days as JSON,
+    the only result that needs a row for each day.  Runs without any are absent."""
+    key = ["mold_no", "started_at", "order_key"]
+    days = run_days(runs.select(*key, "ended_at", "code")).join(production, ["day", "code"])
+    daily = F.array_sort(F.collect_list(F.struct("day", "produced", "defects")))
+    return days.groupBy(*key).agg(F.to_json(daily).alias("defects_json"))
 
 
 def missing_days(runs: DataFrame, production: DataFrame) -> DataFrame:
-    """A10: covered days without a production row for their code."""
-    return run_days(runs.where("code is not null")).join(production, ["day", "code"], "left_anti").select("day").distinct().orderBy("day")
+    """A10: covered days without a production row for their code.
+
+    Runs of a code are counted in and out by day, so a day that many runs cover is one row.
+    """
+    runs = _covered(runs.where("code is not null")).where("first_day is not null")
+    steps = runs.select("code", F.explode(F.array(F.struct(F.col("first_day").alias("day"), F.lit(1).alias("n")), F.struct(F.date_add("last_day", 1).alias("day"), F.lit(-1).alias("n")))).alias("s"))
+    steps = steps.groupBy("code", "s.day").agg(F.sum("s.n").alias("n"))
+    w = W.partitionBy("code").orderBy("day")
+    open_runs = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
+    held = steps.withColumn("open", open_runs).withColumn("next", F.lead("day").over(w)).where("open > 0")
+    days = held.select("code", F.explode(F.sequence("day", F.date_sub("next", 1))).alias("day"))
+    return days.join(production, ["day", "code"], "left_anti").select("day").distinct()
 
 
 def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment: DataFrame, rated: DataFrame, production: DataFrame) -> DataFrame:
@@ -96,6 +146,8 @@ def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment:
         return df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
 
     none = F.lit(None).cast("string")
+    counts = rated.agg(F.count_if(F.col("ended_at").isNull()).alias("open_run"), F.count_if((F.col("ended_at") > F.col("started_at")) & (F.coalesce("days_found", F.lit(0)) == 0)).alias("unmatched_run"))
+    left = counts.unpivot([], ["open_run", "unmatched_run"], "kind", "n")
     at = events.where(F.col("location") == S.AT_MACHINE)
     known = at.join(tools.select("mold_no"), "mold_no", "left_semi").where("equipment is not null")
     parts = [
@@ -103,8 +155,7 @@ def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment:
         rows(events.join(tools.select("mold_no"), "mold_no", "left_anti"), "unknown_tool", F.col("mold_no")),
         rows(known.join(equipment.select("equipment"), "equipment", "left_anti"), "unknown_equipment", F.col("equipment")),
         rows(missing_days(rated, production), "missing_day", F.col("day")),
-        rows(rated.where("ended_at is null"), "open_run", none),
-        rows(rated.where("ended_at > started_at and coalesce(days_found, 0) = 0"), "unmatched_run", none),
+        left.select("kind", none.alias("key"), "n").where("n > 0"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -134,6 +185,15 @@ def install_seq(runs: DataFrame) -> DataFrame:
     return runs.withColumn("install_seq", F.row_number().over(W.partitionBy("mold_no").orderBy("started_at", "order_key")))
 
 
+def inspection_json(items: DataFrame) -> DataFrame:
+    """(mold_no, order_key, items_json) of ``inspection_items`` rows: an array in their order, each with
+    label, value, judgment (null) and source (file, sheet, cell as far as the rows have them)."""
+    have = {c: F.col(f"source_{c}") if f"source_{c}" in items.columns else F.lit(None).cast("string") for c in ("file", "sheet", "cell")}
+    one = F.struct("position", F.struct(F.col("item").alias("label"), "value", F.lit(None).cast("string").alias("judgment"), F.struct(*[v.alias(k) for k, v in have.items()]).alias("source")).alias("x"))
+    per = items.groupBy("mold_no", "order_key").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    return per.select("mold_no", "order_key", F.to_json(F.transform("p", lambda x: x["x"]), {"ignoreNullFields": "false"}).alias("items_json"))
+
+
 def inspection_items(rows: DataFrame) -> DataFrame:
     """Long (mold_no, position, item, value): known fields first, then the others in column order.
 
@@ -202,10 +262,10 @@ def filter_options(records: DataFrame) -> DataFrame:
     return records.where("line is not null and machine is not null").select("line", "machine").distinct().orderBy("line", "machine")
 
 
-def defect_columns(daily: DataFrame, most: int = 200) -> DataFrame:
-    """One column per defect label in first-seen order; missing stays null."""
-    seen = daily.groupBy("label").agg(F.min("order_key").alias("k")).orderBy("k", "label").limit(most + 1).collect()
-    if len(seen) > most:
-        raise ValueError(f"more than {most} defect labels")
-    labels = [r[0] for r in seen]
+def defect_columns(daily: DataFrame) -> DataFrame:
+    """One column per defect label in first-seen order; missing stays null.
+
+    Labels become columns, so they are listed on the driver: a vocabulary, not data."""
+    seen = daily.groupBy("label").agg(F.min("order_key").alias("k")).orderBy("k", "label")
+    labels = [r[0] for r in seen.toLocalIterator()]
     return daily.groupBy("mold_no", "started_at").pivot("label", labels).agg(F.sum("n"))

@@ -15,6 +15,7 @@ from millwright.operators import process_log as P
 from millwright.operators import sessions as H
 from millwright.operators import usage as U
 from millwright.plans import views as V
+from millwright.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,7 +71,10 @@ def _annotated(spark, d):
 
 
 def _samples(spark, d):
-    return P.delta_samples(_annotated(spark, d), _events(spark, d)[1], _wet(spark, d), 24 * HOUR, 2)
+    log = staged(_deduped(spark, d), "deduped")  # read five times
+    events, deltas = P.build_events(P.compress_runs(log), V.catalogue(spark), 6 * HOUR)
+    wet = P.wet_long(log, V.catalogue(spark))
+    return P.delta_samples(P.annotate_settling(events, P.wet_mean(wet), 1.1, 2, 48 * HOUR), deltas, wet, 24 * HOUR, 2)
 
 
 @query(f"WITH {_DD} SELECT * FROM dd")
@@ -130,13 +134,20 @@ def settling(spark, d):
     return _annotated(spark, d)
 
 
-@query(f"""WITH {_ANN}, cl AS (SELECT * FROM ann WHERE NOT contaminated),
- be AS (SELECT event_id, zone, avg(wet) AS m FROM cl JOIN wl ON cl.lot_id = wl.lot_id AND wl.worked_at BETWEEN cl.worked_at - INTERVAL 24 HOUR AND cl.worked_at GROUP BY 1, 2),
- af AS (SELECT event_id, zone, avg(wet) AS m FROM cl JOIN wl ON cl.lot_id = wl.lot_id AND wl.worked_at BETWEEN cl.settled_at AND cl.settled_at + INTERVAL 24 HOUR GROUP BY 1, 2),
+_DS = """cl AS (SELECT * FROM ann WHERE NOT contaminated),
+ be AS (SELECT event_id, zone, avg(wet) AS m FROM cl JOIN wl ON cl.lot_id = wl.lot_id AND wl.worked_at BETWEEN cl.worked_at - INTERVAL {w} HOUR AND cl.worked_at GROUP BY 1, 2),
+ af AS (SELECT event_id, zone, avg(wet) AS m FROM cl JOIN wl ON cl.lot_id = wl.lot_id AND wl.worked_at BETWEEN cl.settled_at AND cl.settled_at + INTERVAL {w} HOUR GROUP BY 1, 2),
  ga AS (SELECT event_id, zone, arg_max(value - prev_value, (worked_at, item_id)) AS d FROM de WHERE zone IS NOT NULL GROUP BY 1, 2),
- zo AS (SELECT * FROM (VALUES (1), (2)) t(zone)), ok AS (SELECT DISTINCT event_id FROM be INTERSECT SELECT DISTINCT event_id FROM af)
- SELECT ok.event_id, CAST(zo.zone AS INTEGER) AS zone, coalesce(ga.d, 0.0) AS dg, round(af.m - be.m, 9) AS dw FROM ok CROSS JOIN zo LEFT JOIN be ON be.event_id = ok.event_id AND be.zone = zo.zone
- LEFT JOIN af ON af.event_id = ok.event_id AND af.zone = zo.zone LEFT JOIN ga ON ga.event_id = ok.event_id AND ga.zone = zo.zone""")
+ zo AS (SELECT * FROM (VALUES (1), (2)) t(zone)), ok AS (SELECT DISTINCT event_id FROM be INTERSECT SELECT DISTINCT event_id FROM af),
+ ds AS (SELECT ok.event_id, CAST(zo.zone AS INTEGER) AS zone, coalesce(ga.d, 0.0) AS dg, af.m - be.m AS dw FROM ok CROSS JOIN zo LEFT JOIN be ON be.event_id = ok.event_id AND be.zone = zo.zone
+ LEFT JOIN af ON af.event_id = ok.event_id AND af.zone = zo.zone LEFT JOIN ga ON ga.event_id = ok.event_id AND ga.zone = zo.zone),
+ pr AS (SELECT event_id, max(CASE WHEN zone = 1 THEN dg END) AS g1, max(CASE WHEN zone = 2 THEN dg END) AS g2, max(CASE WHEN zone = 1 THEN dw END) AS w1, max(CASE WHEN zone = 2 THEN dw END) AS w2 FROM ds GROUP BY 1),
+ gm AS (SELECT count(*) AS n, (sum(g1 * g1) + sum(g2 * g2)) / 2 AS m, sqrt(pow((sum(g1 * g1) - sum(g2 * g2)) / 2, 2) + pow(sum(g1 * g2), 2)) AS r FROM pr),
+ sv AS (SELECT n, sqrt(m + r) AS s1, sqrt(greatest(m - r, 0)) AS s2 FROM gm)"""
+_RANK = "(CASE WHEN s1 > 0 THEN 1 ELSE 0 END + CASE WHEN s2 > 1e-9 * s1 THEN 1 ELSE 0 END)"
+
+
+@query(f"WITH {_ANN}, {_DS.format(w=24)} SELECT event_id, zone, dg, round(dw, 9) AS dw FROM ds")
 def delta_samples(spark, d):
     rows = _samples(spark, d).select("event_id", F.posexplode(F.arrays_zip("dg", "dw")).alias("p", "r"))
     return rows.select("event_id", (F.col("p") + 1).cast("int").alias("zone"), "r.dg", F.round("r.dw", 9).alias("dw"))
@@ -153,7 +164,7 @@ def changes_per_lot(spark, d):
     return P.changes_per_lot(_changes(spark, d), V.catalogue(spark)).withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
 
 
-@query("SELECT 'pump' AS item_id")
+@query("SELECT item_id FROM (VALUES ('click'), ('signup'), ('error'), ('pump')) t(item_id) WHERE item_id NOT IN (SELECT event_type FROM events)")
 def missing_control_items(spark, d):
     return P.missing_controls(V.readings(spark, d), V.catalogue(spark))
 
@@ -163,26 +174,56 @@ def unknown_item_ids(spark, d):
     return P.unknown_items(V.readings(spark, d), V.catalogue(spark).where("item_id in ('click', 'view')"))
 
 
-@query()
+def _settled(merge: int, window: int, std: float, wait: int) -> str:
+    """``_ANN`` with other hours and window lengths."""
+    trail = f"(PARTITION BY lot_id ORDER BY worked_at ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    head, tail = _ANN.split("st AS (")[0], _ANN.split("nx AS (")[1]
+    stable = f"""st AS (SELECT lot_id, lag(worked_at, {window - 1}) OVER (PARTITION BY lot_id ORDER BY worked_at) AS start, worked_at AS stop,
+  CASE WHEN count(wet_mean) OVER {trail} = {window} THEN stddev_pop(wet_mean) OVER {trail} END AS sd FROM wm)"""
+    tail = tail.replace("st.sd <= 1.1", f"st.sd <= {std}").replace("INTERVAL 48 HOUR", f"INTERVAL {wait} HOUR")
+    return head.replace("INTERVAL 6 HOUR", f"INTERVAL {merge} HOUR") + stable + ", nx AS (" + tail
+
+
+@query(f"""WITH {_settled(8, 5, 2.5, 120)}, {_DS.format(w=20)}, f AS (SELECT (SELECT count(*) FROM ann) AS n_events, (SELECT count(*) FROM cl) AS n_clean_events, (SELECT CASE WHEN n > 0 THEN {_RANK} ELSE 0 END FROM sv) AS rank)
+ SELECT (SELECT count(DISTINCT lot_id) FROM dd) AS n_lots, (SELECT min(worked_at) FROM dd) AS "from", (SELECT max(worked_at) FROM dd) AS "to", (SELECT count(*) FROM dd) AS n_rows, n_events, n_clean_events,
+  (SELECT count(DISTINCT zone) FROM wl) AS n_zones, CAST(rank AS BIGINT) AS effective_rank, (SELECT coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type), '') FROM events WHERE event_type NOT IN ('click', 'signup', 'error', 'view', 'purchase', 'pump')) AS unknown_items,
+  (SELECT string_agg(i, ',' ORDER BY i) FROM (VALUES ('click'), ('signup'), ('error'), ('pump')) c(i) WHERE i NOT IN (SELECT event_type FROM events)) AS missing_items, round((n_events - n_clean_events) / n_events, 9) AS contaminated_ratio,
+  CASE WHEN n_clean_events < 20 THEN 'insufficient' WHEN rank < 3 THEN 'rank_deficient' ELSE 'trainable' END AS verdict FROM f""")
 def log_audit(spark, d):
-    return P.audit(V.readings(spark, d), V.catalogue(spark), HOUR, 2, 1.1)
+    out = P.audit(V.readings(spark, d), V.catalogue(spark), 4 * HOUR, 2, 2.5)
+    words = {c: F.array_join(c, ",") for c in ("unknown_items", "missing_items")}
+    return out.withColumns(words | {"contaminated_ratio": F.round("contaminated_ratio", 9)})
 
 
-@query()
+@query(f"""WITH {_ANN}, {_DS.format(w=24)}, e AS (SELECT (g1 - g2) / 2 AS e, w1 IS NOT NULL AS v1, w2 IS NOT NULL AS v2, CASE WHEN w1 IS NULL OR w2 IS NULL THEN 0 ELSE (w1 - w2) / 2 END AS y FROM pr),
+ s AS (SELECT sum(CASE WHEN v1 THEN e * e ELSE 0 END) AS p, sum(CASE WHEN v2 THEN e * e ELSE 0 END) AS q, sum(CASE WHEN v1 THEN e * y ELSE 0 END) AS b, sum(CASE WHEN v2 THEN -e * y ELSE 0 END) AS c FROM e),
+ a AS (SELECT q + 1e-3 AS a11, -q AS a12, p + q + 1e-3 AS a22, -p AS a23, p + 1e-3 AS a33, c AS b1, b - c AS b2, -b AS b3 FROM s),
+ w AS (SELECT a11 * (a22 * a33 - a23 * a23) - a12 * a12 * a33 AS det, (a22 * a33 - a23 * a23) * b1 - a12 * a33 * b2 + a12 * a23 * b3 AS x1, -a12 * a33 * b1 + a11 * a33 * b2 - a11 * a23 * b3 AS x2,
+  a12 * a23 * b1 - a11 * a23 * b2 + (a11 * a22 - a12 * a12) * b3 AS x3 FROM a)
+ SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(CASE j - i WHEN 0 THEN x2 WHEN 1 THEN x3 ELSE x1 END / det, 6) AS weight FROM w, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j)""")
 def kernel_fit(spark, d):
     k = M.fit_kernel(_samples(spark, d), 1, 1e-3)
-    return M.kernel_rows(spark, k, 2)
+    return M.kernel_rows(spark, k, 2).withColumns({"j": F.col("j").cast("long"), "weight": F.round("weight", 6)})
 
 
-@query()
+@query(f"WITH {_ANN}, {_DS.format(w=24)} SELECT round(s1, 6) AS s1, round(s2, 6) AS s2, CAST({_RANK} AS BIGINT) AS effective_rank, n AS n_events FROM sv")
 def rank_diagnostics(spark, d):
-    return M.rank_diagnostics(_samples(spark, d), 2)
-
-
-@query()
+    out = M.rank_diagnostics(_samples(spark, d), 2)
+    return out.select(*[F.round(F.get("singular_values", F.lit(k)), 6).alias(f"s{k + 1}") for k in (0, 1)], "effective_rank", "n_events")
+
+
+@query("""WITH f AS (SELECT o_orderkey AS lot_id, o_custkey AS product, o_totalprice AS g, CAST(o_orderkey % 97 AS DOUBLE) AS h, o_totalprice / 1e5 + o_custkey % 7 + o_orderkey % 3 AS y FROM orders),
+ m AS (SELECT avg(g) AS mg, stddev_pop(g) AS sg, avg(h) AS mh, stddev_pop(h) AS sh FROM f), x AS (SELECT lot_id, product, (g - mg) / sg AS x1, (h - mh) / sh AS x2, y FROM f, m),
+ p AS (SELECT product, sum(x1) AS s1, sum(x2) AS s2, count(*) AS n, sum(y) AS t, sum(x1 * x1) AS q11, sum(x1 * x2) AS q12, sum(x2 * x2) AS q22, sum(x1 * y) AS y1, sum(x2 * y) AS y2 FROM x GROUP BY 1),
+ a AS (SELECT sum(q11 - s1 * s1 / (n + 1)) + 1 AS a11, sum(q12 - s1 * s2 / (n + 1)) AS a12, sum(s1 - s1 * n / (n + 1)) AS a13, sum(q22 - s2 * s2 / (n + 1)) + 1 AS a22, sum(s2 - s2 * n / (n + 1)) AS a23,
+  sum(n - n * n / (n + 1)) + 1e-12 AS a33, sum(y1 - s1 * t / (n + 1)) AS b1, sum(y2 - s2 * t / (n + 1)) AS b2, sum(t - n * t / (n + 1)) AS b3 FROM p),
+ c AS (SELECT *, a22 * a33 - a23 * a23 AS c11, a13 * a23 - a12 * a33 AS c12, a12 * a23 - a13 * a22 AS c13, a11 * a33 - a13 * a13 AS c22, a12 * a13 - a11 * a23 AS c23, a11 * a22 - a12 * a12 AS c33 FROM a),
+ w AS (SELECT (c11 * b1 + c12 * b2 + c13 * b3) / det AS w1, (c12 * b1 + c22 * b2 + c23 * b3) / det AS w2, (c13 * b1 + c23 * b2 + c33 * b3) / det AS w3 FROM (SELECT *, a11 * c11 + a12 * c12 + a13 * c13 AS det FROM c))
+ SELECT lot_id, round(w1 * x1 + w2 * x2 + w3 + (t - s1 * w1 - s2 * w2 - n * w3) / (n + 1), 6) AS predicted FROM x JOIN p USING (product), w""")
 def level_prediction(spark, d):
-    f = V.finals(spark, d).withColumn("product", (F.col("product") % 7).cast("string")).withColumn("wet_mean", F.col("os_gap") / 1e5 + F.col("product").cast("int"))
-    return f.select("lot_id", F.round(M.fit_level(f, M.available_features(f, ["os_gap", "ds_gap", "absent"])), 6).alias("predicted"))
+    f = V.finals(spark, d).withColumn("wet_mean", F.col("os_gap") / 1e5 + F.col("product") % 7 + F.col("lot_id") % 3)
+    model = M.fit_level(f, M.available_features(f, ["os_gap", "ds_gap", "absent"]))
+    return model.predict(f).select("lot_id", F.round("predicted", 6).alias("predicted"))
 
 
 @query()
@@ -210,9 +251,15 @@ def time_holdout(spark, d):
     return M.time_holdout(V.finals(spark, d), "worked_at", "lot_id", 0.2).select("lot_id", "fold")
 
 
-@query("WITH s AS (SELECT o_custkey AS product, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, product) - 1 AS r FROM s) SELECT product, n, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold FROM r")
+_GREEDY = """RECURSIVE s AS (SELECT o_custkey AS product, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, product) AS r FROM s),
+ g(r, fold, load) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT), 0, 0, 0, 0] UNION ALL
+  SELECT r.r, CAST(list_position(load, list_min(load)) AS BIGINT), list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + r.n ELSE x END) FROM g JOIN r ON r.r = g.r + 1)"""
+
+
+@query(f"WITH {_GREEDY} SELECT n, CAST(fold - 1 AS INTEGER) AS fold, count(DISTINCT product) AS lots FROM g JOIN r USING (r) GROUP BY 1, 2")
 def lot_group_splits(spark, d):
-    return M.lot_group_splits(V.finals(spark, d), 5, "product")
+    folds = M.lot_group_splits(V.finals(spark, d), 5, "product")
+    return folds.groupBy("n", "fold").agg(F.count_distinct("product").alias("lots"))
 
 
 _PROFILE = "p AS (SELECT o_custkey AS sample_id, list(o_totalprice / 1e5 ORDER BY o_orderkey) AS wet FROM orders GROUP BY 1)"
@@ -244,9 +291,9 @@ _U = """le AS (SELECT 'RX' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS mold_n
  ru AS (SELECT pa.mold_no, pa.ev_at AS started_at, ended_at, pa.equipment, CASE WHEN ei.equipment IS NOT NULL THEN ei.code ELSE ti.equipment_code END AS code,
    CASE WHEN ei.equipment IS NOT NULL THEN ei.line ELSE ti.line END AS line, ei.equipment IS NULL AS fallback, pa.order_key FROM pa JOIN ti ON pa.mold_no = ti.mold_no LEFT JOIN ei ON pa.equipment = ei.equipment WHERE location = '설비'),
  pr AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey AS VARCHAR) AS code, CAST(sum(l_quantity) AS BIGINT) AS produced, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS defects FROM lineitem GROUP BY 1, 2),
- da AS (SELECT mold_no, started_at, code, CAST(CAST(started_at AS DATE) + CAST(k AS INTEGER) AS DATE) AS day FROM (SELECT *, unnest(range(greatest(CAST(ceil(epoch(ended_at - started_at) / 86400.0) AS BIGINT), 1))) AS k FROM ru WHERE ended_at > started_at)),
- pe AS (SELECT mold_no, started_at, CAST(sum(produced) AS BIGINT) AS produced, CAST(sum(defects) AS BIGINT) AS defects, count(produced) AS days_found, count(*) AS days_expected FROM da LEFT JOIN pr USING (day, code) GROUP BY 1, 2),
- ra AS (SELECT ru.*, pe.produced, pe.defects, pe.days_found, pe.days_expected, CASE WHEN pe.produced <> 0 THEN CAST(pe.defects AS DOUBLE) / pe.produced END AS rate FROM ru LEFT JOIN pe USING (mold_no, started_at))"""
+ da AS (SELECT mold_no, started_at, order_key, code, CAST(CAST(started_at AS DATE) + CAST(k AS INTEGER) AS DATE) AS day FROM (SELECT *, unnest(range(greatest(CAST(ceil(epoch(ended_at - started_at) / 86400.0) AS BIGINT), 1))) AS k FROM ru WHERE ended_at > started_at)),
+ pe AS (SELECT mold_no, started_at, order_key, CAST(sum(produced) AS BIGINT) AS produced, CAST(sum(defects) AS BIGINT) AS defects, count(produced) AS days_found, count(*) AS days_expected FROM da LEFT JOIN pr USING (day, code) GROUP BY 1, 2, 3),
+ ra AS (SELECT ru.*, pe.produced, pe.defects, pe.days_found, pe.days_expected, CASE WHEN pe.produced <> 0 THEN CAST(pe.defects AS DOUBLE) / pe.produced END AS rate FROM ru LEFT JOIN pe USING (mold_no, started_at, order_key))"""
 
 
 def _ledger(spark, d):
@@ -284,7 +331,7 @@ def usage_runs(spark, d):
     return _runs(spark, d)
 
 
-@query(f"WITH {_U} SELECT * FROM da")
+@query(f"WITH {_U} SELECT mold_no, started_at, code, day FROM da")
 def run_days(spark, d):
     return U.run_days(_runs(spark, d)).select("mold_no", "started_at", "code", "day")
 
@@ -337,12 +384,17 @@ def run_coverage(spark, d):
     return r.select("mold_no", "started_at", F.col("install_seq").cast("long").alias("install_seq"), S.coverage_label("days_found", "days_expected", "ended_at").alias("coverage"))
 
 
-@query(f"WITH {_U} SELECT mold_no, count(*) AS n_runs, coalesce(max(CASE WHEN ended_at IS NULL THEN 1 ELSE 0 END), 0) AS running FROM ra GROUP BY 1")
+@query(f"""WITH {_U}, sq AS (SELECT *, row_number() OVER (PARTITION BY mold_no ORDER BY started_at, order_key) AS k FROM ra),
+ hi AS (SELECT mold_no, string_agg(k || '/' || equipment || '/' || line || '/' || coalesce(CAST(produced AS VARCHAR), '-'), ',' ORDER BY k) AS runs, arg_max(equipment, k) FILTER (ended_at IS NULL) AS running FROM sq GROUP BY 1)
+ SELECT hi.mold_no, runs, CASE WHEN c_custkey % 2 = 0 THEN 'iqc' ELSE 'pqc' END || '/L' || c_nationkey || '/' || c_name AS panels, running, CAST(NULL AS VARCHAR) AS design FROM hi JOIN customer ON hi.mold_no = 'RX' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')""")
 def tool_detail(spark, d):
     r = U.install_seq(_rated(spark, d))
-    panels = spark.createDataFrame([], "mold_no string, stage string, status string, source_file string")
+    stage = F.when(F.col("order_key") % 2 == 0, "iqc").otherwise("pqc")
+    panels = V.master(spark, d).select(S.normalize_tool("mold_no").alias("mold_no"), stage.alias("stage"), F.col("line").alias("status"), F.col("jig_name").alias("source_file"))
     out = U.tool_detail(r.select("mold_no").distinct(), r, panels)
-    return out.select("mold_no", F.size("history").cast("long").alias("n_runs"), F.col("current").isNotNull().cast("int").alias("running"))
+    runs = F.array_join(F.transform("history", lambda x: F.concat_ws("/", x["install_seq"].cast("string"), x["equipment"], x["line"], F.coalesce(x["produced"].cast("string"), F.lit("-")))), ",")
+    panel = F.array_join(F.transform("panels", lambda x: F.concat_ws("/", x["stage"], x["status"], x["source_file"])), ",")
+    return out.select("mold_no", runs.alias("runs"), panel.alias("panels"), F.col("current.equipment").alias("running"), F.col("design"))
 
 
 # cells
@@ -350,14 +402,19 @@ def tool_detail(spark, d):
 _CE = """pt AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row_no FROM part)"""
 
 
-@query(f"WITH {_CE} SELECT p_brand AS sheet, 'A' || row_no AS cell, p_name AS value, FALSE AS truncated FROM pt WHERE contains(lower(p_name), 'ring') QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY row_no) <= 1000000")
+_TEXT = """tx AS (SELECT p_brand AS sheet, row_no, 'A' AS l, p_name AS value FROM pt UNION ALL SELECT p_brand, row_no, 'B', p_type FROM pt UNION ALL SELECT p_brand, row_no, 'C', CAST(p_size AS VARCHAR) FROM pt
+ UNION ALL SELECT p_brand, row_no, 'D', CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END FROM pt
+ UNION ALL SELECT DISTINCT p_brand, 1, unnest(['A', 'B', 'C']), unnest(['Name', 'Type', 'Size']) FROM part)"""
+
+
+@query(f"WITH {_CE}, {_TEXT} SELECT sheet, l || row_no AS cell, value, FALSE AS truncated FROM tx WHERE contains(lower(value), 'ring')")
 def search_values(spark, d):
-    return C.search(V.cells(spark, d).where("col_no = 1"), "RING", 1_000_000).drop("source_file")
+    return C.search(V.cells(spark, d), "RING", 1_000_000).drop("source_file")
 
 
-@query("SELECT p_brand AS sheet, CAST(sum(p_size) AS DOUBLE) AS value, count(*) AS numeric_count FROM part GROUP BY 1")
+@query("SELECT p_brand AS sheet, round(CAST(sum(p_size) AS DOUBLE) + sum(p_retailprice), 4) AS value, 2 * count(*) AS numeric_count FROM part GROUP BY 1")
 def aggregate_values(spark, d):
-    return C.aggregate(V.cells(spark, d).where("col_no = 3"), "sum").drop("source_file")
+    return C.aggregate(V.cells(spark, d), "sum").drop("source_file").withColumn("value", F.round("value", 4))
 
 
 @query("SELECT p_brand AS sheet, 3 AS col_no, count(*) + 1 AS nonnull, count(DISTINCT p_size) + 1 AS n_distinct, count(*) AS n_int, 1 AS n_str FROM part GROUP BY 1")
@@ -383,15 +440,24 @@ def parse_rows(spark, d):
     return out.select("sheet", "row_no", *[F.col("values")[k].alias(k) for k in ("name", "type", "size", "title")])
 
 
-@query("SELECT DISTINCT p_brand AS sheet, 'D' AS \"column\" FROM part")
+@query(f"WITH {_CE}, {_TEXT} SELECT sheet, 'D' AS \"column\", value AS hint FROM tx WHERE l = 'D' AND row_no = 2")
 def layout_gaps(spark, d):
     c = V.cells(spark, d)
-    return C.layout_gaps(c, C.pick_layout(c, V.layouts(spark)), V.layouts(spark))[0].select("sheet", "column")
+    return C.layout_gaps(c, C.pick_layout(c, V.layouts(spark)), V.layouts(spark))[0].select("sheet", "column", "hint")
+
+
+@query("SELECT p_brand AS sheet, '11-' || (count(*) + 1) AS rows FROM part GROUP BY 1")
+def layout_row_gaps(spark, d):
+    """Rows behind the end of the only table."""
+    ends = F.transform("tables", lambda t: t.withField("data_end_row", F.lit(10)))
+    c, short = V.cells(spark, d), V.layouts(spark).withColumn("tables", ends)
+    return C.layout_gaps(c, C.pick_layout(c, short), short)[1].drop("source_file")
 
 
-@query(f"WITH {_CE} SELECT p_brand AS sheet, CAST(row_no AS INTEGER) AS row_no, p_name || chr(9) || p_type || chr(9) || p_size AS line FROM pt UNION ALL SELECT DISTINCT p_brand, 1, 'Name' || chr(9) || 'Type' || chr(9) || 'Size' FROM part")
+@query(f"""WITH {_CE}, {_TEXT}, w AS (SELECT sheet, row_no, l, value FROM tx UNION ALL SELECT DISTINCT p_brand, 1, 'D', '·' FROM part)
+ SELECT sheet, CAST(w.row_no AS INTEGER) AS row_no, w.row_no || chr(9) || string_agg(value, chr(9) ORDER BY l) AS line FROM w GROUP BY sheet, w.row_no UNION ALL SELECT DISTINCT p_brand, 0, chr(9) || 'A' || chr(9) || 'B' || chr(9) || 'C' || chr(9) || 'D' FROM part""")
 def format_rows(spark, d):
-    return C.format_rows(V.cells(spark, d).where("col_no <= 3")).drop("source_file")
+    return C.format_rows(V.cells(spark, d)).drop("source_file")
 
 
 # sessions

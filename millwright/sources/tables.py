@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.functions import scalars as S
+
 READING = "lot_id string, worked_at string, product string, item_id string, item_name string, value string"
 SUFFIXES = ("xlsx", "xlsm", "xls")  # fixed value
 
@@ -18,8 +22,8 @@ def load_readings(spark: SparkSession, path: str, strict: bool = False) -> tuple
     struct of file, block and place in it.  ``strict`` raises on a bad time."""
     raw = spark.read.schema(READING).option("header", True).option("encoding", "UTF-8").csv(path)
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    at = F.coalesce(F.try_to_timestamp("worked_at", F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp("worked_at", F.lit("yyyy-MM-dd HH:mm:ss")))
-    rows = raw.withColumn("row_no", order).drop("item_name").withColumn("raw_at", F.col("worked_at")).withColumn("worked_at", at).withColumn("value", F.col("value").try_cast("double"))
+    rows = raw.withColumn("row_no", order).drop("item_name").withColumn("raw_at", F.col("worked_at"))
+    rows = rows.withColumn("worked_at", S.log_time("worked_at")).withColumn("value", S.plain_number("value"))
     bad = rows.where("worked_at is null")
     if strict:
         rows = rows.withColumn("worked_at", F.when(F.col("worked_at").isNull(), F.raise_error(F.concat(F.lit("bad time: "), F.coalesce("raw_at", F.lit("null"))))).otherwise(F.col("worked_at")))
@@ -43,16 +47,28 @@ def stage_dirs(text: str) -> dict[str, str]:
     return {p[0].strip(): p[1].strip() for p in parts if len(p) == 2 and p[0].strip() and p[1].strip()}
 
 
-def scan(spark: SparkSession, root: str, dirs: dict[str, str], kinds: set[str]) -> DataFrame:
-    """(path, kind, content_hash) of spreadsheet files below the mapped folders; content is read only
-    to be hashed.  A kind that is not known fails at once; lock files are skipped."""
+def scan(spark: SparkSession, root: str, dirs: dict[str, str], kinds: set[str], suffixes: tuple = SUFFIXES) -> DataFrame:
+    """(path, kind, content_hash) of the files (spreadsheets, or as ``suffixes`` says) that stand directly in the mapped folders of
+    ``root``.  A kind that is not known fails at once; lock files are skipped.
+
+    A file that is listed but whose content can't be read has a null hash: the listing needs no content,
+    and the contents are read by a second pass that leaves broken files out.
+    """
     if unknown := set(dirs.values()) - kinds:
         raise ValueError(f"unknown kinds: {sorted(unknown)}")
     table = spark.createDataFrame(sorted(dirs.items()), "dir string, kind string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = files.where(F.lower("path").rlike(rf"\.({'|'.join(SUFFIXES)})$") & ~F.col("path").rlike(r"/~\$[^/]*$"))
-    files = files.select("path", F.sha2("content", 256).alias("content_hash"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dir"))
-    return files.join(table, "dir").select("path", "kind", "content_hash").orderBy("path")
+    parent = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    above = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1), r"^[a-z0-9]+:/*", "/")
+    home = "/" + re.sub(r"^[a-z0-9]+:/*", "", root).strip("/")
+
+    def below(reader) -> DataFrame:
+        files = reader.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = files.where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$") & ~F.col("path").rlike(r"/~\$[^/]*$"))
+        return files.withColumn("dir", parent).where(above == home)
+
+    names = below(spark.read).select("path", "dir")
+    hashed = below(spark.read.option("ignoreCorruptFiles", True)).select("path", F.sha2("content", 256).alias("content_hash"))
+    return names.join(hashed, "path", "left").join(table, "dir").select("path", "kind", "content_hash").orderBy("path")
 
 
 def change_set(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -62,9 +78,9 @@ def change_set(found: DataFrame, known: DataFrame) -> DataFrame:
     return j.select("path", kind.alias("change"))
 
 
-def merge_files(found: DataFrame, known: DataFrame, seen_at) -> DataFrame:
+def merge_files(found: DataFrame, seen_at) -> DataFrame:
     """The registry after a batch: found files with the new time; vanished paths are forgotten."""
-    return found.select("path", "kind", "content_hash").withColumn("seen_at", F.lit(seen_at).cast("timestamp"))
+    return found.where("content_hash is not null").select("path", "kind", "content_hash").withColumn("seen_at", F.lit(seen_at).cast("timestamp"))
 
 
 class Store:
@@ -94,6 +110,14 @@ class Store:
         body = self._rows("versions").agg(F.max_by("body", "at")).first()[0]
         return self.spark.read.parquet(f"{self.root}/data/{json.loads(body)['version']}/{name}")
 
+    def has(self, name: str) -> bool:
+        """Whether the published version holds the table."""
+        try:
+            body = self._rows("versions").agg(F.max_by("body", "at")).first()[0]
+        except AnalysisException:  # nothing was published yet
+            return False
+        return bool(body) and name in json.loads(body)["tables"]
+
     def record_run(self, summary: dict) -> None:
         self._append("runs", summary)
 

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from millwright.operators import numeric as M
@@ -158,13 +159,52 @@ def test_level(spark):
     rows = [(float(a), None if k % 9 == 0 else float(b), p, 18.0 + 2 * (p == "P2") + 0.01 * float(a)) for k, (a, b, p) in enumerate(zip(rng.normal(size=80), rng.normal(size=80), ["P1", "P2"] * 40))]
     df = spark.createDataFrame(rows, "os_gap double, ds_gap double, product string, wet_mean double")
     assert M.available_features(df, ["bp", "os_gap", "ds_gap"]) == ["os_gap", "ds_gap"]
-    pred = M.fit_level(df, ["os_gap", "ds_gap"], alpha=0.01)
-    p = {r.product: r.p for r in df.groupBy("product").agg({"os_gap": "count"}).select("product").crossJoin(spark.createDataFrame([(0.0, 0.0)], "os_gap double, ds_gap double")).select("product", pred.alias("p")).collect()}
-    assert p["P2"] - p["P1"] > 1.0
+    model = M.fit_level(df, ["os_gap", "ds_gap"], alpha=0.01)
+    p = {r.product: r.predicted for r in model.predict(spark.createDataFrame([(0.0, 0.0, x) for x in ("P1", "P2", "P3", None)], "os_gap double, ds_gap double, product string")).collect()}
+    assert p["P2"] - p["P1"] > 1.0 and p["P1"] < p["P3"] == p[None] < p["P2"]
     x = np.array([[a, np.median([r[1] for r in rows if r[1] is not None]) if b is None else b] for a, b, _, _ in rows])
     x = np.hstack(((x - x.mean(0)) / x.std(0), np.array([[r[2] == "P1", r[2] == "P2"] for r in rows], float), np.ones((80, 1))))
     w = np.linalg.solve(x.T @ x + np.diag([0.01] * 4 + [1e-12]), x.T @ np.array([r[3] for r in rows]))
-    assert np.allclose([r.p for r in df.select(pred.alias("p")).collect()], x @ w)
+    rows = model.predict(df.withColumn("k", F.monotonically_increasing_id())).orderBy("k").collect()
+    assert np.allclose([r.predicted for r in rows], x @ w)
+
+
+def test_level_many_products(spark):
+    df = spark.range(6000).selectExpr("cast(id % 17 as double) os_gap", "cast(id % 1500 as string) product", "(id % 1500) / 100 + (id % 17) * 0.5 wet_mean")
+    worst = M.fit_level(df, ["os_gap"], alpha=1e-6).predict(df).selectExpr("max(abs(predicted - wet_mean))").first()[0]
+    assert worst < 1e-3
+
+
+def test_median_baseline(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(p), int(k * 7919 % 400), None if k % 11 == 0 else float(v)) for k, (p, v) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 30, 400)))]
+    df = spark.createDataFrame(rows, "lot_id long, product long, worked_at int, gap double")
+    got = {r.lot_id: r.gap for r in M.median_baseline(df, ["gap"]).collect()}
+    for k, p, at, _ in rows:
+        before = [v for _, q, t, v in rows if q == p and t < at and v is not None]
+        assert got.get(k) == (np.median(before) if before else None)
+
+
+def test_time_holdout_one_time(spark):
+    df = spark.range(1000).selectExpr("id lot_id", "case when id < 700 then 5 else id end at")
+    folds = {r.lot_id: r.fold for r in M.time_holdout(df.repartition(7), "at", "lot_id", 0.2).collect()}
+    order = sorted(folds, key=lambda k: (5 if k < 700 else k, k))
+    assert [folds[k] for k in order] == ["train"] * 800 + ["test"] * 200
+    assert {r.fold for r in M.time_holdout(df, "at", "lot_id", 0.0).collect()} == {"train"} and M.time_holdout(df.where("false"), "at", "lot_id").count() == 0
+
+
+def test_group_splits(spark):
+    rng = np.random.default_rng(8)
+    lots = {k: int(n) for k, n in enumerate(rng.choice([1, 1, 1, 2, 3, 8, 21, 60], 300))}
+    df = spark.createDataFrame([(k,) for k, n in lots.items() for _ in range(n)], "lot_id long")
+    got = {r.lot_id: r.fold for r in M.lot_group_splits(df, 5).collect()}
+    load, want = [0] * 5, {}
+    for k in sorted(lots, key=lambda k: -lots[k]):
+        f = load.index(min(load))
+        load[f] += lots[k]
+        want.setdefault((lots[k], f), []).append(k)
+    for (n, f), ks in want.items():
+        assert sum(got[k] == f for k in lots if lots[k] == n) == len(ks)
 
 
 def test_recommend(spark):

@@ -1,5 +1,6 @@
 """Literal cases of tool usage, cells, scalars, sources and sessions."""
 
+import json
 from datetime import date, datetime
 
 import pytest
@@ -93,6 +94,35 @@ def test_inspection_and_panels(spark):
     assert (r.produced, r.defects, r.days_covered, r.days_expected) == (5, 1, 1, 2)
     labels = spark.createDataFrame([("RX1", "t", "b", 1, 5), ("RX1", "t", "a", 2, 6), ("RX2", "t", "a", 3, 7)], "mold_no string, started_at string, label string, order_key long, n long")
     assert U.defect_columns(labels).columns == ["mold_no", "started_at", "b", "a"]
+    many = spark.range(300).selectExpr("'RX1' mold_no", "'t' started_at", "concat('d', id) label", "id order_key", "id n")
+    assert len(U.defect_columns(many).columns) == 302
+    one = json.loads(U.inspection_json(good.withColumn("source_file", F.lit("f.xlsx"))).first().items_json)[0]
+    assert one == {"label": "punch", "value": "p", "judgment": None, "source": {"file": "f.xlsx", "sheet": None, "cell": None}}
+
+
+def test_two_runs_at_one_time(spark):
+    """Two machine events of a tool at one time are two runs: the first ends at once and has no days."""
+    at = lambda s: datetime.fromisoformat(f"2026-07-{s}")
+    rows = [("RX1", at("01 07:00:00"), at("01 07:00:00"), "E1", "C1", 1), ("RX1", at("01 07:00:00"), at("03 07:00:00"), "E2", "C2", 2), ("RX2", at("02 00:00:00"), None, "E1", "C1", 3), ("RX3", at("05 00:00:00"), at("09 00:00:00"), "E1", "C1", 4), ("RX4", at("01 00:00:00"), at("09 00:00:00"), "E1", None, 5), ("RX5", at("02 12:00:00"), at("04 13:00:00"), "E2", "C2", 6)]
+    runs = spark.createDataFrame(rows, "mold_no string, started_at timestamp, ended_at timestamp, equipment string, code string, order_key long").withColumn("line", F.lit("L"))
+    production = spark.createDataFrame([(date(2026, 7, d), c, 100 * d, d) for c in ("C1", "C2") for d in (1, 2, 4)], "day date, code string, produced long, defects long")
+    rated = U.defect_rates(runs, production)
+    got = {r.order_key: (r.produced, r.defects, r.days_found, r.days_expected) for r in rated.collect()}
+    assert got == {1: (None, None, None, None), 2: (300, 3, 2, 2), 3: (None, None, None, None), 4: (None, None, 0, 4), 5: (None, None, 0, 8), 6: (600, 6, 2, 3)}
+    days = {r.order_key: [(d["day"], d["produced"]) for d in json.loads(r.defects_json)] for r in U.daily_lists(runs, production).collect()}
+    assert days == {2: [("2026-07-01", 100), ("2026-07-02", 200)], 6: [("2026-07-02", 200), ("2026-07-04", 400)]}
+    want = {(r.code, r.day) for r in U.run_days(runs.where("code is not null")).collect()} - {(r.code, r.day) for r in production.collect()}
+    assert sorted(r.day for r in U.missing_days(runs, production).collect()) == sorted({d for _, d in want})
+    records = U.tool_records(runs.select("mold_no").distinct(), rated, spark.createDataFrame([], "mold_no string, location string"))
+    assert {r.mold_no: r.total_production for r in records.collect()}["RX1"] == 300
+
+
+def test_white_space_and_numbers(spark):
+    from millwright.functions import scalars as S
+
+    df = spark.createDataFrame([("\t#rx28312\n", "1d", "B3"), ("\u3000RX1 ", " 1,234.5%\t", "$A$1")], "a string, b string, c string")
+    got = df.select(S.normalize_tool("a").alias("a"), S.to_float("b").alias("b"), S.plain_number("b").alias("p"), S.a1_offset("c", 2, 26).alias("o"), S.a1_offset("c", -1, 0).alias("z")).collect()
+    assert [tuple(r) for r in got] == [("RX28312", None, None, "AB5", "B2"), ("RX1", 12.345, None, "AA3", None)]
 
 
 def grid(spark, rows, top=1, left=1, name="f"):
@@ -115,7 +145,9 @@ def test_cells(spark):
     assert (p["count"], p.nulls, p.nonnull, p.n_int, p.n_datetime) == (5, 1, 4, 2, 1)
     o = C.outline(grid(spark, [["h", "h"], [1, "a"], [2, "b"], [None, None], [3, "c"]])).orderBy("line").collect()
     assert [(r.from_row, r.to_row, r.filled) for r in o] == [(1, 1, 2), (2, 3, 2), (4, 4, 0), (5, 5, 2)]
-    assert [r.line for r in C.format_rows(g).orderBy("row_no").collect()][2] == "TRUE\t·"
+    assert [r.line for r in C.format_rows(g).orderBy("row_no").collect()] == ["\tA\tB", "1\ta\t소계", "2\t1\t2.5", "3\tTRUE\t·", "4\tx\t2026-01-01T00:00:00"]
+    wide = C.format_rows(grid(spark, [[1] + [None] * 748 + [2]])).orderBy("row_no").collect()
+    assert wide[0].line.endswith("\tABU\tABV") and wide[1].line.split("\t")[750] == "2"
     jobs = spark.createDataFrame([("A", "x", 3, 1), ("A", "y", 4, 1), ("A", "소계", 7, 3)], "line string, product string, m1 long, m2 long")
     assert {r.month: r.difference for r in C.reconcile(jobs, "line", "product", ["m1", "m2"]).collect()} == {"m1": 0, "m2": -1}
     assert C.read_range(g, 1, 1, 2, 1).count() == 2 and C.read_range(g, 1, 1, 2, 1).first().rows_cut
@@ -138,19 +170,20 @@ def test_layouts(spark):
     assert rows(end=5) == [(2, "a", "1", "Name"), (3, "b", None, "Name"), (5, "c", "3", "Name")]
     assert [dict(r["values"]) for r in C.parse_rows(g, picked, ls(role="summary")).collect()] == [{"title": "Name"}]
     cols, open_rows = C.layout_gaps(g, picked, ls(end=3))
-    assert [r.column for r in cols.collect()] == ["C"] and sorted(r.rows for r in open_rows.collect()) == ["1", "5-6"]
+    assert [(r.column, r.hint) for r in cols.collect()] == [("C", "Other")] and [r.rows for r in open_rows.collect()] == ["5-6"]
+    assert [r.rows for r in C.layout_gaps(g, picked, ls(end=2), least=2)[1].collect()] == ["3, 5-6"]
     assert C.layout_errors(ls(cols=())).first().error == "no columns"
 
 
 def test_sources(spark, tmp_path):
     p = tmp_path / "r.csv"
-    p.write_bytes("﻿lot_id,worked_at,product,item_id,item_name,value\nL1,2026-07-01 18:55,P,0030,x,1.5\nL1,bad,P,1,x,2\nL1,2026-07-01 18:56,P,1,x,abc\n".encode())
+    p.write_bytes("﻿lot_id,worked_at,product,item_id,item_name,value\nL1,2026-07-01 18:55,P,0030,x,1.5\nL1,bad,P,1,x,2\nL1,2026-07-01 18:56,P,1,x,abc\nL1,2026/7/1 18:57:01,P,2,x,1d\n".encode())
     good, bad = T.load_readings(spark, str(p))
-    assert [(r.lot_id, r.item_id, r.value) for r in good.orderBy("row_no").collect()] == [("L1", "0030", 1.5), ("L1", "1", None)] and bad.count() == 1
+    assert [(r.lot_id, r.item_id, r.value) for r in good.orderBy("row_no").collect()] == [("L1", "0030", 1.5), ("L1", "1", None), ("L1", "2", None)] and bad.count() == 1
     with pytest.raises(Exception, match="bad time"):
         T.load_readings(spark, str(p), strict=True)[0].collect()
     assert T.stage_dirs("a:x, b : y,c,d:,a:z") == {"a": "z", "b": "y"}
-    for name in ("a/1.xlsx", "a/~$1.xlsx", "a/2.XLSX", "a/3.txt", "q/4.xlsx"):
+    for name in ("a/1.xlsx", "a/~$1.xlsx", "a/2.XLSX", "a/3.txt", "q/4.xlsx", "q/a/5.xlsx"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(name)
     found = T.scan(spark, str(tmp_path), {"a": "x"}, {"x"})
@@ -196,3 +229,36 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
+
+
+def test_ingest_batch(spark, tmp_path):
+    from millwright.operators import ingest as I
+
+    kind = lambda df, schema: spark.createDataFrame(df, schema)
+    rows = {
+        "jig_master": kind([("#rx11111", "j", "EQ1", "C1", "L1", 1)], MASTER),
+        "ees": kind([("RX11111", "2026-07-01 07:00:00", "설비", "EQ1", 1), ("RX11111", "2026-07-03 07:00:00", "보관함", None, 2), ("??", "2026-07-03 07:00:00", "보관함", None, 3)], LEDGER),
+        "mes": kind([("2026/7/1 ~", "C1", "1,000", "5", 1), ("2026/7/2 ~", "C1", "측정불가", "5", 2)], "run_date string, equipment_code string, produced string, defects string, order_key long"),
+        "iqc": kind([("RX11111", 1, [("gap", 1, "g")]), ("RX9", 2, [("gap", 1, "g")]), (None, 3, [("gap", 1, "g")])], "mold_no string, order_key long, values array<struct<field:string,position:int,value:string>>"),
+    }
+    failed = {k: [] for k in rows}
+    readers = {k: (lambda files, k=k: (rows[k], kind(failed[k], "path string, reason string"))) for k in rows}
+    store = T.Store(spark, str(tmp_path / "s"))
+    files = [(f"/{k}/1.xlsx", k, "h1") for k in rows]
+    found = lambda rows: kind(rows, "path string, kind string, content_hash string")
+    run = lambda rows: I.run_batch(store, found(rows), readers)
+
+    assert run([f for f in files if f[1] != "jig_master"])["status"] == "error" and not store.has("records")
+    assert run([*files[:2], ("/mes/1.xlsx", "mes", None)]) == store.latest_run() and store.latest_run()["unreadable_files"] == ["/mes/1.xlsx"]
+    failed["mes"].append(("/mes/2.xlsx", "broken"))
+    done = run([*files, ("/x/1.xlsx", "other", "h")])
+    assert done["status"] == "ok" and done["failed_files"] == ["/mes/2.xlsx: broken"]
+    assert (done["tools"], done["runs"], done["inspected"], done["rejected_events"], done["orphans"], done["skipped_rows"], done["missing_days"]) == (1, 1, 1, 1, 1, 1, 1)
+    assert run(files)["status"] == "skipped" and store.latest_run()["status"] == "skipped"
+    failed["ees"].append(("/ees/1.xlsx", "broken"))
+    assert run([(*files[0][:2], "h2"), *files[1:]])["status"] == "error"
+    assert store.load("records").first().total_production == 1000 and store.load("files").count() == 4
+    failed["ees"].clear()
+    assert run(files[:3])["status"] == "ok" and store.load("files").count() == 3  # a vanished file is a change
+    r = store.load("runs").first()
+    assert json.loads(r.defects_json) == [{"day": "2026-07-01", "produced": 1000, "defects": 5}] and r.days_expected == 2
