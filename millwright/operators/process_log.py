@@ -127,8 +127,9 @@ def annotate_settling(events: DataFrame, means: DataFrame, std_max: float = 0.02
     rows = rows.withColumn("std", F.stddev_pop("wet_mean").over(trail)).withColumn("n", F.count("wet_mean").over(trail)).withColumn("from", F.lag("worked_at", w - 1).over(lot))
     stable = rows.where((F.col("n") == w) & (F.col("std") <= std_max) & F.col("from").isNotNull()).select("lot_id", F.col("from").alias("at"), F.col("worked_at").alias("end"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("event_id"))
     asks = events.select("lot_id", F.col("worked_at").alias("at"), F.lit(None).cast("timestamp").alias("end"), F.lit(1).alias("k"), "event_id")
-    behind = W.partitionBy("lot_id").orderBy("at", "k").rowsBetween(1, W.unboundedFollowing)
-    found = stable.unionByName(asks).withColumn("end", F.when(F.col("k") == 1, F.first("end", ignorenulls=True).over(behind))).where("k = 1")
+    # from the last row back, so that the frame grows row by row
+    behind = W.partitionBy("lot_id").orderBy(F.desc("at"), F.desc("k")).rowsBetween(W.unboundedPreceding, -1)
+    found = stable.unionByName(asks).withColumn("end", F.when(F.col("k") == 1, F.last("end", ignorenulls=True).over(behind))).where("k = 1")
     nxt = F.lead("worked_at").over(W.partitionBy("lot_id").orderBy("worked_at", "event_id"))
     out = events.withColumn("next_at", nxt).join(found.select("event_id", "end"), "event_id")
     in_time = F.unix_micros("end") - F.unix_micros("worked_at") <= int(max_wait_minutes * 60_000_000)
