@@ -6,12 +6,13 @@ with a smaller id, or earlier in the same one), judged on the input.
 1. Whole-text copies collapse to the copy with the smallest id.  An equal string in a copy also
    occurs in that first copy, so nothing is lost; later copies are removed whole.
 2. *Anchors* deal suffixes out to shards.  Each ``length``-byte window is owned by the smallest
-   hashed 32-byte gram in it (leftmost on ties), a function of the window's bytes alone, so equal
+   hashed 32-byte gram in it (leftmost of equal hashes), a function of the window's bytes alone, so equal
    windows have equal anchors at equal offsets and meet in one shard.  A gram hash that occurs
    once in the corpus owns no repeated window.  Hot grams are counted per Arrow batch first: a
    batch sends one witness per gram and knows by itself that its other copies repeat.
 3. For repeated anchors the context of the owned windows is sent to the anchor's shard, equal
-   contexts aggregated to their first place on the way.
+   contexts aggregated to their first place on the way.  A shard of too many contexts is split by the
+   bytes next to the anchor, again and again if need be, so that no gram is one task's alone.
 4. In a shard the strings enter one suffix array, built by linear grouping (see ``suffix_array``);
    runs with a common prefix of ``length`` or more are the classes of equal windows, and the
    earliest place in each class is kept.
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.llm import textops as X
-from millwright.llm.common import staged
+from millwright.llm.common import Scratch, staged
 
 GRAM = 32
 SLICE = 1 << 19
@@ -76,12 +77,20 @@ def suffix_array(text: list[int]) -> list[int]:
         group = order[start:end]
         found: dict[int, int] = {}
         for i in group:
-            # groups below `start` are still open, so a smaller head means a smaller suffix;
-            # suffixes of this group or above are jumped over by their own pointers
+            # groups below `start` are still open, so a smaller head means a smaller suffix; suffixes
+            # above are jumped over by their own pointers; one of this group stops the walk
             j = i - 1
-            while j >= 0 and head[j] >= start:
-                j = prev[j] if head[j] > start or prev[j] != -1 else j - 1
+            while j >= 0 and head[j] > start:
+                j = prev[j]
             prev[i] = j
+        for i in group:
+            # chains inside the group end where their first suffix does
+            chain, j = [i], prev[i]
+            while j >= 0 and head[j] == start:
+                chain.append(j)
+                j = prev[j]
+            for k in chain:
+                prev[k] = j
             if j >= 0:
                 found[j] = found.get(j, 0) + 1
         if found:
@@ -147,7 +156,9 @@ def common_prefixes(text: list[int], sa: list[int]) -> list[int]:
 
 
 def anchors(body: np.ndarray, offsets: np.ndarray, length: int = 100):
-    """(row, hash, anchor, first window start, number of windows) of every anchor in these rows."""
+    """(row, hash, anchor, first window start, number of windows) of every anchor in these rows.
+
+    Which gram owns a window follows from the window's bytes alone, wherever it stands."""
     span = length - GRAM + 1
     n = len(body)
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
@@ -156,16 +167,14 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int = 100):
     prefix = X.prefix_hash(body)
     _, inv = X.powers(n + 1)
     gram = X.mix64((prefix[GRAM:] - prefix[:-GRAM]) * inv[: n - GRAM + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = np.arange(len(gram), dtype=np.uint64)
-    best = ((gram >> bits) << bits) | low
+    # the least hash of each window of grams, the leftmost of equals
+    best, at = gram, np.arange(len(gram))
     width = 1
-    while width * 2 <= span:
-        best = np.minimum(best[:-width], best[width:])
-        width *= 2
-    if span > width:
-        best = np.minimum(best[: -(span - width)], best[span - width :])
-    at = (best & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    while width < span:
+        step = min(width, span - width)
+        right = best[step:] < best[:-step]
+        best, at = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step])
+        width += step
     sizes = np.diff(offsets)
     stop = np.repeat(offsets[1:], sizes)[: len(at)]
     start = np.flatnonzero(np.arange(length, length + len(at)) <= stop)
@@ -187,8 +196,13 @@ def _anchor_rows(length: int):
             body, off = X.flat(batch.column("text"))
             parts = []
             for lo, hi in X.slices(off, SLICE):
-                row, gram, at, start, many = anchors(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)
-                parts.append((row + lo, gram, at, start, many))
+                # a text longer than a slice goes in pieces that share the bytes of the windows between them
+                for base in range(int(off[lo]), max(int(off[hi]) - length + 1, int(off[lo]) + 1), SLICE):
+                    end = min(int(off[hi]), base + SLICE + length - 1)
+                    own = np.clip(off[lo : hi + 1], base, end) - base
+                    row, gram, at, start, many = anchors(body[base:end], own, length)
+                    shift = base - off[lo] if hi == lo + 1 else 0
+                    parts.append((row + lo, gram, at + shift, start + shift, many))
             row, gram, at, start, many = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
             if not len(row):
                 continue
@@ -206,13 +220,13 @@ def _anchor_rows(length: int):
             take = pa.array(row)
             tag = batch.column("tag").take(take).to_numpy(zero_copy_only=False)
             spot = (tag << 46) | (known.astype(np.int64) << 45) | ((at - start) << 38) | ((many - 1) << 31) | start
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), pa.array(key.view(np.int64)), pa.array(spot)], names=["doc_id", "key", "spot"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), pa.array(key.view(np.int64)), pa.array(spot)], names=["doc", "key", "spot"])
 
     return run
 
 
 #: ``spot`` packs, from the top: 17 bits tag, 1 bit known, 7 bits anchor - start, 7 bits windows - 1, 31 bits start.
-_ANCHOR = "doc_id long, key long, spot long"
+_ANCHOR = "doc long, key long, spot long"
 _TAG_BITS = 17
 
 
@@ -221,29 +235,56 @@ def unpack(spot: int) -> tuple[int, int, int]:
     return spot & 0x7FFFFFFF, (spot >> 38) & 0x7F, ((spot >> 31) & 0x7F) + 1
 
 
+def _key(common: bytes, lo: int, hi: int) -> int:
+    return int.from_bytes(hashlib.blake2b(common, digest_size=8, salt=bytes((lo, hi))).digest(), "little", signed=True)
+
+
+def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], names=["gram", "lo", "hi", "context", "at", "doc_id", "doc", "tag", "start"])
+
+
+_CONTEXT = "gram long, lo int, hi int, context binary, at int, doc_id long, doc long, tag long, start int"
+
+
 def _context_rows(length: int):
-    """One row for each repeated anchor: its gram hash, the owned windows' bytes and its place."""
+    """One row for each repeated anchor: its gram hash, the owned windows' bytes and its place.
+
+    ``lo`` and ``hi`` bound how many bytes of a window may stand left of the anchor in this shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, off = X.flat(batch.column("text"))
             data = body.tobytes()
-            out: list[list] = [[], [], [], [], [], []]
-            for k, spots in enumerate(batch.column("spots").to_pylist()):
-                base, doc, tag = int(off[k]), batch.column("doc_id")[k].as_py(), batch.column("tag")[k].as_py()
+            out: list[tuple] = []
+            ids = [batch.column(c).to_pylist() for c in ("doc_id", "doc", "tag", "spots")]
+            for base, doc_id, doc, tag, spots in zip(off.tolist(), *ids):
                 for start, at, many in map(unpack, spots):
                     text = data[base + start : base + start + many + length - 1]
-                    gram = data[base + start + at : base + start + at + GRAM]
-                    for col, v in zip(out, (int.from_bytes(hashlib.blake2b(gram, digest_size=8).digest(), "little", signed=True), text, at, doc, tag, start)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int32())],
-                names=["gram", "context", "at", "doc_id", "tag", "start"])
+                    out.append((_key(text[at : at + GRAM], 0, length - GRAM), 0, length - GRAM, text, at, doc_id, doc, tag, start))
+            yield _contexts(out)
 
     return run
 
 
-_CONTEXT = "gram long, context binary, at int, doc_id long, tag long, start int"
+def _split(length: int):
+    """Contexts of shards that are too large, dealt to two shards each: windows with fewer and with more
+    bytes left of the anchor.  The windows of half a shard have more bytes in common, and these name it;
+    a shard of a single place holds equal windows only.  Equal windows stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for _, lo, hi, text, at, *place, start in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                half = (lo + hi) // 2
+                for x, y in ((lo, half), (half + 1, hi)):
+                    left, right = min(y, at), max(x, at - (len(text) - length))  # the most and the least bytes left of it
+                    if right <= left:
+                        cut = text[at - left : at - right + length]
+                        out.append((_key(text[at - x : at - y + length], x, y), x, y, cut, left, *place, start + at - left))
+            yield _contexts(out)
+
+    return run
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -257,12 +298,12 @@ def _shared(a: bytes, b: bytes) -> int:
 def first_windows(contexts: list[tuple], length: int) -> list[tuple]:
     """Windows of one shard that occur nowhere earlier.
 
-    ``contexts``: distinct (bytes, anchor offset, doc, tag, start) where bytes begin at window
+    ``contexts``: distinct (bytes, anchor offset, id, doc, tag, start) where bytes begin at window
     ``start``.  Returns (doc, tag, window start) runs as (doc, tag, from, to) with ``to`` exclusive.
     """
     firsts: list[tuple] = []
     if len(contexts) == 1:
-        text, _, doc, tag, start = contexts[0]
+        text, _, _, doc, tag, start = contexts[0]
         return [(doc, tag, start, start + len(text) - length + 1)]
     # what no other string of the shard shares around the anchor cannot repeat: it is first
     reach = [[0, 0] for _ in contexts]
@@ -273,7 +314,7 @@ def first_windows(contexts: list[tuple], length: int) -> list[tuple]:
             reach[i][side] = max(reach[i][side], m)
             reach[j][side] = max(reach[j][side], m)
     best: dict[tuple, tuple] = {}
-    for (text, at, doc, tag, start), (left, right) in zip(contexts, reach):
+    for (text, at, doc_id, doc, tag, start), (left, right) in zip(contexts, reach):
         windows = len(text) - length + 1
         lo, hi = max(0, at - left), min(windows, at + right - length + 1)
         if hi <= lo:
@@ -284,11 +325,11 @@ def first_windows(contexts: list[tuple], length: int) -> list[tuple]:
         if hi < windows:
             firsts.append((doc, tag, start + hi, start + windows))
         key = (at - lo, text[lo : hi + length - 1])
-        place = (doc is not None, doc, tag, start + lo)
+        place = (doc_id is not None, doc_id, doc, tag, start + lo)
         if key not in best or place < best[key]:
             best[key] = place
     if len(best) == 1:
-        ((_, text), (_, doc, tag, start)) = next(iter(best.items()))
+        ((_, text), (*_, doc, tag, start)) = next(iter(best.items()))
         firsts.append((doc, tag, start, start + len(text) - length + 1))
         return firsts
     places = sorted(best.items(), key=lambda x: x[1])
@@ -317,7 +358,7 @@ def first_windows(contexts: list[tuple], length: int) -> list[tuple]:
         k = owner[i]
         if base[k] + len(places[k][0][1]) - i < length:
             continue
-        _, doc, tag, start = places[k][1]
+        *_, doc, tag, start = places[k][1]
         w = start + i - base[k]
         if firsts and firsts[-1][:2] == (doc, tag) and firsts[-1][3] == w:
             firsts[-1] = (doc, tag, firsts[-1][2], w + 1)
@@ -337,7 +378,7 @@ def _shards(length: int):
 
         for batch in batches:
             out: list[tuple] = []
-            cols = [batch.column(c).to_pylist() for c in ("gram", "context", "at", "doc_id", "tag", "start")]
+            cols = [batch.column(c).to_pylist() for c in ("gram", "context", "at", "doc_id", "doc", "tag", "start")]
             for g, *rest in zip(*cols):
                 if g != gram and held:
                     flush(out)
@@ -355,7 +396,7 @@ def _shards(length: int):
 
 def _firsts(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "tag", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "tag", "lo", "hi"])
 
 
 def _apply(length: int):
@@ -383,60 +424,71 @@ def _apply(length: int):
                 kept.append(keep)
                 spans.append(hashlib.sha256(keep).hexdigest())
             kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(removed, kind), pa.array(kept, pa.binary()), pa.array(spans, pa.string())], names=["doc_id", "tag", "removed", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(removed, kind), pa.array(kept, pa.binary()), pa.array(spans, pa.string())], names=["doc", "tag", "removed", "kept", "kept_sha256"])
 
     return run
 
 
-_APPLIED = "doc_id long, tag long, removed array<struct<lo:int,hi:int>>, kept binary, kept_sha256 string"
+_APPLIED = "doc long, tag long, removed array<struct<lo:int,hi:int>>, kept binary, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep_bytes: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, removed (byte spans), kept (remaining bytes), kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = 100, keep_bytes: bool = True, shard_rows: int = 2000) -> DataFrame:
+    """Per row: doc_id, n_bytes, removed (byte spans), kept (remaining bytes), kept_sha256.
 
-    Null text counts as empty.  Rows that repeat both id and text count as one document and come
-    out once; different texts under one id are ordered by their digest; a null id sorts first.
-    Extra columns of ``docs`` are ignored.  ``keep_bytes=False`` leaves ``kept`` null.
+    Null text counts as empty.  Rows that repeat both id and text are one document and come out alike,
+    as often as they came in; different texts under one id are ordered by a hash; a null id sorts first.
+    Extra columns of ``docs`` are ignored.  ``keep_bytes=False`` leaves ``kept`` null.  Shards of more
+    than ``shard_rows`` distinct contexts are split.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND((1 << _TAG_BITS) - 1))
-    ids = docs.select("doc_id", "tag", sha.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")).groupBy("doc_id", "tag", "sha").agg(F.max("n_bytes").alias("n_bytes"))
-    ids = staged(ids, "ids")
-    lead = ids.groupBy("sha").agg(F.min(F.struct("doc_id", "tag")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = ids.join(lead, "sha", "left").withColumn("copy", F.col("lead").isNotNull() & ~F.struct("doc_id", "tag").eqNullSafe(F.col("lead"))).drop("lead")
+    # a document is known by 81 bits of hash over its id and text
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text", F.lit(1), "doc_id").bitwiseAND((1 << _TAG_BITS) - 1).alias("tag"), "text")
+    ids = docs.select("doc_id", "doc", "tag", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    ids = scratch.put(ids, "ids")
+    own = F.struct("doc_id", "doc", "tag")
+    lead = ids.groupBy("sha").agg(F.min(own).alias("lead"), F.max(own).alias("last")).where("lead <> last or lead.doc_id is null and last.doc_id is not null")
+    marked = ids.join(lead, "sha", "left").withColumn("copy", F.col("lead").isNotNull() & ~own.eqNullSafe(F.col("lead"))).drop("lead", "last")
     marked = staged(marked, "copies")
-    copies = marked.where("copy").select("doc_id", "tag")
+    copies = marked.where("copy").select("doc", "tag")
 
     spot = docs.mapInArrow(_anchor_rows(length), _ANCHOR)
     spot = spot.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where((F.col("n") > 1) | (F.shiftright("spot", 45).bitwiseAND(1) == 1))
-    spot = spot.select("doc_id", F.shiftright("spot", 46).alias("tag"), "spot")
-    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.tag") == F.col("b.tag")]
-    spots = spot.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("spot")).alias("spots"))
-    spots = staged(spots.alias("a").join(copies.alias("b"), same, "left_anti"), "spots")
-
-    texts = docs.alias("a").join(spots.alias("b"), same).select("a.doc_id", "a.tag", "a.text", "b.spots")
-    contexts = texts.mapInArrow(_context_rows(length), _CONTEXT)
-    least = F.min(F.struct("doc_id", "tag", "start")).alias("p")
-    distinct = contexts.groupBy("gram", "context", "at").agg(least).select("gram", "context", "at", "p.*")
-    firsts = distinct.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shards(length), "doc_id long, tag long, lo int, hi int")
-    firsts = staged(firsts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "firsts")
-
-    place = spots.alias("a").join(firsts.alias("b"), same, "left").select("a.doc_id", "a.tag", "a.spots", "b.firsts")
-    done = docs.alias("a").join(place.alias("b"), same).select("a.doc_id", "a.tag", "a.text", "b.spots", "b.firsts").mapInArrow(_apply(length), _APPLIED)
-    if not keep_bytes:
-        done = done.withColumn("kept", F.lit(None).cast("binary"))
-    done = done.dropDuplicates(["doc_id", "tag"])
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("a.n_bytes").cast("int").alias("hi")))
-    gone = F.col("a.copy") & (F.col("a.n_bytes") >= length)
+    spot = spot.select("doc", F.shiftright("spot", 46).alias("tag"), "spot")
+    spots = spot.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("spot")).alias("spots"))
+    spots = scratch.put(spots.join(copies, ["doc", "tag"], "left_anti"), "spots")
+
+    place = F.min(F.struct("doc_id", "doc", "tag", "start")).alias("p")
+
+    def distinct(contexts: DataFrame) -> DataFrame:
+        return contexts.groupBy("gram", "lo", "hi", "context", "at").agg(place).select("gram", "lo", "hi", "context", "at", "p.*")
+
+    texts = docs.join(spots, ["doc", "tag"]).select("doc_id", "doc", "tag", "text", "spots")
+    contexts = scratch.put(distinct(texts.mapInArrow(_context_rows(length), _CONTEXT)), "contexts")
+    shards, depth = contexts, 0
+    while (hot := contexts.groupBy("gram").count().where(F.col("count") > shard_rows).select("gram")).limit(1).count():
+        hot = scratch.put(hot, f"hot-{depth}")
+        contexts = scratch.put(distinct(contexts.join(hot, "gram", "left_semi").mapInArrow(_split(length), _CONTEXT)), f"split-{depth}")
+        shards = shards.join(hot, "gram", "left_anti").unionByName(contexts)
+        depth += 1
+    firsts = shards.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shards(length), "doc long, tag long, lo int, hi int")
+    firsts = scratch.put(firsts.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "firsts")
+    scratch.drop("contexts", *(n for n in scratch.paths if n.startswith(("hot-", "split-"))))
+
+    place = spots.join(firsts, ["doc", "tag"], "left")
+    found = docs.join(place, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("doc", "tag", "text", "spots", "firsts")
+    done = found.mapInArrow(_apply(length), _APPLIED)
+    done = staged(done if keep_bytes else done.drop("kept"), "repeats-removed")
+    scratch.drop(*scratch.paths)
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")))
+    gone = F.col("copy") & (F.col("n_bytes") >= length)
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    out = marked.alias("a").join(done.alias("b"), same, "left").select(
-        F.col("a.doc_id"), F.col("a.tag").alias("tag"), F.col("a.n_bytes"),
-        F.when(gone, whole).otherwise(F.coalesce(F.col("b.removed"), none)).alias("removed"),
-        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce(F.col("b.kept_sha256"), F.col("a.sha"))).alias("kept_sha256"),
-        F.when(gone, F.lit(b"")).otherwise(F.col("b.kept")).alias("kept"))
-    if keep_bytes:  # untouched texts come back as they are
-        out = out.alias("a").join(docs.dropDuplicates(["doc_id", "tag"]).alias("b"), same).select("a.doc_id", "n_bytes", "removed", "kept_sha256", F.coalesce("kept", F.col("b.text").cast("binary")).alias("kept"))
-    else:
-        out = out.drop("tag")
-    return out
+    out = marked.join(done, ["doc", "tag"], "left").select(
+        "doc_id", "doc", "tag", "n_bytes", F.when(gone, whole).otherwise(F.coalesce("removed", none)).alias("removed"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_bytes else []))
+    if not keep_bytes:
+        return out.drop("doc", "tag").withColumn("kept", F.lit(None).cast("binary"))
+    # untouched texts come back as they are
+    plain = docs.dropDuplicates(["doc", "tag"]).select("doc", "tag", F.col("text").cast("binary").alias("plain"))
+    return out.join(plain, ["doc", "tag"]).select("doc_id", "n_bytes", "removed", "kept_sha256", F.coalesce("kept", "plain").alias("kept"))
