@@ -22,11 +22,15 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that are long enough
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 # What a text must hold to be scanned at all; each is implied by its pattern.
 HINTS = {"assign": r"""(?i)(?:passw(?:or)?d|secret|token|api_?key)["']?\x20*[:=]""", "access": r"AKIA[A-Z0-9]", "hex": r"[0-9a-f]{24}"}
+# A host has at most eight labels of at most 63 characters before the last two, and no match begins inside a
+# label: a place is given up after a bounded number of characters, and the matcher's stack is bounded too.
+HOST = r"(?<![a-z0-9-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,7}\.amazonaws\.com"
 # Weak parts: kind, role, pattern.
 WEAK = (("weak_id", "id", r"(?:AKIA|ASIA)[A-Z0-9]{4,}"), ("weak_key", "key", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
-        ("endpoint", "end", r"https?://[A-Za-z0-9./_-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"))
+        ("endpoint", "end", r"https?://[A-Za-z0-9./_-]+|" + HOST))
 ROLES = {"assign": "key", "access": "id", "hex": "key"} | {k: r for k, r, _ in WEAK}
 _SPAN = "array<struct<lo:int,hi:int>>"
+BLOCK = 256  # matches
 
 
 def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -39,15 +43,23 @@ def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> C
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gap = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
     rows = F.zip_with(gap, F.arrays_zip(whole.alias("m"), part.alias("p")), lambda g, x: F.struct(F.length(g).alias("g"), F.length(x["m"]).alias("m"), F.length(x["p"]).alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(acc, x):
         lo = acc["at"] + x["g"]
         hi = lo + x["m"]
-        new = F.when(x["p"] >= least, F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).otherwise(F.array().cast(_SPAN))
+        new = F.when(x["p"] >= least, F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).otherwise(none)
         return F.struct(hi.alias("at"), F.concat(acc["out"], new).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def block(acc, part):
+        # an array grows within a block only, so many matches in one text do not cost their square
+        return F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    def tiled(r):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(r) / BLOCK).cast("int")), lambda i: F.slice(r, i * BLOCK + 1, BLOCK))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+
+    return F.element_at(F.transform(F.array(rows), tiled), 1)  # a lambda's argument is computed once
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -83,11 +95,11 @@ def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.concat(*tagged.values()).alias("base"), weak.alias("weak"))
     rows = staged(rows, "secret-spans")
 
-    part = rows.where(F.size("weak") > 0).select("doc_id", "tag", F.explode(F.array_union("base", "weak")).alias("s")).distinct()
+    part = rows.where(F.size("weak") > 0).select("doc_id", "tag", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     role = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     part = part.select("doc_id", "tag", "s", role[F.col("s.kind")].alias("role"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
-    by = W.partitionBy("doc_id", "tag").orderBy("lo", "hi", "role")
-    before, behind = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
+    # both frames grow row by row; one that shrinks towards the end would be summed up anew for every row
+    before, behind = (W.partitionBy("doc_id", "tag").orderBy(*[f(c) for c in ("lo", "hi", "role")]).rowsBetween(W.unboundedPreceding, -1) for f in (F.asc, F.desc))
 
     def near(kind: str) -> Column:
         end = F.max(F.when(F.col("role") == kind, F.col("hi"))).over(before)
@@ -96,14 +108,14 @@ def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
 
     part = part.withColumn("id_near", near("id")).withColumn("key_near", near("key"))
     linked = F.expr("case role when 'id' then key_near when 'key' then id_near else id_near and key_near end")
-    part = part.where(F.col("s.kind").isin([k for k, _, _ in WEAK]) & linked)
+    # a weak part that only repeats a base span adds nothing
+    weak = F.col("s.kind").isin([k for k, _, _ in WEAK])
+    repeats = F.max(~weak).over(W.partitionBy("doc_id", "tag", "lo", "hi"))
+    part = part.withColumn("repeats", repeats).where(weak & linked & ~F.col("repeats"))
     links = part.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("linked"))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.tag") == F.col("b.tag")]
     out = rows.alias("a").join(links.alias("b"), same, "left")
-    base = F.col("a.base")
-    # a weak part that only repeats a base span adds nothing
-    extra = F.filter("b.linked", lambda w: ~F.exists(base, lambda x: (x["lo"] == w["lo"]) & (x["hi"] == w["hi"])))
-    return out.select("a.doc_id", "a.tag", "a.base", F.array_sort(F.coalesce(F.concat("a.base", extra), base)).alias("all"))
+    return out.select("a.doc_id", "a.tag", "a.base", F.array_sort(F.coalesce(F.concat("a.base", "b.linked"), "a.base")).alias("all"))
 
 
 def digest(found: DataFrame) -> DataFrame:
