@@ -4,18 +4,18 @@
    capacity are cut.  Tokenising works on distinct words: a word's ids do not depend on its
    neighbours, so they are kept per worker; texts outside the plain alphabet go to the library whole.
 2. Documents are ordered by (length, rank).  A length that holds a third of all rows is ranked in
-   ``salt`` parts, each counted first and numbered on its own.
-3. Bulk-synchronous best fit on the two orders: one superstep for each length, longest first.  All
-   documents of that length sweep the gaps from their own size upwards (successor); ranks decide
-   who takes which gap; filled sequences return to the gap order with what is left; what found no
-   gap opens sequences.  A superstep deals in runs of equal gaps, so its state is bounded by the capacity
-   (at most ``capacity`` lengths and gap sizes), not by the number of documents.
+   parts, each counted first and numbered on its own.
+3. Best fit on the counts of each length, longest first: all documents of a length take the gaps from
+   their own size upwards, ranks decide who takes which, filled sequences return to the gaps with
+   what is left, and what found no gap opens sequences.  This deals in runs of equal gaps and reads
+   ``capacity`` numbers at most, whatever the number of documents, so it is a loop on the driver.
 4. Every document finds its run by (length, rank) in the dealt table.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -44,8 +44,17 @@ _CUT = np.zeros(256, bool)  # what may follow an apostrophe in a contraction
 _CUT[np.frombuffer(b"strvmldSTRVMLD", np.uint8)] = True
 
 
+#: What the split by byte classes stands for.  A tokenizer file with other rules gets every text whole.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Words:
-    """Ids of words seen by this worker, found by 64-bit hash; emptied at ``LIMIT`` words."""
+    """Ids of words seen by this worker, found by 64-bit hash; emptied at ``LIMIT`` words between slices."""
 
     LIMIT = 1_000_000
 
@@ -54,6 +63,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        #: whether a text's words can be told apart by bytes, and their ids do not depend on their neighbours
+        self.by_word = all(rules.get(k) == v for k, v in RULES.items()) and all(x["content"].startswith("<|") for x in rules["added_tokens"])
         self.clear()
 
     def clear(self) -> None:
@@ -66,8 +79,6 @@ class Words:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.LIMIT:
-            self.clear()
         ids = self.encode(words)
         have = len(self.at) - 1
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -102,7 +113,9 @@ def plain_rows(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def token_ids(words: Words, body: np.ndarray, offsets: np.ndarray, texts) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows end to end, row offsets)."""
-    plain = plain_rows(body, offsets)
+    plain = plain_rows(body, offsets) if words.by_word else np.zeros(len(offsets) - 1, bool)
+    if len(words.keys) > words.LIMIT:
+        words.clear()
     low = X.lower_ascii(body)
     if len(low) > 1:
         up = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E)
@@ -127,10 +140,6 @@ def token_ids(words: Words, body: np.ndarray, offsets: np.ndarray, texts) -> tup
         data = low.tobytes()
         words.learn(unique[miss], [data[start[i] : end[i]].decode() for i in seen[miss]])
         slot = words.find(unique)
-        if (slot < 0).any():  # the store was emptied meanwhile
-            miss = np.flatnonzero(slot < 0)
-            words.learn(unique[miss], [data[start[i] : end[i]].decode() for i in seen[miss]])
-            slot = words.find(unique)
     tok = slot[code]
     size = words.at[tok + 1] - words.at[tok]
     total = np.concatenate(([0], np.cumsum(size)))
@@ -168,7 +177,11 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids (null unless ``keep_ids``).  Null text: empty."""
+    """doc_id, piece, start, length, ids_crc32, ids (null unless ``keep_ids``).
+
+    Null text counts as empty and gives the end id alone.  Rows that repeat id and text give the same
+    pieces as often as they come in; a very long text is tokenised whole and cut afterwards.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pieces(tokenizer, capacity, end_id, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>")
 
@@ -223,7 +236,10 @@ def _place(table):
 
 
 def pack(found: DataFrame, capacity: int = 4096, salt_rows: int = 200_000) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces`` rows.  Ties among equal lengths go by a hash of the id."""
+    """Adds sequence_id and offset to ``pieces`` rows; every row gets a place of its own, repeated or not.
+
+    Pieces of one length are numbered in parts of about ``salt_rows`` rows of all lengths, dealt by a hash.
+    """
     found = staged(found, "pieces")
     spark = found.sparkSession
     salt = max(1, -(-found.count() // salt_rows))
