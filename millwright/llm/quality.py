@@ -123,7 +123,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, sample_rows: i
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, cut: float = 0.5) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted.  Null text scores as empty.
 
-    Without any labelled rows every score is 0.5.  A null id is not held out.
+    Without any labelled rows every score is 0.5.  A null id is not held out.  Rows that repeat id and text
+    score alike, and count as often as they come in when they are labelled; very long texts are read whole.
     """
     w = fit(labelled_rows(docs, labels, "quality", sample_rows), sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(w)

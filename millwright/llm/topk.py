@@ -11,6 +11,7 @@ parameter), each block sees all candidates, and blocks are merged by union.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.llm.common import shared_folder
+
 STEP = 4096
 
 
 def integer_vectors(df: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component; vectors that are null or hold null or
-    non-finite components, and rows without an id, are left out."""
+    non-finite components, and rows without an id, are left out; rows that repeat stay as they are,
+    vectors of any length are taken whole, an empty one has no components."""
     x = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     fine = ~F.exists("e", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return x.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(fine).select("vec_id", F.transform("e", lambda c: F.floor(c * scale).cast("long")).alias("v"))
@@ -91,20 +95,29 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block_rows: in
     spark = queries.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     total = queries.count()
-    blocks = max(1, -(-total // max(1, block_rows // 2))) if total > block_rows else 1
-    out = None
+    if not total:
+        return spark.createDataFrame([], _TOP)
+    if total <= block_rows:
+        return _block(queries, candidates, k)
+    # one job for each block, its rows added to one table: no plan grows with the number of queries
+    blocks = -(-2 * total // block_rows)
+    path = f"{shared_folder(spark)}/millwright/top-k-{uuid.uuid4().hex}"
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        width = max(len(r[1]) for r in rows)
-        query = np.zeros((len(rows), width), np.int64)
-        for i, r in enumerate(rows):
-            query[i, : len(r[1])] = r[1]
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), query))
-        found = candidates.select("vec_id", "v").mapInArrow(_select(shared, k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        _block(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), candidates, k).write.mode("append").parquet(path)
+    return spark.read.schema(_TOP).parquet(path)
+
+
+_TOP = "query_id long, rank int, vec_id long, score long"
+
+
+def _block(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of one block of queries, about ``block_rows`` of them, that goes to all tasks."""
+    spark = queries.sparkSession
+    rows = queries.collect()
+    query = np.zeros((len(rows), max((len(r[1]) for r in rows), default=0)), np.int64)
+    for i, r in enumerate(rows):
+        query[i, : len(r[1])] = r[1]
+    shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), query))
+    found = candidates.select("vec_id", "v").mapInArrow(_select(shared, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

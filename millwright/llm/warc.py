@@ -14,6 +14,7 @@ and payload digest are checked.  A bad record stops the read with its archive an
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from millwright.llm.common import staged
 
+BROADCAST_DIGESTS = 200_000  # about 30 MB
 MAGIC_DICT = 0x184D2A5D  # skippable frame that holds the dictionary
 MAGIC_FRAME = 0xFD2FB528
 MAGIC_TRAINED = 0xEC30A437
@@ -172,27 +174,37 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 8 <<
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.select("*", F.sha2("html", 256).alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = staged(first, "first-pages")
+    if first.count() <= BROADCAST_DIGESTS:  # else by a join that deals the payloads out
+        first = F.broadcast(first)
     rows = rows.join(first, "payload_digest", "left")
     again = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     rows = rows.select("page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), "payload_digest", "payload_bytes", F.when(again, F.col("first")).alias("refers_to"), F.when(~again, F.col("html")).alias("html"))
     return staged(rows.mapInArrow(_write(archive_bytes), "archive string, content binary"), "archives")
 
 
+_RECORD = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
+
+
+def _records(name: str, data: bytes) -> Iterator[dict]:
+    """Records of one archive; whatever is wrong with a frame or a record is told with its place."""
+    import zstandard
+
+    at = 0
+    try:
+        for at, record in unpack_archive(data):
+            yield parse_record(record)
+    except (ValueError, IndexError, struct.error, zstandard.ZstdError) as e:
+        raise ValueError(f"{name}, at or after byte {at}: {e}") from e
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
+    schema = pa.schema(list(_RECORD.items()))
     for batch in batches:
         for name, data in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist()):
-            rows: list[dict] = []
-            for at, record in unpack_archive(data):
-                try:
-                    rows.append(parse_record(record))
-                except ValueError as e:
-                    raise ValueError(f"{name}, byte {at}: {e}") from e
-                if len(rows) == 500:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema(list(types.items())))
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(types.items())))
+            found = _records(name, data)
+            while rows := list(itertools.islice(found, 500)):
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
