@@ -1,12 +1,14 @@
 """Operator 6: removal of sentence spans that repeat across the corpus.
 
-A sentence ends after ``. ! ?`` (and what follows up to the next blank) or at a line end.  From every
-sentence the span of ``run`` consecutive sentences that starts there is hashed (128 bits, over the
+A sentence ends at a blank after ``. ! ?``, after ``。！？`` or at a line end, and a clause of it is taken
+for a sentence of its own: ``, ; :`` count like the other marks.  A passage that begins and ends inside
+sentences still holds most of its clauses whole, so that runs of them can ask for more words than a passage's
+few whole sentences have, and leave common short sentences alone.  From every sentence the span of ``run`` consecutive sentences that starts there is hashed (128 bits, over the
 trimmed sentences); a span short of ``least_words`` words grows by further sentences until it has
 them, so that runs of one-word sentences do not count.  Fewer sentences are a span
 if they have ``few_words`` words.  Spans up to a sentence are added where needed, so that a repeated run of
-whole sentences with ``long_words`` words (over 50) is covered whole, whatever its sentence lengths.  The spans join globally on their hash; the one
-with the smallest (document, position) is the first, and every sentence covered by a span that is
+whole sentences with ``long_words`` words (over 50) is covered whole, whatever its sentence lengths.  The spans join
+globally on their hash; the one with the smallest (document, position) is the first, and every sentence covered by a span that is
 not the first of its hash is removed.  Spans may start anywhere, so overlapping repeats are found.
 
 A batch sends its first span of each hash to the hash's task (its own later copies are repeats by
@@ -29,7 +31,8 @@ from millwright.llm.common import staged
 _BLANK = np.zeros(256, bool)
 _BLANK[np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)] = True
 _STOP = np.zeros(256, bool)
-_STOP[np.frombuffer(b".!?", np.uint8)] = True
+_STOP[np.frombuffer(b".!?,;:", np.uint8)] = True
+_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "。！？，；："], np.int32)
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -44,8 +47,11 @@ def sentences(body: np.ndarray, offsets: np.ndarray):
     cut[offsets] = True
     line = body == 0x0A
     cut[1:] |= line
-    # a blank right after a stop mark ends the sentence
+    # a blank right after a stop mark ends the sentence, and a full-width stop mark does by itself
     cut[1:-1] |= _STOP[body[:-1]] & blank[1:]
+    if n > 2:
+        mark = (body[:-2].astype(np.int32) << 16) | (body[1:-1].astype(np.int32) << 8) | body[2:]
+        cut[3:] |= np.isin(mark, _WIDE)
     edge = np.flatnonzero(cut)
     start, end = edge[:-1], edge[1:]
     dense = np.concatenate(([0], np.cumsum(~blank)))
@@ -58,6 +64,7 @@ def sentences(body: np.ndarray, offsets: np.ndarray):
     head[1:] &= blank[:-1]
     row_start = offsets[:-1][offsets[:-1] < n]
     head[row_start] = ~blank[row_start]
+    head |= (body >= 0xE3) & (body <= 0xE9)  # kana and ideographs stand without blanks: each counts
     heads = np.concatenate(([0], np.cumsum(head)))
     return start, end, heads[end] - heads[start], np.searchsorted(start, offsets)
 
@@ -159,7 +166,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r0, r1 - r0), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "n_sentences", "n_removed", "n_bytes_removed", "removed", "kept"])
 
 
-def remove_repeated_spans(docs: DataFrame, run: int = 3, least_words: int = 20, few_words: int = 30, long_words: int = 51) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, run: int = 3, least_words: int = 16, few_words: int = 30, long_words: int = 51) -> DataFrame:
     """Per row: doc_id, n_sentences, n_removed, n_bytes_removed, removed (sentence spans), kept (text).
 
     Null text counts as empty.  The order of documents is (doc_id, a hash of the text), a null id
