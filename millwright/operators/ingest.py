@@ -25,13 +25,14 @@ Reader = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 def assemble(master: DataFrame, ledger: DataFrame, production: DataFrame, inspection: DataFrame) -> dict[str, DataFrame]:
     """Tool records, their runs, inspection items and everything that was lost on the way.
 
-    ``inspection`` has the rows of ``usage.inspection_items``.  Runs and items are read more than once, so
-    they are written first.
+    ``inspection`` has the rows that ``usage.inspection_items`` takes.  What is read more than once is
+    written first.
     """
     tools, dropped = U.tool_index(master)
     equipment = U.equipment_index(master)
     events, rejected = U.clean_ledger(ledger)
     by_day, unreadable = U.production_index(production)
+    tools, events, by_day = (staged(x, name) for x, name in ((tools, "tools"), (events, "events"), (by_day, "production")))
     runs = U.resolve_runs(U.pair_runs(events), tools, equipment)
     rated = staged(U.install_seq(U.defect_rates(runs, by_day)), "rated-runs")
     records = staged(U.tool_records(tools, rated, U.latest_locations(events)), "records")
