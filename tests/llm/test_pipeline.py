@@ -1,8 +1,10 @@
 """Every stage of the corpus pipeline against brute force, each on its own input."""
 
+import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_llm import SMALL, awkward, brute_components, brute_hits, frame
 
 from millwright.llm import secrets, toxicity
@@ -54,5 +56,30 @@ def test_stages(spark):
         docs = out
 
 
+def test_stages_on_empty_and_odd_rows(spark):
+    """Empty tables, nulls in every column, repeated rows, a very long text and columns with clashing names."""
+    rng = random.Random(17)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(150_000))
+    none = frame(spark, [(1, "x")]).selectExpr("doc_id", *[f"cast(null as {k}) as `{c}`" for c, k in frame(spark, []).dtypes if c != "doc_id"])
+    odd = frame(spark, [(1, long), (1, long), (2, None), (2, None), (None, None), (None, "some words"), (None, "some words"), (3, ""), (4, "a few other words here"), (4, "a few other words here"), (5, long + " end")])
+    odd = odd.unionByName(none.withColumn("doc_id", F.lit(6).cast("long")))
+    for docs in (frame(spark, []), odd):
+        docs = staged(docs, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs.count()
+            docs = staged(stage(spark, docs, SMALL), name)
+            if name != "packing":
+                assert docs.columns == odd.columns
+            if before == 0:
+                assert docs.count() == 0
+            elif name == "near_dedup":
+                kept = sorted((str(r.doc_id), len(r.text or "")) for r in docs.collect())
+                assert kept == sorted([("1", len(long)), ("2", 0), ("2", 0), ("None", 0), ("None", 10), ("None", 10), ("3", 0), ("4", 22), ("6", 0)])
+            elif name == "packing":
+                assert docs.where("doc_id = 1").selectExpr("sum(length)").first()[0] > 150_000 and docs.where("doc_id = 2").count() == 2
+            else:
+                assert docs.count() == before
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
