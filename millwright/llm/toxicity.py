@@ -26,6 +26,7 @@ from millwright.llm.common import held_out, staged
 from millwright.llm.quality import labelled_rows
 
 DENSE, QUERIES = 256, 32  # terms, and queries, of one matrix product
+STEP = 1024  # examples that are added to the lists at a time
 SLACK = (DENSE + 8) * 2.0**-22  # twice the error of a cosine in single precision, and some more
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x80:] = 1
@@ -76,23 +77,45 @@ class Examples:
         self.ready = False
 
     def _build(self) -> None:
-        row = np.repeat(np.arange(len(self.doc)), np.diff(self.at))
-        self.value = _weights(row, self.term, self.count.astype(np.int64), self.idf)
+        """Lists and matrix, in few arrays at a time, as every worker of an executor has its own."""
+        n = len(self.doc)
+        self.norm = np.ones(n)
+        for lo in range(0, n, STEP):  # rows end to end, so their values too
+            hi = min(n, lo + STEP)
+            row = np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1]))
+            value = self.values(slice(self.at[lo], self.at[hi]), row + lo)
+            norm = np.sqrt(np.bincount(row, value * value, hi - lo))
+            self.norm[lo:hi] = np.where(norm > 0, norm, 1)
         held = np.bincount(self.term, minlength=len(self.space))
-        self.column = np.full(len(self.space), -1)
         most = np.argsort(-held, kind="stable")[:DENSE]
+        self.column = np.full(len(self.space), -1, np.int32)
         self.column[most] = np.arange(len(most))
-        self.matrix = np.zeros((len(most), len(self.doc)), np.float32)
-        at = self.column[self.term]
-        self.matrix[at[at >= 0], row[at >= 0]] = self.value[at >= 0]
-        order = np.flatnonzero(at < 0)
-        order = order[np.argsort(self.term[order], kind="stable")]
+        self.matrix = np.zeros((len(most), n), np.float32)
         held[most] = 0
         self.lists = np.concatenate(([0], np.cumsum(held)))
-        self.p, self.v = row[order].astype(np.int32), self.value[order].astype(np.float32)
+        self.p, self.v = np.empty(self.lists[-1], np.int32), np.empty(self.lists[-1], np.float32)
+        fill = self.lists[:-1].copy()
+        for lo in range(0, n, STEP):
+            hi = min(n, lo + STEP)
+            part = slice(self.at[lo], self.at[hi])
+            row, term = np.repeat(np.arange(lo, hi), np.diff(self.at[lo : hi + 1])), self.term[part]
+            value, column = self.values(part, row), self.column[term]
+            dense = column >= 0
+            self.matrix[column[dense], row[dense]] = value[dense]
+            row, term, value = row[~dense], term[~dense], value[~dense]
+            order = np.argsort(term, kind="stable")
+            row, term, value = row[order], term[order], value[order]
+            # the k-th of a term in these rows goes k places behind what its list has so far
+            place = fill[term] + np.arange(len(term)) - np.searchsorted(term, term)
+            self.p[place], self.v[place] = row, value
+            np.add.at(fill, term, 1)
         self.query = np.zeros(len(self.space))
         self.ready = True
 
+    def values(self, at, row) -> np.ndarray:
+        """TF-IDF values at places of the rows, of unit length by row."""
+        return (1 + np.log(self.count[at].astype(np.int64))) * self.idf[self.term[at]] / self.norm[row]
+
     def nearest(self, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places of the k nearest examples, cosines), best first; places with cosine 0 never."""
         return next(self.nearest_all(np.array([0, len(term)]), term, value, k))
@@ -122,7 +145,7 @@ class Examples:
         size = self.at[place + 1] - self.at[place]
         at = _ranges(self.at[place], size)
         self.query[term] = value
-        score = np.bincount(np.repeat(np.arange(len(place)), size), self.value[at] * self.query[self.term[at]], len(place))
+        score = np.bincount(np.repeat(np.arange(len(place)), size), self.values(at, np.repeat(place, size)) * self.query[self.term[at]], len(place))
         self.query[term] = 0
         best = np.lexsort((self.doc[place], -np.round(score, 12)))[:k]
         return place[best], score[best]
@@ -159,18 +182,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Exampl
     found = staged(rows.mapInArrow(_examples, "doc_id long, label int, terms array<long>, counts array<int>"), "examples").toArrow()
     doc, label = (found.column(c).to_numpy().astype(t) for c, t in (("doc_id", np.int64), ("label", float)))
     size = found.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    word, count = (found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
-    del found
     order = np.lexsort((size, label, doc))
     at = _ranges((np.cumsum(size) - size)[order], size[order])
-    doc, label, size, word, count = doc[order], label[order], size[order], word[at].view(np.uint64), count[at]
+    word = found.column("terms").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at].view(np.uint64)
+    count = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at].astype(np.int32)
+    del found, at
+    doc, label, size = doc[order], label[order], size[order]
     prior = float(label.mean()) if len(label) else 0.5
     ends = np.cumsum(size)
     # equal examples count once
     known: dict[bytes, int] = {}
     lead = np.array([known.setdefault(_key(word[b - n : b], count[b - n : b]), r) == r for r, (b, n) in enumerate(zip(ends.tolist(), size.tolist()))], bool)
-    space, term = np.unique(word, return_inverse=True)
-    row = np.repeat(np.arange(len(doc)), size)
+    del known
+    space = np.unique(word)
+    term = np.searchsorted(space, word).astype(np.int32)
+    del word
+    row = np.repeat(np.arange(len(doc), dtype=np.int32), size)
     once = lead[row]
     n = np.bincount(term[once], minlength=len(space)).astype(float)
     t = np.bincount(term[once], label[row[once]], len(space))
