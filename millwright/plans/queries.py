@@ -230,7 +230,7 @@ def level_prediction(spark, d):
 @query(f"""WITH {_DD}, {_WET}, z AS (SELECT lot_id, avg(CASE WHEN zone = 1 THEN wet END) AS z1, avg(CASE WHEN zone = 2 THEN wet END) AS z2 FROM wl GROUP BY 1),
  e AS (SELECT lot_id, coalesce(4 - z1, 0) AS e1, coalesce(4 - z2, 0) AS e2 FROM z), g AS (SELECT lot_id, 2 * (e1 + 0.1 * e2) AS g1, 2 * (0.1 * e1 + e2) AS g2 FROM e),
  c AS (SELECT *, (2.06 * g1 - 0.38 * g2) / (2.06 * 2.06 - 0.38 * 0.38) AS x1, (2.06 * g2 - 0.38 * g1) / (2.06 * 2.06 - 0.38 * 0.38) AS x2 FROM g
-  UNION ALL SELECT *, b, greatest(-5, least(5, (g2 - 0.38 * b) / 2.06)) FROM g, (VALUES (-5.0), (5.0)) t(b) UNION ALL SELECT *, greatest(-5, least(5, (g1 - 0.38 * b) / 2.06)), b FROM g, (VALUES (-5.0), (5.0)) t(b)),
+  UNION ALL SELECT g.*, b, greatest(-5, least(5, (g2 - 0.38 * b) / 2.06)) FROM g, (VALUES (-5.0), (5.0)) t(b) UNION ALL SELECT g.*, greatest(-5, least(5, (g1 - 0.38 * b) / 2.06)), b FROM g, (VALUES (-5.0), (5.0)) t(b)),
  o AS (SELECT *, 1.03 * x1 * x1 + 0.38 * x1 * x2 + 1.03 * x2 * x2 - g1 * x1 - g2 * x2 AS cost FROM c WHERE x1 BETWEEN -5 AND 5 AND x2 BETWEEN -5 AND 5)
  SELECT lot_id, round(200 + arg_min(x1, cost), 4) AS gap1, round(200 + arg_min(x2, cost), 4) AS gap2 FROM o GROUP BY 1""")
 def recommended_gaps(spark, d):
