@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontam, forest, packing, quality, secrets, sentences, suffix_dedup, topk, toxicity, warc
+from millwright.llm import decontam, forest, packing, pieces, quality, resampling, secrets, sentences, suffix_dedup, topk, toxicity, warc, whitening
 from millwright.llm.common import table
 
 
@@ -59,9 +59,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_quality, op3_near_dedup, op4_top_k, op5_toxicity, op6_sentence_spans, op7_packing, op8_decontamination, op9_secrets, op10_warc)
+    for f in (op1_suffix_dedup, op2_quality, op3_near_dedup, op4_top_k, op5_toxicity, op6_sentence_spans, op7_packing, op8_decontamination, op9_secrets, op10_warc, op11_sentencepiece, op12_resampling, op13_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
