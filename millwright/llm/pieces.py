@@ -6,11 +6,12 @@ joined, its new neighbours join the agenda, and pairs whose symbols have changed
 over.  Joined pieces that the vocabulary marks as unused fall back into their parts, symbols without
 a piece into bytes.
 
-No piece holds a word character followed by the space mark, so nothing is ever joined across such a
-place: a text falls into units (space marks, then what follows up to the next one) that are encoded
-one by one, and each distinct unit of a batch once.  Every distinct unit is checked against the
-sentencepiece library before its ids are used, one call for each Arrow slice; a vocabulary with such
-pieces, or with a normaliser of its own, has whole texts as units and whole texts checked.
+Two characters that stand next to each other in no piece are never joined: there a text falls into
+units (before space marks, and between ASCII characters of that kind) that are encoded one by one, and
+each distinct unit of a batch once.  Every distinct unit is checked against the sentencepiece library
+before its ids are used, one call for each Arrow slice, behind a character that no piece holds.  A
+vocabulary with pieces across space marks, without bytes to fall back to or with a normaliser of its own
+has whole texts as units and whole texts checked.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Vocabulary:
     which costs time but never changes a result.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -80,6 +81,16 @@ class Vocabulary:
         self.room, self.known, self.pool, self.at = room, {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.no_blank = self.control | set(self.byte_id.values()) | {self.unknown}
         self.of_byte = np.array([self.byte_id.get(k, self.unknown) for k in range(256)], np.int32)
+        #: [a, b]: no piece holds these ASCII characters next to each other
+        apart = np.zeros((256, 256), bool)
+        apart[:128, :128] = True
+        for p in self.ids:
+            for a, b in zip(p, p[1:]):
+                if a < "\x80" and b < "\x80":
+                    apart[ord(a), ord(b)] = False
+        self.apart = apart.ravel()
+        chars = set(chain.from_iterable(self.ids))
+        self.guard = next(chr(c) for c in chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE)) if chr(c) not in chars)
         self._tables()
 
     def normalize(self, text: str) -> str:
@@ -249,11 +260,12 @@ class Vocabulary:
         names += rest
         flat = np.concatenate([*ids, np.fromiter(chain.from_iterable(own), np.int32)])
         many = np.concatenate([*sizes, np.fromiter(map(len, own), np.int64)])
-        # the library puts the first space mark there itself; it has no ids for an empty text, so that the mark alone isn't checked
-        theirs = self.library.encode([u[1:].replace(MARK, " ") for u in names], num_threads=1)
-        alone = np.fromiter((len(u) == 1 for u in names), bool, len(names))
+        theirs = self.library.encode([self.guard + u.replace(MARK, " ") for u in names], num_threads=1)
+        front = 1 + len(self.guard.encode())  # ids of the first space mark and of the guard
+        sizes = np.fromiter(map(len, theirs), np.int64)
         got = np.fromiter(chain.from_iterable(theirs), np.int32)
-        if not (np.array_equal(many[~alone], np.fromiter(map(len, theirs), np.int64)[~alone]) and np.array_equal(flat[np.repeat(~alone, many)], got)):
+        inner = np.arange(len(got)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= front
+        if not (np.array_equal(many + front, sizes) and np.array_equal(flat, got[inner])):
             raise ValueError(f"the library encodes a unit otherwise, one of {names[:20]}")
         return names, flat, many
 
@@ -277,6 +289,7 @@ class Vocabulary:
         mark = np.zeros(len(body) + 3, bool)
         mark[3:-2] = (body[:-2] == lead) & (body[1:-1] == mid) & (body[2:] == last)
         first = mark[3:] & ~mark[:-3]
+        first[1:] |= self.apart[body[:-1].astype(np.uint16) << 8 | body[1:]]
         first[bound[:-1][np.diff(bound) > 0]] = True
         start = np.append(np.flatnonzero(first), len(body))
         units = pa.StringArray.from_buffers(len(start) - 1, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(body)).dictionary_encode()
@@ -294,7 +307,7 @@ class Vocabulary:
         at = at[place]
         size = self.at[at + 1] - self.at[at]
         end = np.cumsum(size)
-        out = self.pool[np.arange(end[-1]) + np.repeat(self.at[at] - end + size, size)]
+        out = self.pool[np.arange(end[-1], dtype=np.int32) + np.repeat((self.at[at] - end + size).astype(np.int32), size)]
         return out, np.concatenate(([0], end))[np.searchsorted(start, bound)]
 
     def decode(self, ids: list[int]) -> str:
@@ -325,7 +338,7 @@ def _encode(path: str):
         for batch in batches:
             texts = batch.column("text")
             _, off = X.flat(texts)
-            for lo, hi in X.slices(off, 1 << 22):
+            for lo, hi in X.slices(off, 1 << 21):
                 ids, at = vocab.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "text"), column], names=[*(c for c in batch.schema.names if c != "text"), "ids"])
@@ -337,10 +350,12 @@ def _decode(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            ids, names = batch.column("ids"), batch.schema.names
-            size = np.append(0, np.cumsum(np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)), dtype=np.int64))
-            for lo, hi in X.slices(size, 1 << 20):
-                rows = [x or [] for x in ids.slice(lo, hi - lo).to_pylist()]
+            ids, names = batch.column("ids").fill_null(pa.scalar([], pa.list_(pa.int32()))) if batch.column("ids").null_count else batch.column("ids"), batch.schema.names
+            off = ids.offsets.to_numpy().astype(np.int64)
+            for lo, hi in X.slices(off, 1 << 20):
+                flat = ids.values.slice(off[lo], off[hi] - off[lo]).to_numpy().tolist()
+                at = (off[lo : hi + 1] - off[lo]).tolist()
+                rows = [flat[a:b] for a, b in zip(at, at[1:])]
                 own = list(map(vocab.decode, rows))
                 if check and own != vocab.library.decode(rows, num_threads=1):
                     raise ValueError("the library decodes otherwise")
