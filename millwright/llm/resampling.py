@@ -208,7 +208,7 @@ def _frequent_words(share: float):
             often = np.flatnonzero(count >= least)
             at = some[order[new[often]]]
             words = [body[start[k] : end[k]].tobytes() for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(count[often], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.binary()), pa.array([*count[often].tolist(), len(start)], pa.int64())], names=["word", "n"])
 
     return run
 
@@ -225,21 +225,27 @@ def _frequent_pairs(shared, share: float):
             at = at[place[at + 1] >= 0]
             key, count = np.unique(place[at] << 32 | place[at + 1], return_counts=True)
             often = count >= max(2, share * len(start))
-            yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(count[often], pa.int64())], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*key[often].tolist(), None], pa.int64()), pa.array([*count[often].tolist(), len(start)], pa.int64())], names=["pair", "n"])
 
     return run
 
 
-def head(texts: DataFrame, words: int = 50_000, pairs: int = 100_000) -> Head:
-    """The ``words`` most frequent words and ``pairs`` most frequent pairs of them, as bounds of the broadcast.
+def _most(found: DataFrame, key: str, bound: int, name: str) -> list:
+    """Keys with half of 1 / ``bound`` of all words at least, so 2 * ``bound`` at most; a null key holds the number of words."""
+    counts = staged(found.groupBy(key).agg(F.sum("n").alias("n")), name)
+    total = counts.where(F.col(key).isNull()).agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("n") * (2 * bound) >= total)).select(key).orderBy(key).collect()]
 
-    A word that makes up at least 1 / ``words`` of all words does so in some slice of 8 MB too, so each slice
-    sends on those only, ``words`` at most; their counts are added up.  Pairs likewise."""
-    found = texts.mapInArrow(_frequent_words(1 / words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r[0]) for r in found.orderBy(F.desc("n"), "word").limit(words).collect()]  # bounded by ``words``
+
+def head(texts: DataFrame, words: int = 40_000, pairs: int = 100_000) -> Head:
+    """Words that make up 1 / ``words`` of all words, and pairs of them that make up 1 / ``pairs``; twice as many
+    of each are broadcast at most.
+
+    Such a word makes up that share of some slice of 8 MB too, so each slice sends on those only and their
+    counts are added up; what slices without it hold is missing, so half the share is asked for."""
+    top = [bytes(w) for w in _most(texts.mapInArrow(_frequent_words(1 / words), "word binary, n long"), "word", words, "head-words")]
     shared = texts.sparkSession.sparkContext.broadcast(Head(top))
-    found = texts.mapInArrow(_frequent_pairs(shared, 1 / pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    both = [r[0] for r in found.orderBy(F.desc("n"), "pair").limit(pairs).collect()]  # bounded by ``pairs``
+    both = _most(texts.mapInArrow(_frequent_pairs(shared, 1 / pairs), "pair long, n long"), "pair", pairs, "head-pairs")
     return Head(top, [(p >> 32, p & 0xFFFFFFFF) for p in both])
 
 
@@ -298,7 +304,7 @@ def draw(docs: DataFrame, target: DataFrame, percent: int = 5, least_words: int
     wanted = target.select(F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(head(texts.select("text")))
     gain = spark.sparkContext.broadcast(gains(bucket_totals(texts.select("text"), shared), bucket_totals(wanted, shared)))
-    rows = texts.mapInArrow(_weights(shared, gain), "doc_id long, n_features long, n_words long, weight long")
+    rows = staged(texts.mapInArrow(_weights(shared, gain), "doc_id long, n_features long, n_words long, weight long"), "weights")
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0)))
