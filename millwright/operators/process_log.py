@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from millwright.sources.staging import staged
 
 KEY = ["lot_id", "item_id"]
+SEGMENT = 1440  # minutes; a lot is worked on in pieces of this length
+PIECE = ["lot_id", "seg"]
+
+
+def _segment(at: Column | str, minutes: float) -> Column:
+    """Number of the piece of time that holds ``at``."""
+    return F.floor(F.unix_micros(at) / F.lit(int(minutes * 60_000_000)))
 
 
 def with_catalogue(readings: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -62,10 +69,6 @@ def lot_bounds(deduped: DataFrame) -> DataFrame:
     return deduped.groupBy("lot_id").agg(F.min("worked_at").alias("started_at"), F.max("worked_at").alias("ended_at"), first.alias("product"))
 
 
-def _real_change() -> Column:
-    return F.col("prev_value").isNotNull() & F.col("value").isNotNull()
-
-
 def control_changes(changes: DataFrame, catalogue: DataFrame) -> DataFrame:
     return changes.join(catalogue.where("role = 'control'").select("item_id", "zone"), "item_id").where(F.col("prev_value").isNotNull())
 
@@ -80,16 +83,30 @@ def tuning_end_last_change(changes: DataFrame, catalogue: DataFrame) -> DataFram
     return changes.select("lot_id").distinct().join(hit, "lot_id", "left")
 
 
-def build_events(changes: DataFrame, catalogue: DataFrame, merge_minutes: float = 2) -> tuple[DataFrame, DataFrame]:
-    """(events, deltas).  A gap equal to ``merge_minutes`` to the change before stays inside."""
-    c = control_changes(changes, catalogue)
-    w = W.partitionBy("lot_id").orderBy("worked_at", "item_id")
-    gap = F.unix_micros("worked_at") - F.unix_micros(F.lag("worked_at").over(w))
-    c = c.withColumn("new", F.coalesce((gap > int(merge_minutes * 60_000_000)).cast("int"), F.lit(1)))
-    c = c.withColumn("event_id", F.concat_ws("#", "lot_id", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("string")))
+def build_events(changes: DataFrame, catalogue: DataFrame, merge_minutes: float = 2, segment_minutes: float = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """(events, deltas).  A gap equal to ``merge_minutes`` to the change before stays inside.
+
+    A scan in pieces: changes are sorted within the pieces of a lot and numbered there; a summary row for each
+    piece (first change, last change, events that begin behind the first) is summed up along the lot, and
+    gives each piece the number of events before it.  However long a lot is, a task has one piece of it; the
+    pieces' length changes no result.
+    """
+    least = int(merge_minutes * 60_000_000)
+    inside = W.partitionBy(*PIECE).orderBy("worked_at", "item_id")
+    gap = F.unix_micros("worked_at") - F.unix_micros(F.lag("worked_at").over(inside))
+    c = control_changes(changes, catalogue).withColumn("seg", _segment("worked_at", segment_minutes))
+    c = c.withColumn("new", F.coalesce((gap > least).cast("int"), F.lit(0)))
+    c = c.withColumn("inner", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    c = staged(c.select(*PIECE, "worked_at", "item_id", "zone", (F.col("value") - F.col("prev_value")).alias("delta"), "inner"), "control-changes")
+    along = W.partitionBy("lot_id").orderBy("seg")
+    per = c.groupBy(*PIECE).agg(F.min("worked_at").alias("first"), F.max("worked_at").alias("last"), F.max("inner").alias("n"))
+    gap = F.unix_micros("first") - F.unix_micros(F.lag("last").over(along))
+    per = per.withColumn("opens", F.coalesce((gap > least).cast("int"), F.lit(1)))
+    before = F.coalesce(F.sum(F.col("n") + F.col("opens")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("opens")
+    c = c.join(per.select(*PIECE, before.alias("before")), PIECE)
+    c = c.withColumn("event_id", F.concat_ws("#", "lot_id", (F.col("before") + F.col("inner")).cast("string")))
     events = c.groupBy("lot_id", "event_id").agg(F.min("worked_at").alias("worked_at"), F.count_distinct("item_id").alias("n_items"))
-    deltas = c.select("lot_id", "event_id", "worked_at", "item_id", "zone", (F.col("value") - F.col("prev_value")).alias("delta"))
-    return events, deltas
+    return events, c.select("lot_id", "event_id", "worked_at", "item_id", "zone", "delta")
 
 
 def wet_long(deduped: DataFrame, catalogue: DataFrame, role: str = "loading_level") -> DataFrame:
@@ -114,24 +131,54 @@ def wet_mean(wet: DataFrame) -> DataFrame:
     return wet.groupBy("lot_id", "worked_at").agg(F.avg("wet").alias("wet_mean"))
 
 
-def annotate_settling(events: DataFrame, means: DataFrame, std_max: float = 0.02, window: int = 5, max_wait_minutes: float = 30) -> DataFrame:
+def with_tails(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (lot_id, seg, worked_at, wet_mean, and ``left``, the rows of the piece from this one on) and in every piece the
+    last ``k`` rows of the lot before it, marked by ``tail``: what a frame of k rows back needs.
+
+    Of every piece only its last k rows go along the lot; a piece has one row at least, so the k pieces before hold them."""
+    ends = rows.where(F.col("left") <= k).groupBy(*PIECE).agg(F.array_sort(F.collect_list(F.struct("worked_at", "wet_mean"))).alias("end"))
+    along = W.partitionBy("lot_id").orderBy("seg").rowsBetween(-k, -1)
+    ends = ends.withColumn("end", F.flatten(F.collect_list("end").over(along)))
+    tails = ends.select(*PIECE, F.inline(F.slice("end", F.greatest(F.size("end") - (k - 1), F.lit(1)), k)))
+    cols = [*PIECE, "worked_at", "wet_mean"]
+    return rows.select(*cols, F.lit(False).alias("tail")).unionByName(tails.select(*cols, F.lit(True).alias("tail")))
+
+
+def stable_windows(means: DataFrame, std_max: float = 0.02, window: int = 5, segment_minutes: float = SEGMENT) -> DataFrame:
+    """(lot_id, at, end): first and last time of every run of ``window`` rows whose deviation is ``std_max`` at most."""
+    w = max(2, window)
+    rows = means.select("lot_id", "worked_at", "wet_mean").withColumn("seg", _segment("worked_at", segment_minutes))
+    rows = staged(rows.withColumn("left", F.row_number().over(W.partitionBy(*PIECE).orderBy(F.desc("worked_at")))), "means")
+    piece = W.partitionBy(*PIECE).orderBy("worked_at")
+    trail = piece.rowsBetween(-(w - 1), 0)
+    rows = with_tails(rows, w - 1).withColumn("std", F.stddev_pop("wet_mean").over(trail)).withColumn("n", F.count("wet_mean").over(trail)).withColumn("at", F.lag("worked_at", w - 1).over(piece))
+    stable = ~F.col("tail") & (F.col("n") == w) & (F.col("std") <= std_max) & F.col("at").isNotNull()
+    return rows.where(stable).select("lot_id", "at", F.col("worked_at").alias("end"))
+
+
+def annotate_settling(events: DataFrame, means: DataFrame, std_max: float = 0.02, window: int = 5, max_wait_minutes: float = 30, segment_minutes: float = SEGMENT) -> DataFrame:
     """settled_at, contaminated, drop_reason.
 
-    Stable windows are found once per lot and keyed by their first row; each event takes the first
-    one behind it, so events and rows are sorted together once instead of rescanned.
+    Stable windows are keyed by their first row; each event takes the first one behind it.  Events and windows
+    are sorted together within the pieces of a lot; what an event doesn't find in its piece it takes from a
+    summary row of the pieces behind (first event, end of the first stable window).
     """
-    w = max(2, window)
-    lot = W.partitionBy("lot_id").orderBy("worked_at")
-    trail = lot.rowsBetween(-(w - 1), 0)
-    rows = means.select("lot_id", "worked_at", "wet_mean")
-    rows = rows.withColumn("std", F.stddev_pop("wet_mean").over(trail)).withColumn("n", F.count("wet_mean").over(trail)).withColumn("from", F.lag("worked_at", w - 1).over(lot))
-    stable = rows.where((F.col("n") == w) & (F.col("std") <= std_max) & F.col("from").isNotNull()).select("lot_id", F.col("from").alias("at"), F.col("worked_at").alias("end"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("event_id"))
-    asks = events.select("lot_id", F.col("worked_at").alias("at"), F.lit(None).cast("timestamp").alias("end"), F.lit(1).alias("k"), "event_id")
+    none = F.lit(None).cast("timestamp")
+    stable = stable_windows(means, std_max, window, segment_minutes).select("*", F.lit(0).alias("k"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("long").alias("n_items"))
+    asks = events.select("lot_id", F.col("worked_at").alias("at"), none.alias("end"), F.lit(1).alias("k"), "event_id", F.col("n_items").cast("long").alias("n_items"))
+    both = stable.unionByName(asks).withColumn("seg", _segment("at", segment_minutes))
     # from the last row back, so that the frame grows row by row
-    behind = W.partitionBy("lot_id").orderBy(F.desc("at"), F.desc("k")).rowsBetween(W.unboundedPreceding, -1)
-    found = stable.unionByName(asks).withColumn("end", F.when(F.col("k") == 1, F.last("end", ignorenulls=True).over(behind))).where("k = 1")
-    nxt = F.lead("worked_at").over(W.partitionBy("lot_id").orderBy("worked_at", "event_id"))
-    out = events.withColumn("next_at", nxt).join(found.select("event_id", "end"), "event_id")
+    behind = W.partitionBy(*PIECE).orderBy(F.desc("at"), F.desc("k"), F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)
+    event = F.col("k") == 1
+    first = F.min(F.when(~event, F.struct("at", "end"))).over(W.partitionBy(*PIECE))
+    both = both.withColumn("found", F.when(event, F.last("end", ignorenulls=True).over(behind)).otherwise(F.col("end")))
+    both = both.withColumn("next_at", F.when(event, F.last(F.when(event, F.col("at")), ignorenulls=True).over(behind))).withColumn("first", first)
+    both = staged(both.where(event | (F.struct("at", "end") == F.col("first"))).drop("first", "end"), "settling-events")
+    later = W.partitionBy("lot_id").orderBy(F.desc("seg")).rowsBetween(W.unboundedPreceding, -1)
+    per = both.groupBy(*PIECE).agg(F.min(F.when(event, F.col("at"))).alias("event"), F.min(F.when(~event, F.col("found"))).alias("end"))
+    per = per.select(*PIECE, *[F.last(c, ignorenulls=True).over(later).alias(f"later_{c}") for c in ("event", "end")])
+    out = both.where(event).join(per, PIECE).withColumn("worked_at", F.col("at"))
+    out = out.withColumn("end", F.coalesce("found", "later_end")).withColumn("next_at", F.coalesce("next_at", "later_event"))
     in_time = F.unix_micros("end") - F.unix_micros("worked_at") <= int(max_wait_minutes * 60_000_000)
     out = out.withColumn("settled_at", F.when(in_time, F.col("end")))
     reason = F.when(F.col("settled_at").isNull(), "no_settle").when(F.col("next_at") < F.col("settled_at"), "overlapped")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,8 @@ from millwright.operators import process_log as P
 from millwright.operators import sessions as H
 from millwright.operators import usage as U
 from millwright.plans import views as V
-from millwright.sources.staging import staged
+from millwright.sources.staging import shared_folder, staged
+from millwright.streaming import settling as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,6 +136,33 @@ def settling(spark, d):
     return _annotated(spark, d)
 
 
+@query(f"WITH {_ANN} SELECT * FROM ann")
+def settling_stream(spark, d):
+    """The log replayed as a stream of four files, one row in five a day late: the events of ``settling``."""
+    log = staged(_deduped(spark, d), "deduped")
+    changes = P.control_changes(P.compress_runs(log), V.catalogue(spark))
+    rows = staged(ST.signals(changes, P.wet_mean(P.wet_long(log, V.catalogue(spark)))), "signals")
+    at = F.unix_seconds("worked_at") + F.when(F.xxhash64("worked_at", "lot_id") % 5 == 0, 86_400).otherwise(0)
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        return spark.createDataFrame([], ST.OUT)
+    folder = f"{shared_folder(spark)}/millwright/settling-{uuid.uuid4().hex}"
+    part = F.floor((at - lo) * 4 / (hi - lo + 1))
+    for k in range(4):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+    # two later rows move the watermark beyond the last deadline
+    for k in (1, 2):
+        last = spark.createDataFrame([("", hi + 86_400 * 30 * k)], "lot_id string, at long")
+        last.select("lot_id", F.timestamp_seconds("at").alias("worked_at"), F.lit(ST.MEAN).alias("kind"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("double").alias("wet_mean")).write.mode("append").parquet(f"{folder}/in")
+    own = spark.newSession()
+    own.conf.set(ST.STATE_STORE, ST.ROCKS)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 12).parquet(f"{folder}/in")
+    found = ST.stream_settling(stream, 6 * HOUR, 1.1, 2, 48 * HOUR, "2 days", 30 * 24 * HOUR)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(ST.OUT).parquet(f"{folder}/out")
+
+
 _DS = """cl AS (SELECT * FROM ann WHERE NOT contaminated),
  be AS (SELECT event_id, zone, avg(wet) AS m FROM cl JOIN wl ON cl.lot_id = wl.lot_id AND wl.worked_at BETWEEN cl.worked_at - INTERVAL {w} HOUR AND cl.worked_at GROUP BY 1, 2),
  af AS (SELECT event_id, zone, avg(wet) AS m FROM cl JOIN wl ON cl.lot_id = wl.lot_id AND wl.worked_at BETWEEN cl.settled_at AND cl.settled_at + INTERVAL {w} HOUR GROUP BY 1, 2),
