@@ -19,6 +19,7 @@ from millwright.plans import views as V
 from millwright.plans.queries import _REC, _U, _profiles, _rated, _records, _runs, _tools, query
 from millwright.sources import tables as T
 from millwright.sources.staging import shared_folder, staged
+from millwright.streaming import files as FS
 
 
 def _folder(spark, name: str) -> str:
@@ -88,6 +89,33 @@ def scan_files(spark, d):
     return T.scan(spark, root, dirs, {"ees", "mes", "iqc"}, ("txt",)).select("kind", "content_hash")
 
 
+@query("""SELECT CASE n_regionkey % 3 WHEN 0 THEN 'ees' WHEN 1 THEN 'mes' END AS kind, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS content_hash,
+ count(*) AS lines, min(n_name) AS first FROM nation WHERE n_regionkey % 3 <> 2 GROUP BY n_regionkey, 1""")
+def streamed_files(spark, d):
+    """The files of ``scan_files`` as a stream, two for each batch, and their lines: what the store then holds."""
+    root = _folder(spark, "files")
+    lines = _t(spark, d, "nation").repartition(1).sortWithinPartitions("n_regionkey", "n_nationkey")
+    lines.select(F.col("n_name").alias("value"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dir")).write.partitionBy("dir").text(root)
+    dirs = T.stage_dirs("dir=r0:ees, dir=r1 :mes,dir=r3:ees, dir=r4:mes")
+    store = T.Store(spark, _folder(spark, "store"))
+    read = lambda files: {"lines": files.select("path", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")}
+    files = FS.stream_files(spark, root, dirs, {"ees", "mes"}, ("txt",), per_batch=2)
+    FS.ingest_files(files, store, _folder(spark, "stream"), read).awaitTermination()
+    per = store.load("lines").groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first"))
+    return store.load("files").join(per, "path").select("kind", "content_hash", "lines", "first")
+
+
+@query(f"""WITH {_U}, rn AS (SELECT mold_no, count(*) AS runs, count(DISTINCT equipment) AS machines FROM ru GROUP BY 1)
+ SELECT ti.mold_no, ti.line, coalesce(runs, 0) AS runs, coalesce(machines, 0) AS machines FROM ti LEFT JOIN rn USING (mold_no)""")
+def runs_of_published_tools(spark, d):
+    """Tools and runs published in buckets of the tool id: the join and the counts read them without an exchange."""
+    store = T.Store(spark, _folder(spark, "store"))
+    store.replace_all({"tools": _tools(spark, d), "runs": _runs(spark, d)}, buckets={"tools": (8, "mold_no"), "runs": (8, "mold_no")})
+    per = store.load("runs").groupBy("mold_no").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("equipment").alias("machines"))
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "machines")}
+    return store.load("tools").join(per, "mold_no", "left").select("mold_no", "line", *zero.values())
+
+
 _FILES = """f AS (SELECT c_name AS path, c_mktsegment AS kind, md5(CAST(c_nationkey AS VARCHAR)) AS h FROM customer WHERE c_custkey % 11 <> 0),
  k AS (SELECT c_name AS path, CASE WHEN c_custkey % 5 = 0 THEN 'old' ELSE md5(CAST(c_nationkey AS VARCHAR)) END AS h FROM customer WHERE c_custkey % 7 <> 0)"""
 

@@ -1,5 +1,6 @@
 """Forms for long lots and for streams against the plain batch form."""
 
+import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millwright.operators import process_log as P
+from millwright.sources import tables as T
+from millwright.streaming import files as FS
 from millwright.streaming import settling as S
 
 T0 = datetime(2026, 7, 1)
@@ -140,3 +143,118 @@ def test_lot_state_is_small():
         lot.done(k * 60_000_000, 0, 30 * 60_000_000)
     assert len(lot.events) <= 2 and len(lot.trail) == 5 and not lot.waiting
     assert lot.wake(0, 60, 500) == lot.seen + 501
+
+
+# files and stores
+
+
+def texts(files):
+    return {"lines": files.select("path", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")}
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("where", ["before", "between", "after"])
+def test_a_replayed_batch_is_published_once(spark, tmp_path, where):
+    for k in range(7):
+        path = tmp_path / "in" / ("a" if k % 2 else "b") / f"{k}.txt"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"x{k}\ny{k}\n")
+    (tmp_path / "in/a/~$9.txt").write_text("lock")
+    (tmp_path / "in/c").mkdir()
+    (tmp_path / "in/c/8.txt").write_text("no kind")
+    (tmp_path / "in/a/deep").mkdir()
+    (tmp_path / "in/a/deep/8.txt").write_text("too deep")
+    store, left = T.Store(spark, f"{tmp_path}/store"), [1]
+
+    class Fragile(T.Store):
+        def _create(self, number, manifest):
+            if number == 2 and left and where == "between":
+                left.pop()
+                raise Broken
+            done = super()._create(number, manifest)
+            if number == 2 and left and where == "after":
+                left.pop()
+                raise Broken
+            return done
+
+    def rows(files):
+        if where == "before" and left and store.version() == 1:
+            left.pop()
+            raise Broken
+        return texts(files)
+
+    def run():
+        files = FS.stream_files(spark, f"{tmp_path}/in", {"a": "one", "b": "two"}, {"one", "two"}, ("txt",), per_batch=3)
+        FS.ingest_files(files, Fragile(spark, f"{tmp_path}/store"), f"{tmp_path}/cp", rows).awaitTermination()
+
+    with pytest.raises(Exception, match="Broken"):
+        run()
+    run()
+    assert not left
+    got = sorted(r.line for r in store.load("lines").collect())
+    assert got == sorted(f"{c}{k}" for k in range(7) for c in "xy")
+    files = store.load("files").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.kind, r.content_hash) for r in files) == [(f"{k}.txt", "one" if k % 2 else "two", hashlib.sha256(f"x{k}\ny{k}\n".encode()).hexdigest()) for k in range(7)]
+    assert store.version() in (3, 4)  # ten files in threes; a batch of files without a kind publishes nothing
+    version = store.version()
+    run()
+    assert store.version() == version and store.load("files").count() == 7  # nothing new
+    (tmp_path / "in/a/10.txt").write_text("z\n")
+    run()
+    assert store.version() == version + 1 and store.load("lines").count() == 15
+
+
+def test_two_publishers(spark, tmp_path):
+    one, two = T.Store(spark, str(tmp_path)), T.Store(spark, str(tmp_path))
+    row = lambda v: spark.createDataFrame([(v,)], "v string")
+
+    class Slow(T.Store):
+        def _create(self, number, manifest):
+            if number == 1:
+                two.replace_all({"t": row("two"), "u": row("u")})  # takes the number meanwhile
+            return super()._create(number, manifest)
+
+    assert Slow(spark, str(tmp_path)).publish({"t": row("slow")}, append=True) == 2
+    assert sorted(r.v for r in one.load("t").collect()) == ["slow", "two"] and one.load("u").count() == 1
+    with pytest.raises(T.Conflict):
+        one.replace_all({"t": row("x")}, base=1)
+    assert one.version() == 2 and one.load("t").count() == 2
+    assert one.replace_all({"t": row("y")}, base=2) == 3 and not one.has("u")
+
+
+def test_vacuum(spark, tmp_path):
+    store = T.Store(spark, str(tmp_path))
+    for k in range(3):
+        store.publish({"t": spark.range(k + 1)}, append=k == 2)
+    (tmp_path / "data/broken").mkdir()
+    folders = lambda: {p.name for p in (tmp_path / "data").iterdir()}
+    assert len(folders()) == 4
+    gone = store.vacuum(keep=1)
+    assert len(gone) == 1 and "broken" not in gone and store.load("t").count() == 5 and store.version() == 3
+    assert store.vacuum(keep=1, orphan_hours=-1) == ["broken"] and store.load("t").count() == 5
+
+
+def test_tables_laid_out_for_their_readers(spark, tmp_path):
+    store = T.Store(spark, str(tmp_path))
+    tools = spark.range(500).selectExpr("concat('RX', id) mold_no", "id n")
+    runs = spark.range(3000).selectExpr("concat('RX', id % 400) mold_no", "id started")
+    layout = {"records": (8, "mold_no"), "runs": (8, "mold_no")}
+    store.replace_all({"records": tools, "runs": runs}, buckets=layout)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = T.Store(spark, str(tmp_path))
+        joined = again.load("records").join(again.load("runs"), "mold_no").groupBy("mold_no").agg(F.count("started").alias("n"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, tools.join(runs, "mold_no").groupBy("mold_no").agg(F.count("started")).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for part in (tmp_path / "data").glob("*/runs/*.parquet"):
+        ids = [r[0] for r in spark.read.parquet(str(part)).collect()]
+        assert ids == sorted(ids)
+    store.publish({"runs": runs}, append=True)  # further parts end the layout, not the rows
+    assert store.load("runs").count() == 6000 and store.load("records").count() == 500
