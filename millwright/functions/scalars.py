@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that stand in an id cell without being an id, the status vocabulary, the
-# location rules and the timestamp formats in the order they are tried.
+# location rules, the timestamp formats in the order they are tried and the shape of a tool's name.
 NOT_A_TOOL = ["소계", "합계", "총계", "계", "-", "n/a", "na"]
 STATUS = {"사용중": "in_use", "사용": "in_use", "가동중": "in_use", "대기중": "standby", "대기": "standby", "보관중": "standby", "보관": "standby",
           "수리중": "repair", "수리": "repair", "정비중": "repair", "폐기": "retired", "폐기됨": "retired", "불용": "retired"}
 AT_MACHINE = "설비"
 LOCATION_WORDS = [("수리", "repair"), ("폐기", "retired"), ("불용", "retired")]
 TIME_FORMATS = ["yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy.M.d H:m:s", "yyyy.M.d H:m", "yyyy.M.d", "yyyy/M/d H:m:s", "yyyy/M/d"]
+SPACE = r"(?U)[\s\x1c-\x1f]+"  # white space of any script
 TOOL_SHAPE = r"^#?[A-Za-z]{1,3}\d{4,}$"
 # Times of a process log: the formats above, and with fractions of a second or an offset.
 LOG_TIMES = [*TIME_FORMATS, "yyyy-M-d'T'H:m", "yyyy-M-d H:m:s.SSS", "yyyy-M-d'T'H:m:s.SSS", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d H:m:sXXX", "yyyy-M-d'T'H:m:sXXX", "yyyy/M/d H:m", "yyyyMMdd", "yyyyMMddHHmmss", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy"]
@@ -24,24 +27,33 @@ def _c(c: Column | str) -> Column:
 
 def stripped(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_c(c), r"^[\s\u00A0\u3000]+|[\s\u00A0\u3000]+$", "")
+    return F.btrim(_c(c), F.lit(" \t\n\x0b\x0c\r\u00a0\u3000"))
 
 
-def _blank_to_null(c: Column) -> Column:
+def blank_to_null(c: Column) -> Column:
+    """A stripped text; null where nothing is left."""
     c = stripped(c)
     return F.when(c != "", c)
 
 
 def cell_to_text(cell_type, text, num, ts, flag) -> Column:
-    """a typed cell as text; whole numbers lose their fraction, blank is null."""
+    """a typed cell as text; whole numbers lose their fraction, blank is null.
+
+    Fractions are written with all their digits and no more, below 0.0001 with an exponent (``5e-05``); times in
+    ISO form, with microseconds where there are any."""
     num, ts, flag = _c(num), _c(ts), _c(flag)
-    number = F.when(num == F.floor(num), num.try_cast("decimal(38,0)").cast("string")).otherwise(num.cast("string"))
+    digits = num.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(digits.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", "")
+    tiny = F.regexp_replace(F.regexp_replace(F.regexp_replace(digits, r"\.0E", "E"), r"E-(\d)$", "E-0$1"), "E", "e")
+    number = F.when(num % 1 == 0, num.try_cast("decimal(38,0)").cast("string")).when(F.abs(num) < 1e-4, tiny).when(digits.contains("E"), plain).otherwise(digits)
+    second = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     kind = _c(cell_type)
     return (
         F.when(kind.isin("int", "float"), number)
         .when(kind == "bool", F.when(flag, "TRUE").otherwise("FALSE"))
-        .when(kind == "datetime", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
-        .otherwise(_blank_to_null(_c(text)))
+        .when(kind == "datetime", F.when(F.unix_micros(ts) % 1_000_000 != 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(second))
+        .when(kind == "date", F.date_format(ts, "yyyy-MM-dd"))
+        .otherwise(blank_to_null(_c(text)))
     )
 
 
@@ -64,12 +76,12 @@ def is_tool_name(c) -> Column:
 def normalize_status(c) -> Column:
     """F5."""
     table = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
-    return F.try_element_at(table, F.regexp_replace(_c(c), r"\s+", ""))
+    return F.try_element_at(table, F.regexp_replace(_c(c), SPACE, ""))
 
 
 def status_from_location(c) -> Column:
     """the place is the state; any unknown place is a store."""
-    t = F.regexp_replace(_c(c), r"\s+", "")
+    t = F.regexp_replace(_c(c), SPACE, "")
     out = F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).when(t == AT_MACHINE, "in_use")
     for word, status in LOCATION_WORDS:
         out = out.when(t.contains(word), status)
@@ -105,9 +117,19 @@ def log_time(c) -> Column:
     return _first_time(c, LOG_TIMES)
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts that a time format can read."""
+    part = {"XXX": r"(?:Z|[+-]\d\d:\d\d)", "'T'": "T"}
+    one = lambda m: part.get(m[0]) or (re.escape(m[0]) if not m[0].isalpha() else rf"\d{{{len(m[0])}}}" if len(m[0]) > 1 else r"\d{1,2}")
+    return "^" + re.sub(r"'T'|([A-Za-z])\1*|.", one, pattern) + "$"
+
+
 def _first_time(c, formats: list[str]) -> Column:
-    t = stripped(c)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
+    """The first format that reads the text.  Only formats whose shape fits are tried: a try that fails costs an exception.
+
+    The text is the variable of a function, so that what it comes from is computed once and not for every format."""
+    read = lambda t: F.coalesce(*[F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in formats])
+    return F.get(F.transform(F.array(stripped(c)), read), F.lit(0))
 
 
 def run_date(c) -> Column:

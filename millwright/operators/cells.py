@@ -117,16 +117,23 @@ def sheet_names(cells: DataFrame) -> DataFrame:
     return cells.select(*SHEET).distinct()
 
 
-def pick_layout(cells: DataFrame, layouts: DataFrame, least: int = 3) -> DataFrame:
-    """Newest layout of the sheet's kind whose anchors all match; fewer than ``least`` never match.
+def matching_layouts(cells: DataFrame, layouts: DataFrame, least: int = 3) -> DataFrame:
+    """Every layout of the sheet's kind whose anchors all match; fewer than ``least`` never match.
 
-    Only anchor cells are joined; layouts are few, so the optimiser broadcasts them by size.
+    Only cells at anchors are joined; layouts are few, so the optimiser broadcasts them by size.  An anchor
+    with an empty text matches an empty cell and one that isn't there.
     """
     a = layouts.select("id", "kind", F.size("anchors").alias("need"), F.explode("anchors").alias("a")).where(F.col("need") >= least)
     a = a.withColumn("at", S.a1_row_col("a.cell")).select("id", "kind", "need", F.col("at.row_no").alias("row_no"), F.col("at.col_no").alias("col_no"), S.normalize_text("a.text").alias("want"))
-    hit = cells.withColumn("value", S.normalize_text(cell_text())).join(a, ["kind", "row_no", "col_no"]).where("value = want")
-    ok = hit.groupBy(*SHEET, "id", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
-    return ok.groupBy(*SHEET).agg(F.max("id").alias("layout_id"))
+    a = a.withColumn("need", F.col("need") - F.sum((F.col("want") == "").cast("int")).over(W.partitionBy("id", "kind")))
+    met = cells.withColumn("value", S.normalize_text(cell_text())).join(a, ["kind", "row_no", "col_no"]).where("value = want or want = ''")
+    per = met.groupBy(*SHEET, "id", "need").agg(F.count_if((F.col("want") != "") & (F.col("value") == F.col("want"))).alias("n"), F.count_if((F.col("want") == "") & (F.col("value") != "")).alias("against"))
+    return per.where("n = need and against = 0").select(*SHEET, F.col("id").alias("layout_id"))
+
+
+def pick_layout(cells: DataFrame, layouts: DataFrame, least: int = 3) -> DataFrame:
+    """The newest of a sheet's ``matching_layouts``."""
+    return matching_layouts(cells, layouts, least).groupBy(*SHEET).agg(F.max("layout_id").alias("layout_id"))
 
 
 def _tables(layouts: DataFrame, role: str | None = "detail") -> DataFrame:
@@ -157,20 +164,42 @@ def table_rows(cells: DataFrame, picked: DataFrame, layouts: DataFrame, raw: boo
 
 def parse_rows(cells: DataFrame, picked: DataFrame, layouts: DataFrame) -> DataFrame:
     """Rows as map(field -> text); sheet-level values are defaults that a column's value
-    overrides even when it is null.  A sheet without a detail table gives one key-value row."""
-    kv = picked.join(layouts.select(F.col("id").alias("layout_id"), F.explode("key_values").alias("k")), "layout_id")
-    kv = kv.withColumn("at", S.a1_row_col("k.value_cell")).select(*SHEET, F.col("k.field").alias("field"), F.col("at.row_no").alias("row_no"), F.col("at.col_no").alias("col_no"))
+    overrides even when it is null.  A sheet without a detail table gives one key-value row, number 1.
+
+    Of fields that a layout names twice the last counts.  Detail tables of ``layout_errors`` give no rows here;
+    ``read_sheets`` reports them."""
+    kv = picked.join(layouts.select(F.col("id").alias("layout_id"), F.posexplode("key_values").alias("position", "k")), "layout_id")
+    kv = kv.withColumn("at", S.a1_row_col("k.value_cell")).select(*SHEET, "position", F.col("k.field").alias("field"), F.col("at.row_no").alias("row_no"), F.col("at.col_no").alias("col_no"))
     kv = kv.join(cells.select(*SHEET, "row_no", "col_no", cell_text().alias("value")), [*SHEET, "row_no", "col_no"], "left")
-    defaults = kv.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("defaults"))
-    rows = table_rows(cells, picked, layouts).where("not blank").select(*SHEET, "table_no", "row_no", F.map_from_entries(F.transform("values", lambda v: F.struct(v["field"], v["value"]))).alias("values"))
+    kv = kv.groupBy(*SHEET, "field").agg(F.max_by(F.struct("value"), "position").alias("v"))
+    defaults = kv.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("field", "v.value"))).alias("defaults"))
+    last = F.filter("values", lambda v: ~F.exists("values", lambda w: (w["field"] == v["field"]) & (w["position"] > v["position"])))
+    rows = table_rows(cells, picked, layouts).where("not blank").select(*SHEET, "table_no", "row_no", F.map_from_entries(F.transform(last, lambda v: F.struct(v["field"], v["value"]))).alias("values"))
     none = F.create_map().cast("map<string,string>")
     own = F.col("values")
     merged = F.map_concat(F.map_filter(F.coalesce("defaults", none), lambda k, v: ~F.map_contains_key(own, k)), own)
     detail = rows.join(defaults, SHEET, "left").select(*SHEET, "table_no", "row_no", merged.alias("values"))
-    single = picked.join(_tables(layouts).select("layout_id").distinct(), "layout_id", "left_anti").join(defaults, SHEET).select(*SHEET, F.lit(-1).alias("table_no"), F.lit(0).alias("row_no"), F.col("defaults").alias("values"))
+    single = picked.join(_tables(layouts).select("layout_id").distinct(), "layout_id", "left_anti").join(defaults, SHEET).select(*SHEET, F.lit(-1).alias("table_no"), F.lit(1).alias("row_no"), F.col("defaults").alias("values"))
     return detail.unionByName(single)
 
 
+def read_sheets(cells: DataFrame, layouts: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(``parse_rows`` of all sheets, failed files as source_file and reason).
+
+    Every sheet takes the newest of its matching layouts that can be parsed.  A sheet without any, or whose
+    layouts are all of ``layout_errors``, fails its file, and a failed file gives no rows at all; of several
+    reasons the first by sheet is told.
+    """
+    found = matching_layouts(cells, layouts, least)
+    errors = layout_errors(layouts).groupBy("layout_id").agg(F.min_by("error", "table_no").alias("error"))
+    found = found.join(errors, "layout_id", "left")
+    per = found.groupBy(*SHEET).agg(F.max(F.when(F.col("error").isNull(), F.col("layout_id"))).alias("layout_id"), F.max_by("error", "layout_id").alias("error"))
+    sheets = sheet_names(cells).join(per, SHEET, "left").withColumn("reason", F.when(F.col("layout_id").isNull(), F.concat("sheet", F.lit(": "), F.coalesce("error", F.lit("no layout")))))
+    failed = sheets.where("reason is not null").groupBy("source_file").agg(F.min_by("reason", "sheet").alias("reason"))
+    picked = sheets.where("layout_id is not null").join(failed.select("source_file"), "source_file", "left_anti").select(*SHEET, "layout_id")
+    return parse_rows(cells, picked, layouts), failed
+
+
 def layout_errors(layouts: DataFrame) -> DataFrame:
     """R2: detail tables without columns or that end before they start."""
     bad = F.when(F.size("columns") == 0, "no columns").when(F.col("end") < F.col("start"), "end before start")

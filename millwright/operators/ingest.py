@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millwright.operators import cells as C
 from millwright.operators import usage as U
 from millwright.sources.staging import staged
 from millwright.sources.tables import Store, change_set, merge_files
@@ -18,10 +19,42 @@ KINDS = ["jig_master", "ees", "mes", "iqc"]
 REQUIRED = ["jig_master", "ees"]
 ISOLATED = ["mes", "iqc"]
 
+#: Fields of the kinds that have a fixed set of them.
+FIELDS = {
+    "jig_master": ["mold_no", "jig_name", "equipment", "equipment_code", "line"],
+    "ees": ["event_at", "location", "equipment"],
+    "mes": ["run_date", "equipment_code", "produced", "defects"],
+}
+
 #: Reads the files of a table (path, kind, content_hash): (rows, failed files as path and reason).
 Reader = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
+def cell_reader(cells: DataFrame, layouts: DataFrame, kind: str) -> Reader:
+    """A reader for ``run_batch`` over the cells of all files: rows of ``kind`` with the columns that ``assemble`` takes.
+
+    ``cells.read_sheets`` picks the layouts and names the files that fail; a file without cells fails too.
+    Rows keep the order of path, sheet and row: a later file's row is the later one.
+    """
+    layouts = layouts.where(F.col("kind") == kind)
+
+    def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = cells.join(files.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+        rows, failed = C.read_sheets(own, layouts)
+        empty = files.select("path").join(own.select(F.col("source_file").alias("path")).distinct(), "path", "left_anti").withColumn("reason", F.lit("no cells"))
+        order = F.struct("source_file", "sheet", "table_no", "row_no").alias("order_key")
+        field = lambda name: F.try_element_at("values", F.lit(name)).alias(name)
+        if kind == "iqc":
+            each = F.map_entries("values")
+            values = F.transform(each, lambda e, k: F.struct(e["key"].alias("field"), k.alias("position"), e["value"].alias("value"))).alias("values")
+            out = rows.select(field("mold_no"), order, values)
+        else:
+            out = rows.select("sheet", order, *map(field, FIELDS[kind]))
+        return out, failed.withColumnRenamed("source_file", "path").unionByName(empty)
+
+    return read
+
+
 def assemble(master: DataFrame, ledger: DataFrame, production: DataFrame, inspection: DataFrame) -> dict[str, DataFrame]:
     """Tool records, their runs, inspection items and everything that was lost on the way.
 
@@ -59,7 +92,7 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     lost = lost.agg(
         of("rejected", "n").alias("rejected_events"), of("unknown_tool", "keys").alias("unknown_tools"), of("unknown_equipment", "keys").alias("unknown_equipment"),
         of("missing_day", "keys").alias("missing_days"), of("open_run", "n").alias("open_runs"), of("unmatched_run", "n").alias("unmatched_runs"),
-        of("orphan_tool", "keys").alias("orphans"), of("skipped_row", "n").alias("skipped_rows"))
+        of("orphan_tool", "keys").alias("orphans"), (of("skipped_row", "n") + of("bad_sheet", "n")).alias("skipped_rows"))
     tools = tables["records"].agg(F.count(F.lit(1)).alias("tools"))
     matched = tables["items"].agg(F.count_distinct("mold_no").alias("inspected"))
     runs = tables["runs"].agg(F.count(F.lit(1)).alias("runs"))

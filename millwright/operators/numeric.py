@@ -227,10 +227,10 @@ def time_holdout(df: DataFrame, at: str, tie: str, frac: float = 0.2) -> DataFra
 
     The keys are dealt out by range and written once; the one key at which training ends is looked up
     in the one partition that holds it, and every row compares itself with it.  Rows that agree in both
-    columns stay on one side; a null time sorts first.
+    columns stay on one side; a null time comes last.
     """
-    keys = F.struct(F.col(at).isNotNull(), F.col(at), F.col(tie).isNotNull(), F.col(tie))
-    ranged = staged(df.select(at, tie).repartitionByRange(at, tie).withColumn("_p", F.spark_partition_id()), "time-ranges")
+    keys = F.struct(F.col(at).isNull(), F.col(at), F.col(tie).isNull(), F.col(tie))
+    ranged = staged(df.select(at, tie).repartitionByRange(F.asc_nulls_last(at), F.asc_nulls_last(tie)).withColumn("_p", F.spark_partition_id()), "time-ranges")
     sizes = sorted(tuple(r) for r in ranged.groupBy("_p").count().collect())  # a row for each partition
     left = int(sum(n for _, n in sizes) * (1 - frac))
     for part, n in sizes:

@@ -187,20 +187,21 @@ def annotate_settling(events: DataFrame, means: DataFrame, std_max: float = 0.02
 
 
 def delta_samples(annotated: DataFrame, deltas: DataFrame, wet: DataFrame, window_minutes: float = 5, n_zones: int = 25, combine: str = "last") -> DataFrame:
-    """(event_id, dg, dw) arrays of clean events with rows in both windows.
+    """(event_id, lot_id, worked_at, dg, dw), the last two arrays, of clean events with rows in both windows.
 
     The interval join is an equi-join on time buckets as wide as the window, two buckets at most for
     each side of an event.  Of several deltas of a zone the latest wins, or with combine="sum" all add.
     """
     span = int(window_minutes * 60_000_000)
     clean = annotated.where("not contaminated")
-    sides = clean.select("lot_id", "event_id", F.explode(F.array(
+    event = ["event_id", "lot_id", "event_at"]
+    sides = clean.select("lot_id", "event_id", F.col("worked_at").alias("event_at"), F.explode(F.array(
         F.struct(F.lit("before").alias("side"), (F.unix_micros("worked_at") - span).alias("lo"), F.unix_micros("worked_at").alias("hi")),
-        F.struct(F.lit("after").alias("side"), F.unix_micros("settled_at").alias("lo"), (F.unix_micros("settled_at") + span).alias("hi")))).alias("s")).select("lot_id", "event_id", "s.*")
+        F.struct(F.lit("after").alias("side"), F.unix_micros("settled_at").alias("lo"), (F.unix_micros("settled_at") + span).alias("hi")))).alias("s")).select(*event, "s.*")
     sides = sides.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / span), F.floor(F.col("hi") / span))))
     rows = wet.withColumn("at", F.unix_micros("worked_at")).withColumn("bucket", F.floor(F.col("at") / span))
-    mean = sides.join(rows.select("lot_id", "bucket", "at", "zone", "wet"), ["lot_id", "bucket"]).where("at between lo and hi").groupBy("event_id", "side", "zone").agg(F.avg("wet").alias("m"))
-    m = mean.groupBy("event_id").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("zone", "m")))).alias(s) for s in ("before", "after")])
+    mean = sides.join(rows.select("lot_id", "bucket", "at", "zone", "wet"), ["lot_id", "bucket"]).where("at between lo and hi").groupBy(*event, "side", "zone").agg(F.avg("wet").alias("m"))
+    m = mean.groupBy(*event).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("zone", "m")))).alias(s) for s in ("before", "after")])
     m = m.where((F.size("before") > 0) & (F.size("after") > 0))
     zoned = deltas.where("zone is not null").groupBy("event_id", "zone").agg((F.sum("delta") if combine == "sum" else F.max_by("delta", F.struct("worked_at", "item_id"))).alias("d"))
     g = zoned.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("zone", "d"))).alias("gap"))
@@ -208,7 +209,7 @@ def delta_samples(annotated: DataFrame, deltas: DataFrame, wet: DataFrame, windo
     out = m.join(g, "event_id", "left")
     dg = F.transform(zones, lambda z: F.coalesce(F.try_element_at("gap", z.cast("int")), F.lit(0.0)))
     dw = F.transform(zones, lambda z: F.try_element_at("after", z.cast("int")) - F.try_element_at("before", z.cast("int")))
-    return out.select("event_id", dg.alias("dg"), dw.alias("dw"))
+    return out.select("event_id", "lot_id", F.col("event_at").alias("worked_at"), dg.alias("dg"), dw.alias("dw"))
 
 
 def tuning_end_band(means: DataFrame, target: float, band: float = 0.1, least: int = 5) -> DataFrame:

@@ -10,14 +10,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions import scalars as S
+from millwright.sources.staging import staged
 
 ITEM_FIRST = ["punch", "die", "diff", "gap"]  # fixed value: order of the known inspection fields
 STAGES = ["design", "install", "iqc", "pqc", "ai_recheck"]  # fixed value: the five stages of a tool
 
 
+def _clean_master(master: DataFrame) -> DataFrame:
+    rows = master.withColumns({c: S.blank_to_null(F.col(c)) for c in ("equipment", "equipment_code", "line")})
+    return rows.withColumn("mold_no", S.normalize_tool("mold_no"))
+
+
 def tool_index(master: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A4: (last row of each tool, dropped rows with a reason)."""
-    rows = master.withColumn("mold_no", S.normalize_tool("mold_no"))
+    rows = _clean_master(master)
     last = F.max_by(F.struct("jig_name", "equipment", "equipment_code", "line"), "order_key").alias("r")
     kept = rows.where("mold_no is not null").groupBy("mold_no").agg(last).select("mold_no", "r.*")
     return kept, master.where(S.normalize_tool("mold_no").isNull()).withColumn("reason", F.lit("no tool id"))
@@ -25,13 +31,13 @@ def tool_index(master: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def equipment_index(master: DataFrame) -> DataFrame:
     """A5: last row of each equipment name; needs both equipment and tool id."""
-    rows = master.withColumn("mold_no", S.normalize_tool("mold_no")).where("mold_no is not null and equipment is not null")
+    rows = _clean_master(master).where("mold_no is not null and equipment is not null")
     return rows.groupBy("equipment").agg(F.max_by(F.struct(F.col("equipment_code").alias("code"), "line"), "order_key").alias("r")).select("equipment", "r.*")
 
 
 def production_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(last row of each (day, code), unreadable rows).  Rows without a code are totals and vanish."""
-    rows = rows.where("equipment_code is not null").select(S.run_date("run_date").alias("day"), F.col("equipment_code").alias("code"), S.to_int("produced").alias("produced"), S.to_int("defects").alias("defects"), "order_key")
+    rows = rows.withColumn("equipment_code", S.blank_to_null(F.col("equipment_code"))).where("equipment_code is not null").select(S.run_date("run_date").alias("day"), F.col("equipment_code").alias("code"), S.to_int("produced").alias("produced"), S.to_int("defects").alias("defects"), "order_key")
     good = F.col("day").isNotNull() & F.col("produced").isNotNull() & F.col("defects").isNotNull()
     return last_production(rows.where(good)), rows.where(~good)
 
@@ -40,10 +46,16 @@ def last_production(rows: DataFrame) -> DataFrame:
     return rows.groupBy("day", "code").agg(F.max_by(F.struct("produced", "defects"), "order_key").alias("r")).select("day", "code", "r.*")
 
 
+NO_NAME = "(빈 이름)"  # fixed value: how a sheet without a name is listed
+
+
 def clean_ledger(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable events, rejected rows with a reason)."""
-    rows = ledger.withColumn("tool", S.normalize_tool("sheet")).withColumn("at", S.to_datetime("event_at"))
-    reason = F.when(F.col("tool").isNull(), "no id").when(~S.is_tool_name("sheet"), "bad sheet name").when(F.col("at").isNull(), "bad time").when(F.col("location").isNull(), "no location")
+    """(usable events, rejected rows with a reason).
+
+    Cells are stripped; an event without a place is an event (it ends a run), its location is the empty text."""
+    cell = {"location": F.coalesce(S.blank_to_null(F.col("location")), F.lit("")), "equipment": S.blank_to_null(F.col("equipment"))}
+    rows = ledger.withColumns(cell).withColumn("tool", S.normalize_tool("sheet")).withColumn("at", S.to_datetime("event_at"))
+    reason = F.when(F.col("tool").isNull(), "no id").when(~S.is_tool_name("sheet"), "bad sheet name").when(F.col("at").isNull(), "bad time")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason is null").select(F.col("tool").alias("mold_no"), "at", "location", "equipment", "order_key"), rows.where("reason is not null")
 
@@ -85,33 +97,38 @@ def run_days(runs: DataFrame) -> DataFrame:
     return closed.drop("days_expected", "first_day", "last_day")
 
 
-def running_totals(production: DataFrame) -> DataFrame:
-    """(code, day, sums and count of production rows up to the day, the code's first and last day), for
-    every day between the code's first and last: as many rows as codes have days, whatever runs there are."""
-    span = production.where("code is not null and day is not null").groupBy("code").agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    every = span.withColumn("day", F.explode(F.sequence("low", "high")))
-    w = W.partitionBy("code").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    sums = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("produced", "defects")]
-    return every.join(production, ["code", "day"], "left").select("code", "day", "low", "high", *sums, F.count("produced").over(w).alias("found"))
-
-
-def defect_rates(runs: DataFrame, production: DataFrame) -> DataFrame:
+def defect_rates(runs: DataFrame, production: DataFrame, piece_days: int = 366) -> DataFrame:
     """Produced, defects, days found and expected, and rate = sum of defects / sum of production.
 
-    A run's sums are running totals at its last day less those before its first, so a run costs two
-    look-ups however many days it covers, and runs that start together stay apart.
+    A run's sums are the code's running totals up to its last day less those before its first.  The two days
+    of each run are sorted in among the production rows, which are summed up in pieces of ``piece_days``, the
+    pieces then along their code: as many rows as there are, whatever days they span, and a task has one
+    piece of a code.  Rows that repeat come out as often as they came in.
     """
-    totals = running_totals(production)
-    span = totals.groupBy("code").agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    out = _covered(runs).join(span, "code", "left")
-    for edge, day in (("to", F.col("last_day")), ("from", F.date_sub("first_day", 1))):
-        at = totals.select("code", F.col("day").alias("at"), *[F.col(c).alias(f"{edge}_{c}") for c in ("produced", "defects", "found")])
-        out = out.withColumn("at", F.when(day >= F.col("low"), F.least(day, F.col("high")))).join(at, ["code", "at"], "left").drop("at")
-    closed = F.col("days_expected").isNotNull()
-    less = {c: F.coalesce(f"to_{c}", F.lit(0)) - F.coalesce(f"from_{c}", F.lit(0)) for c in ("produced", "defects", "found")}
-    out = out.withColumn("days_found", F.when(closed, less["found"]))
+    out = _covered(runs)
+    have = F.col("first_day").isNotNull() & F.col("code").isNotNull()
+    sums = ["produced", "defects", "found"]
+    days = F.array(F.struct(F.col("last_day").alias("day"), F.lit(True).alias("to")), F.struct(F.date_sub("first_day", 1).alias("day"), F.lit(False).alias("to")))
+    none = F.array(F.struct(F.lit(None).cast("date").alias("day"), F.lit(True).alias("to")))
+    edges = out.select("code", F.struct(*out.columns).alias("run"), F.explode(F.when(have, days).otherwise(none)).alias("e")).select("code", "e.day", "e.to", "run")
+    rows = production.where("code is not null and day is not null").select("code", "day", "produced", "defects", F.col("produced").isNotNull().cast("int").alias("found"))
+    both = rows.unionByName(edges, allowMissingColumns=True).withColumn("piece", F.floor(F.unix_date("day") / piece_days))
+    both = staged(both, "production-and-runs")
+    along = W.partitionBy("code").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    asked = both.where("day is not null")
+    before = asked.groupBy("code", "piece").agg(*[F.sum(c).alias(c) for c in sums])
+    before = before.select("code", "piece", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"before_{c}") for c in sums])
+    # on one day production stands before the runs' days
+    inside = W.partitionBy("code", "piece").orderBy("day", F.col("run").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    at = asked.select("code", "piece", "run", "to", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums]).where("run is not null")
+    at = at.join(before, ["code", "piece"]).select("run", "to", *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in sums])
+    less = [(F.max(F.when(F.col("to"), F.col(c))) - F.max(F.when(~F.col("to"), F.col(c)))).alias(f"_{c}") for c in sums]
+    per = at.groupBy("run").agg(*less, F.count_if("to").alias("n")).withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+    per = per.select("run.*", *[f"_{c}" for c in sums])
+    rest = both.where("run is not null and day is null").select("run.*", *[F.lit(0).cast("long").alias(f"_{c}") for c in sums])
+    out = per.unionByName(rest).withColumn("days_found", F.when(F.col("days_expected").isNotNull(), F.col("_found")))
     for c in ("produced", "defects"):
-        out = out.withColumn(c, F.when(F.col("days_found") > 0, less[c]))
+        out = out.withColumn(c, F.when(F.col("days_found") > 0, F.col(f"_{c}")))
     rate = F.try_divide(F.col("defects").cast("double"), F.col("produced").cast("double"))
     return out.select(*runs.columns, "produced", "defects", "days_found", "days_expected", rate.alias("rate"))
 
@@ -152,6 +169,7 @@ def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment:
     known = at.join(tools.select("mold_no"), "mold_no", "left_semi").where("equipment is not null")
     parts = [
         rows(rejected, "rejected", F.col("reason")),
+        rows(rejected.where("reason in ('no id', 'bad sheet name')"), "bad_sheet", F.coalesce(S.blank_to_null(F.col("sheet")), F.lit(NO_NAME))),
         rows(events.join(tools.select("mold_no"), "mold_no", "left_anti"), "unknown_tool", F.col("mold_no")),
         rows(known.join(equipment.select("equipment"), "equipment", "left_anti"), "unknown_equipment", F.col("equipment")),
         rows(missing_days(rated, production), "missing_day", F.col("day")),
@@ -164,16 +182,19 @@ def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment:
 
 
 def latest_locations(events: DataFrame) -> DataFrame:
-    """Location of each tool's last event; on equal times the later row."""
-    some = events.where("at is not null and location is not null")
+    """Location of each tool's last event that has one; on equal times the later row."""
+    some = events.where("at is not null and location <> ''")
     return some.groupBy("mold_no").agg(F.max_by("location", F.struct("at", "order_key")).alias("location"))
 
 
 def tool_records(tools: DataFrame, rated: DataFrame, places: DataFrame) -> DataFrame:
-    """One record per tool; 0 runs and no production are null, a rate of 0.0 is a rate."""
+    """One record per tool; 0 runs and no production are null, a rate of 0.0 is a rate.
+
+    Of runs that start together the later row is the last."""
+    order = F.struct("started_at", "order_key")
     per = rated.groupBy("mold_no").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("produced").alias("total_production"), F.max_by("rate", F.when(F.col("rate").isNotNull(), F.col("started_at"))).alias("latest_defect_rate"),
-        F.max_by(F.struct("line", "equipment"), "started_at").alias("last"))
+        F.count(F.lit(1)).alias("n"), F.sum("produced").alias("total_production"), F.max_by("rate", F.when(F.col("rate").isNotNull(), order)).alias("latest_defect_rate"),
+        F.max_by(F.struct("line", "equipment"), order).alias("last"))
     out = tools.select("mold_no").join(places, "mold_no", "left").join(per, "mold_no", "left").where("location is not null or n is not null")
     status = S.status_from_location("location")
     using = status == "in_use"
@@ -232,29 +253,40 @@ def stage_status(records: DataFrame, stages: DataFrame, runs: DataFrame) -> Data
 
 
 def stage_panels(stages: DataFrame, names=("iqc", "pqc", "ai_recheck")) -> DataFrame:
-    """The flexible stages with typed items; an empty source file is null."""
-    kind = "array<struct<label:string,value:string>>"
-    return stages.where(F.col("stage").isin(*names)).select("mold_no", "stage", "status", F.from_json("items_json", kind).alias("items"), F.when(F.col("source_file") != "", F.col("source_file")).alias("source_file"))
+    """The flexible stages with typed items (label, value, judgment, and source where it names a file); an empty
+    source file is null, and so are error and updated_at where the table doesn't have them."""
+    source = "struct<file:string,sheet:string,cell:string>"
+    raw = F.from_json("items_json", f"array<struct<label:string,value:string,judgment:string,source:{source}>>")
+    items = F.transform(raw, lambda i: F.struct(i["label"].alias("label"), i["value"].alias("value"), i["judgment"].alias("judgment"), F.when(i["source"]["file"] != "", i["source"]).alias("source")))
+    more = [F.col(c) if c in stages.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("error", "string"), ("updated_at", "timestamp"))]
+    return stages.where(F.col("stage").isin(*names)).select("mold_no", "stage", "status", items.alias("items"), F.when(F.col("source_file") != "", F.col("source_file")).alias("source_file"), *more)
 
 
 def production_runs(runs: DataFrame, daily_json: str = "defects_json") -> DataFrame:
-    """Runs in order with sums over their stored daily array, days covered and expected."""
-    daily = F.from_json(daily_json, "array<struct<day:date,produced:bigint,defects:bigint>>")
-    total = lambda f: F.aggregate(F.coalesce(F.col("daily"), F.array().cast("array<struct<day:date,produced:bigint,defects:bigint>>")), F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d[f], F.lit(0)))
-    span = F.unix_micros("ended_at") - F.unix_micros("started_at")
-    expected = F.when(span > 0, F.greatest(F.ceil(span / F.lit(86_400_000_000)), F.lit(1)))
-    out = runs.withColumn("daily", daily)
-    return out.select("mold_no", "install_seq", "started_at", "ended_at", total("produced").alias("produced"), total("defects").alias("defects"), F.coalesce(F.size("daily"), F.lit(0)).alias("days_covered"), expected.alias("days_expected")).orderBy("mold_no", "install_seq")
-
-
-def tool_detail(records: DataFrame, runs: DataFrame, panels: DataFrame, design: DataFrame | None = None) -> DataFrame:
-    """Every tool with its runs in order, the open run, panels and design (all null when not given)."""
+    """Runs in order with line, machine and rate, sums over their stored daily array, days covered and expected.
+
+    Without a daily row nothing is known: the sums are null and not 0, while no day is covered; an open run has
+    0 days to expect."""
+    kind = "array<struct<day:date,produced:bigint,defects:bigint>>"
+    total = lambda f: F.when(F.size("daily") > 0, F.aggregate("daily", F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d[f], F.lit(0))))
+    out = _covered(runs.drop("days_expected").withColumn("daily", F.from_json(daily_json, kind)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(
+        "mold_no", "install_seq", "line", F.col("equipment").alias("machine"), "started_at", "ended_at", "rate", total("produced").alias("produced"), total("defects").alias("defects"),
+        F.greatest(zero(F.size("daily")), F.lit(0)).alias("days_covered"), zero(F.col("days_expected")).alias("days_expected")).orderBy("mold_no", "install_seq")
+
+
+def tool_detail(records: DataFrame, runs: DataFrame, panels: DataFrame, design: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
+    """Every tool with its totals, runs in order, the open run, panels, design and stage map (the last two null when
+    not given).  Without a run the number of installs is null, without production the total is."""
     run = F.struct("install_seq", "started_at", "ended_at", "line", "equipment", "produced", "defects", "rate")
-    h = runs.groupBy("mold_no").agg(F.array_sort(F.collect_list(run)).alias("history"))
+    h = runs.groupBy("mold_no").agg(F.array_sort(F.collect_list(run)).alias("history"), F.count(F.lit(1)).alias("total_installs"), F.sum("produced").alias("total_production"), F.min("started_at").alias("first_installed_at"))
     p = panels.groupBy("mold_no").agg(F.array_sort(F.collect_list(F.struct("stage", "status", "source_file"))).alias("panels"))
-    out = records.join(h, "mold_no", "left").join(p, "mold_no", "left")
+    out = records.drop("total_installs", "total_production").join(h, "mold_no", "left").join(p, "mold_no", "left")
     out = out.withColumn("current", F.try_element_at(F.filter("history", lambda r: r["ended_at"].isNull()), F.lit(-1)))
-    return out.join(design, "mold_no", "left") if design is not None else out.withColumn("design", F.lit(None).cast("string"))
+    for name, more, kind in (("design", design, "string"), ("stage_status", stages, "map<string,string>")):
+        out = out.join(more, "mold_no", "left") if more is not None else out.withColumn(name, F.lit(None).cast(kind))
+    return out
 
 
 def filter_options(records: DataFrame) -> DataFrame:

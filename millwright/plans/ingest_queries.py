@@ -16,7 +16,7 @@ from millwright.operators import process_log as P
 from millwright.operators import sessions as H
 from millwright.operators import usage as U
 from millwright.plans import views as V
-from millwright.plans.queries import _REC, _U, _profiles, _rated, _records, _runs, _tools, query
+from millwright.plans.queries import _REC, _U, _profiles, _rated, _records, _runs, _stages, _tools, query
 from millwright.sources import tables as T
 from millwright.sources.staging import shared_folder, staged
 from millwright.streaming import files as FS
@@ -270,16 +270,8 @@ def orphan_inspection(spark, d):
 
 
 _STAGES = """sg AS (SELECT 'RX' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS mold_no, CASE c_custkey % 4 WHEN 0 THEN 'iqc' WHEN 1 THEN 'install' WHEN 2 THEN 'pqc' ELSE 'design' END AS stage,
-  CASE WHEN c_custkey % 3 = 0 THEN 'ok' ELSE 'warn' END AS status, c_name AS label, c_mktsegment AS value, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS source_file FROM customer)"""
-
-
-def _stages(spark, d) -> DataFrame:
-    key = F.col("c_custkey") % 4
-    stage = F.when(key == 0, "iqc").when(key == 1, "install").when(key == 2, "pqc").otherwise("design")
-    item = F.to_json(F.array(F.struct(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("value"))))
-    return _t(spark, d, "customer").select(
-        F.concat(F.lit("RX"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("mold_no"), stage.alias("stage"), F.when(F.col("c_custkey") % 3 == 0, "ok").otherwise("warn").alias("status"),
-        item.alias("items_json"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("").alias("source_file"))
+  CASE WHEN c_custkey % 3 = 0 THEN 'ok' ELSE 'warn' END AS status, c_name AS label, c_mktsegment AS value, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS source_file,
+  CASE WHEN c_custkey % 5 = 0 THEN 'OK' END AS judgment, CASE WHEN c_custkey % 3 = 0 THEN c_name || '/A1' END AS source, CASE WHEN c_custkey % 7 = 0 THEN 'late' END AS error FROM customer)"""
 
 
 @query(f"""WITH {_REC}, {_STAGES}, us AS (SELECT DISTINCT mold_no FROM ru), nm AS (SELECT unnest(['design', 'install', 'iqc', 'pqc', 'ai_recheck']) AS stage)
@@ -290,18 +282,20 @@ def stage_status(spark, d):
     return out.select("mold_no", F.explode("stage_status").alias("stage", "status"))
 
 
-@query(f"WITH {_STAGES} SELECT mold_no, stage, status, label, value, source_file FROM sg WHERE stage IN ('iqc', 'pqc')")
+@query(f"WITH {_STAGES} SELECT mold_no, stage, status, label, value, judgment, source, source_file, error FROM sg WHERE stage IN ('iqc', 'pqc')")
 def stage_panels(spark, d):
-    return U.stage_panels(_stages(spark, d)).select("mold_no", "stage", "status", F.inline("items"), "source_file")
+    out = U.stage_panels(_stages(spark, d)).select("mold_no", "stage", "status", F.inline("items"), "source_file", "error")
+    return out.withColumn("source", F.concat(F.col("source.file"), F.lit("/"), F.col("source.cell")))
 
 
-@query(f"WITH {_U}, sq AS (SELECT *, row_number() OVER (PARTITION BY mold_no ORDER BY started_at, order_key) AS install_seq FROM ra) SELECT mold_no, install_seq, started_at, ended_at, coalesce(produced, 0) AS produced, coalesce(defects, 0) AS defects, coalesce(days_found, 0) AS days_covered, days_expected FROM sq")
+@query(f"""WITH {_U}, sq AS (SELECT *, row_number() OVER (PARTITION BY mold_no ORDER BY started_at, order_key) AS install_seq FROM ra)
+ SELECT mold_no, install_seq, line, equipment AS machine, started_at, ended_at, round(rate, 9) AS rate, produced, defects, coalesce(days_found, 0) AS days_covered, coalesce(days_expected, 0) AS days_expected FROM sq""")
 def production_runs(spark, d):
     """Runs with their daily rows stored as JSON, read back and summed."""
     runs, production = staged(U.install_seq(_rated(spark, d)), "runs"), staged(V.production(spark, d), "production")
     stored = runs.join(U.daily_lists(runs, production), ["mold_no", "started_at", "order_key"], "left")
     out = U.production_runs(stored)
-    return out.withColumns({"install_seq": F.col("install_seq").cast("long"), "days_covered": F.col("days_covered").cast("long")})
+    return out.withColumns({"rate": F.round("rate", 9)} | {c: F.col(c).cast("long") for c in ("install_seq", "days_covered")})
 
 
 @query("SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS mold_no, CAST(l_linenumber AS VARCHAR) AS started_at, " + ", ".join(f"CAST(sum(CASE WHEN round(l_discount * 100) = {k} THEN l_quantity END) AS BIGINT) AS d{k}" for k in range(11)) + " FROM lineitem GROUP BY 1, 2")
@@ -313,11 +307,11 @@ def defect_columns(spark, d):
 
 
 @query(f"""WITH {_REC}, {_ITEMS} SELECT (SELECT count(*) FROM re) AS tools, (SELECT count(*) FROM ra) AS runs, (SELECT count(DISTINCT mold_no) FROM it WHERE mold_no IN (SELECT mold_no FROM re)) AS inspected,
- CAST(0 AS BIGINT) AS rejected_events, (SELECT count(DISTINCT mold_no) FROM le WHERE mold_no NOT IN (SELECT mold_no FROM ti)) AS unknown_tools,
+ (SELECT count(*) FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 59 = 0) AS rejected_events, (SELECT count(DISTINCT mold_no) FROM le WHERE mold_no NOT IN (SELECT mold_no FROM ti)) AS unknown_tools,
  (SELECT count(DISTINCT equipment) FROM le WHERE location = '설비' AND mold_no IN (SELECT mold_no FROM ti) AND equipment NOT IN (SELECT equipment FROM ei)) AS unknown_equipment,
  (SELECT count(DISTINCT day) FROM da LEFT JOIN pr USING (day, code) WHERE code IS NOT NULL AND produced IS NULL) AS missing_days,
  (SELECT count(*) FROM ra WHERE ended_at IS NULL) AS open_runs, (SELECT count(*) FROM ra WHERE ended_at > started_at AND coalesce(days_found, 0) = 0) AS unmatched_runs,
- (SELECT count(DISTINCT mold_no) FROM it WHERE mold_no NOT IN (SELECT mold_no FROM re)) AS orphans, CAST(0 AS BIGINT) AS skipped_rows""")
+ (SELECT count(DISTINCT mold_no) FROM it WHERE mold_no NOT IN (SELECT mold_no FROM re)) AS orphans, (SELECT count(*) FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 59 = 0) AS skipped_rows""")
 def assembled_summary(spark, d):
     p = V.production(spark, d).select(F.col("day").cast("string").alias("run_date"), F.col("code").alias("equipment_code"), F.col("produced").cast("string").alias("produced"), F.col("defects").cast("string").alias("defects"), F.lit(1).alias("order_key"))
     return I.summary(I.assemble(V.master(spark, d), V.ledger(spark, d), p, _inspection(spark, d)))
@@ -386,5 +380,9 @@ def message_roles(spark, d):
 def session_list(spark, d):
     """The order of the list is part of the result."""
     s = V.messages(spark, d).groupBy(F.col("session_id").alias("id")).agg(F.max("turn").alias("updated_at"))
-    listed = H.list_sessions(s).withColumn("_at", F.monotonically_increasing_id())
-    return listed.withColumn("place", F.row_number().over(W.orderBy("_at")).cast("long")).drop("_at")
+    listed = staged(H.list_sessions(s).withColumn("_at", F.monotonically_increasing_id()), "sessions")
+    # a sort by ranges numbers each partition's rows; the partitions' sizes give what stands before them
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = listed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_p", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition
+    return listed.withColumn("_p", part).join(F.broadcast(before), "_p").select("id", "updated_at", (F.col("_b") + place + 1).alias("place"))

@@ -176,10 +176,10 @@ _DS = """cl AS (SELECT * FROM ann WHERE NOT contaminated),
 _RANK = "(CASE WHEN s1 > 0 THEN 1 ELSE 0 END + CASE WHEN s2 > 1e-9 * s1 THEN 1 ELSE 0 END)"
 
 
-@query(f"WITH {_ANN}, {_DS.format(w=24)} SELECT event_id, zone, dg, round(dw, 9) AS dw FROM ds")
+@query(f"WITH {_ANN}, {_DS.format(w=24)} SELECT event_id, lot_id, worked_at, zone, dg, round(dw, 9) AS dw FROM ds JOIN ev USING (event_id)")
 def delta_samples(spark, d):
-    rows = _samples(spark, d).select("event_id", F.posexplode(F.arrays_zip("dg", "dw")).alias("p", "r"))
-    return rows.select("event_id", (F.col("p") + 1).cast("int").alias("zone"), "r.dg", F.round("r.dw", 9).alias("dw"))
+    rows = _samples(spark, d).select("event_id", "lot_id", "worked_at", F.posexplode(F.arrays_zip("dg", "dw")).alias("p", "r"))
+    return rows.select("event_id", "lot_id", "worked_at", (F.col("p") + 1).cast("int").alias("zone"), "r.dg", F.round("r.dw", 9).alias("dw"))
 
 
 @query(f"""WITH {_DD}, {_WET}, i AS (SELECT *, coalesce(abs(wet_mean - 4) <= 2.2, FALSE) AS ok FROM wm), k AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY lot_id ORDER BY worked_at ROWS UNBOUNDED PRECEDING) AS n FROM i),
@@ -319,8 +319,10 @@ def cross_width_sigma(spark, d):
 
 # tool usage
 
-_U = """le AS (SELECT 'RX' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS mold_no, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS ev_at,
-   CASE o_orderstatus WHEN 'O' THEN '설비' WHEN 'F' THEN '수리실' ELSE '보관함' END AS location, 'EQ' || CAST(o_orderkey % 120 AS VARCHAR) AS equipment, o_orderkey AS order_key FROM orders),
+_U = """le AS (SELECT 'RX' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS mold_no,
+   CASE WHEN o_orderkey % 5 = 0 THEN CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) ELSE o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) END AS ev_at,
+   CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE CASE o_orderstatus WHEN 'O' THEN '설비' WHEN 'F' THEN '수리실' ELSE '보관함' END END AS location,
+   'EQ' || CAST(o_orderkey % 120 AS VARCHAR) AS equipment, o_orderkey AS order_key FROM orders WHERE o_orderkey % 53 <> 0 AND o_orderkey % 59 <> 0),
  ti AS (SELECT 'RX' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS mold_no, 'EQ' || CAST(c_custkey % 100 AS VARCHAR) AS equipment, CAST(c_custkey % 100 AS VARCHAR) AS equipment_code, 'L' || CAST(c_nationkey AS VARCHAR) AS line, c_custkey AS order_key FROM customer WHERE c_custkey % 10 <> 0),
  ei AS (SELECT equipment, arg_max(equipment_code, order_key) AS code, arg_max(line, order_key) AS line FROM ti GROUP BY 1),
  de AS (SELECT mold_no, ev_at, location, equipment, min(order_key) AS order_key FROM le GROUP BY 1, 2, 3, 4),
@@ -378,13 +380,14 @@ def defect_rate_per_run(spark, d):
     return _rated(spark, d).select("mold_no", "started_at", "ended_at", "code", "produced", "defects", "days_found", "days_expected", F.round("rate", 9).alias("rate"))
 
 
-@query(f"WITH {_U} SELECT mold_no, arg_max(location, (ev_at, order_key)) AS location FROM le GROUP BY 1")
+@query(f"WITH {_U} SELECT mold_no, arg_max(location, (ev_at, order_key)) AS location FROM le WHERE location <> '' GROUP BY 1")
 def latest_locations(spark, d):
     return U.latest_locations(_ledger(spark, d)[0])
 
 
-_REC = _U + """, lo AS (SELECT mold_no, arg_max(location, (ev_at, order_key)) AS location FROM le GROUP BY 1),
- ag AS (SELECT mold_no, count(*) AS n, CAST(sum(produced) AS BIGINT) AS total_production, arg_max(rate, started_at) FILTER (rate IS NOT NULL) AS latest, arg_max(line, started_at) AS line, arg_max(equipment, started_at) AS machine FROM ra GROUP BY 1),
+_REC = _U + """, lo AS (SELECT mold_no, arg_max(location, (ev_at, order_key)) AS location FROM le WHERE location <> '' GROUP BY 1),
+ ag AS (SELECT mold_no, count(*) AS n, CAST(sum(produced) AS BIGINT) AS total_production, arg_max(rate, (started_at, order_key)) FILTER (rate IS NOT NULL) AS latest,
+   arg_max(line, (started_at, order_key)) AS line, arg_max(equipment, (started_at, order_key)) AS machine FROM ra GROUP BY 1),
  re AS (SELECT ti.mold_no, CASE location WHEN '설비' THEN 'in_use' WHEN '수리실' THEN 'repair' WHEN '보관함' THEN 'standby' END AS status, n AS total_installs, total_production, round(latest, 9) AS latest_defect_rate,
    CASE WHEN location = '설비' THEN ag.line END AS line, CASE WHEN location = '설비' THEN machine END AS machine FROM ti LEFT JOIN lo USING (mold_no) LEFT JOIN ag USING (mold_no) WHERE location IS NOT NULL OR n IS NOT NULL)"""
 
@@ -406,6 +409,8 @@ def filter_options(spark, d):
 
 @query(f"""WITH {_U}, x AS (SELECT 'unknown_tool' AS kind, mold_no AS key, count(*) AS n FROM le WHERE mold_no NOT IN (SELECT mold_no FROM ti) GROUP BY 2
  UNION ALL SELECT 'unknown_equipment', equipment, count(*) FROM le WHERE location = '설비' AND mold_no IN (SELECT mold_no FROM ti) AND equipment NOT IN (SELECT equipment FROM ei) GROUP BY 2
+ UNION ALL SELECT 'rejected', CASE WHEN o_orderkey % 53 = 0 THEN 'bad sheet name' ELSE 'no id' END, count(*) FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 59 = 0 GROUP BY 2
+ UNION ALL SELECT 'bad_sheet', CASE WHEN o_orderkey % 53 = 0 THEN 'Sheet1' ELSE '(빈 이름)' END, count(*) FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 59 = 0 GROUP BY 2
  UNION ALL SELECT 'missing_day', CAST(day AS VARCHAR), 1 FROM (SELECT DISTINCT day FROM da LEFT JOIN pr USING (day, code) WHERE pr.day IS NULL OR produced IS NULL)
  UNION ALL SELECT 'open_run', NULL, count(*) FROM ra WHERE ended_at IS NULL HAVING count(*) > 0
  UNION ALL SELECT 'unmatched_run', NULL, count(*) FROM ra WHERE ended_at > started_at AND coalesce(days_found, 0) = 0 HAVING count(*) > 0) SELECT * FROM x""")
@@ -422,16 +427,31 @@ def run_coverage(spark, d):
 
 
 @query(f"""WITH {_U}, sq AS (SELECT *, row_number() OVER (PARTITION BY mold_no ORDER BY started_at, order_key) AS k FROM ra),
- hi AS (SELECT mold_no, string_agg(k || '/' || equipment || '/' || line || '/' || coalesce(CAST(produced AS VARCHAR), '-'), ',' ORDER BY k) AS runs, arg_max(equipment, k) FILTER (ended_at IS NULL) AS running FROM sq GROUP BY 1)
- SELECT hi.mold_no, runs, CASE WHEN c_custkey % 2 = 0 THEN 'iqc' ELSE 'pqc' END || '/L' || c_nationkey || '/' || c_name AS panels, running, CAST(NULL AS VARCHAR) AS design FROM hi JOIN customer ON hi.mold_no = 'RX' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')""")
+ hi AS (SELECT mold_no, string_agg(k || '/' || equipment || '/' || line || '/' || coalesce(CAST(produced AS VARCHAR), '-'), ',' ORDER BY k) AS runs, arg_max(equipment, k) FILTER (ended_at IS NULL) AS running,
+  count(*) AS total_installs, CAST(sum(produced) AS BIGINT) AS total_production, min(started_at) AS first_installed_at FROM sq GROUP BY 1)
+ SELECT hi.mold_no, runs, total_installs, total_production, first_installed_at, CASE WHEN c_custkey % 2 = 0 THEN 'iqc' ELSE 'pqc' END || '/L' || c_nationkey || '/' || c_name AS panels, running, CAST(NULL AS VARCHAR) AS design,
+  CASE WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'ok' ELSE 'warn' END ELSE 'ok' END AS installed FROM hi JOIN customer ON hi.mold_no = 'RX' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')""")
 def tool_detail(spark, d):
     r = U.install_seq(_rated(spark, d))
     stage = F.when(F.col("order_key") % 2 == 0, "iqc").otherwise("pqc")
     panels = V.master(spark, d).select(S.normalize_tool("mold_no").alias("mold_no"), stage.alias("stage"), F.col("line").alias("status"), F.col("jig_name").alias("source_file"))
-    out = U.tool_detail(r.select("mold_no").distinct(), r, panels)
+    tools = r.select("mold_no").distinct()
+    out = U.tool_detail(tools, r, panels, stages=U.stage_status(tools, _stages(spark, d), r))
     runs = F.array_join(F.transform("history", lambda x: F.concat_ws("/", x["install_seq"].cast("string"), x["equipment"], x["line"], F.coalesce(x["produced"].cast("string"), F.lit("-")))), ",")
     panel = F.array_join(F.transform("panels", lambda x: F.concat_ws("/", x["stage"], x["status"], x["source_file"])), ",")
-    return out.select("mold_no", runs.alias("runs"), panel.alias("panels"), F.col("current.equipment").alias("running"), F.col("design"))
+    more = ["total_installs", "total_production", "first_installed_at", "design"]
+    return out.select("mold_no", runs.alias("runs"), panel.alias("panels"), F.col("current.equipment").alias("running"), *more, F.col("stage_status")["install"].alias("installed"))
+
+
+def _stages(spark, d) -> DataFrame:
+    key = F.col("c_custkey") % 4
+    stage = F.when(key == 0, "iqc").when(key == 1, "install").when(key == 2, "pqc").otherwise("design")
+    source = F.struct(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise("").alias("file"), F.lit("s").alias("sheet"), F.lit("A1").alias("cell"))
+    judged = F.when(F.col("c_custkey") % 5 == 0, "OK")
+    item = F.to_json(F.array(F.struct(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("value"), judged.alias("judgment"), source.alias("source"))))
+    return spark.read.parquet(f"{d}/customer.parquet").select(
+        F.concat(F.lit("RX"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("mold_no"), stage.alias("stage"), F.when(F.col("c_custkey") % 3 == 0, "ok").otherwise("warn").alias("status"),
+        item.alias("items_json"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("").alias("source_file"), F.when(F.col("c_custkey") % 7 == 0, "late").alias("error"))
 
 
 # cells
@@ -513,5 +533,5 @@ def load_history(spark, d):
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'in_use' WHEN 'F' THEN 'repair' ELSE 'standby' END AS status, 'RX' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS tool, o_totalprice AS price, CAST(trunc(o_totalprice) AS BIGINT) AS whole FROM orders")
 def scalar_functions(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("decimal(20,2)").cast("string").alias("p")).join(V.ledger(spark, d), F.col("o_orderkey") == F.col("order_key"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("decimal(20,2)").cast("string").alias("p")).join(V.ledger_rows(spark, d), F.col("o_orderkey") == F.col("order_key"))
     return o.select("o_orderkey", S.status_from_location("location").alias("status"), S.normalize_tool(F.concat(F.lit(" ##"), F.lower("sheet"))).alias("tool"), S.to_float("p").alias("price"), S.to_int("p").alias("whole"))

@@ -23,6 +23,16 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """``ledger_rows`` as people keep it: padded cells, events without a place, sheets that are no tool, equal times."""
+    k = F.col("order_key")
+    place = F.when(k % 41 == 0, None).when(k % 43 == 0, F.concat(F.lit(" "), "location", F.lit("\u3000"))).otherwise(F.col("location"))
+    sheet = F.when(k % 53 == 0, "Sheet1").when(k % 59 == 0, " ").otherwise(F.col("sheet"))
+    at = F.when(k % 5 == 0, F.concat(F.substring("event_at", 1, 7), F.lit("-01"))).otherwise(F.col("event_at"))
+    pad = F.when(k % 37 == 0, F.concat(F.lit("\t"), "equipment", F.lit(" "))).otherwise(F.col("equipment"))
+    return ledger_rows(spark, d).withColumns({"location": place, "sheet": sheet, "event_at": at, "equipment": pad})
+
+
+def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600)
     place = F.when(F.col("o_orderstatus") == "O", "설비").when(F.col("o_orderstatus") == "F", "수리실").otherwise("보관함")
     return _t(spark, d, "orders").select(
@@ -32,7 +42,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 
 def master(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "customer").where("c_custkey % 10 <> 0").select(
-        F.concat(F.lit("#rx"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("mold_no"), F.col("c_name").alias("jig_name"), F.concat(F.lit("EQ"), (F.col("c_custkey") % 100).cast("string")).alias("equipment"),
+        F.concat(F.lit("#rx"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("mold_no"), F.col("c_name").alias("jig_name"), F.concat(F.lit("EQ"), (F.col("c_custkey") % 100).cast("string"), F.when(F.col("c_custkey") % 17 == 0, " ").otherwise("")).alias("equipment"),
         (F.col("c_custkey") % 100).cast("string").alias("equipment_code"), F.concat(F.lit("L"), F.col("c_nationkey").cast("string")).alias("line"), F.col("c_custkey").alias("order_key"))
 
 

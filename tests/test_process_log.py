@@ -193,6 +193,12 @@ def test_time_holdout_one_time(spark):
     assert {r.fold for r in M.time_holdout(df, "at", "lot_id", 0.0).collect()} == {"train"} and M.time_holdout(df.where("false"), "at", "lot_id").count() == 0
 
 
+def test_time_holdout_puts_null_times_last(spark):
+    df = spark.createDataFrame([(k, T0 + timedelta(days=k) if k % 3 else None) for k in range(12)], "lot long, t timestamp")
+    got = {r.lot: r.fold for r in M.time_holdout(df, "t", "lot", 0.5).collect()}
+    assert sorted(k for k, f in got.items() if f == "train") == [1, 2, 4, 5, 7, 8]
+
+
 def test_group_splits(spark):
     rng = np.random.default_rng(8)
     lots = {k: int(n) for k, n in enumerate(rng.choice([1, 1, 1, 2, 3, 8, 21, 60], 300))}

@@ -10,6 +10,7 @@ from millwright.functions import scalars as S
 from millwright.operators import cells as C
 from millwright.operators import sessions as H
 from millwright.operators import usage as U
+from millwright.plans import views as V
 from millwright.sources import tables as T
 
 MASTER = "mold_no string, jig_name string, equipment string, equipment_code string, line string, order_key long"
@@ -66,7 +67,7 @@ def test_runs(spark):
     r = rated.where("mold_no = 'RX11111'").first()
     assert (r.produced, r.defects, r.days_found, r.days_expected) == (11000, 310, 2, 4) and r.rate == pytest.approx(310 / 11000)
     lost = {(r.kind, r.key): r.n for r in U.losses(bad, good, tools, equipment, rated, production).collect()}
-    assert lost == {("rejected", "bad sheet name"): 1, ("rejected", "bad time"): 1, ("unknown_tool", "RX77777"): 1, ("unknown_equipment", "EQ9"): 1, ("missing_day", "2026-07-03"): 1, ("missing_day", "2026-07-04"): 1, ("open_run", None): 1}
+    assert lost == {("rejected", "bad sheet name"): 1, ("bad_sheet", "Sheet"): 1, ("rejected", "bad time"): 1, ("unknown_tool", "RX77777"): 1, ("unknown_equipment", "EQ9"): 1, ("missing_day", "2026-07-03"): 1, ("missing_day", "2026-07-04"): 1, ("open_run", None): 1}
     rec = {r.mold_no: r for r in U.tool_records(tools, rated, U.latest_locations(good)).collect()}
     assert (rec["RX11111"].status, rec["RX11111"].total_installs, rec["RX22222"].status, rec["RX22222"].total_production) == ("standby", 1, "in_use", None)
 
@@ -89,9 +90,11 @@ def test_inspection_and_panels(spark):
     assert st["RX1"]["install"] == "ok" and st["RX2"] == {"design": "missing", "install": "missing", "iqc": "ok", "pqc": "missing", "ai_recheck": "missing"}
     p = U.stage_panels(stages).first()
     assert p["items"][0].label == "a" and p.source_file is None
-    daily = spark.createDataFrame([("RX1", 1, "2026-07-01 00:00:00", "2026-07-03 00:00:00", '[{"day":"2026-07-01","produced":5,"defects":1}]')], "mold_no string, install_seq int, s string, e string, defects_json string").selectExpr("mold_no", "install_seq", "cast(s as timestamp) started_at", "cast(e as timestamp) ended_at", "defects_json")
+    daily = spark.createDataFrame([("RX1", 1, "2026-07-01 00:00:00", "2026-07-03 00:00:00", '[{"day":"2026-07-01","produced":5,"defects":1}]')], "mold_no string, install_seq int, s string, e string, defects_json string").selectExpr("mold_no", "install_seq", "cast(s as timestamp) started_at", "cast(e as timestamp) ended_at", "defects_json", "'L1' line", "'E1' equipment", "0.2D rate")
     r = U.production_runs(daily).first()
-    assert (r.produced, r.defects, r.days_covered, r.days_expected) == (5, 1, 1, 2)
+    assert (r.produced, r.defects, r.days_covered, r.days_expected, r.line, r.machine, r.rate) == (5, 1, 1, 2, "L1", "E1", 0.2)
+    none = U.production_runs(daily.withColumn("ended_at", F.lit(None).cast("timestamp")).withColumn("defects_json", F.element_at(F.array(F.lit(None).cast("string"), F.lit("[]")), F.col("install_seq")))).first()
+    assert (none.produced, none.defects, none.days_covered, none.days_expected) == (None, None, 0, 0)
     labels = spark.createDataFrame([("RX1", "t", "b", 1, 5), ("RX1", "t", "a", 2, 6), ("RX2", "t", "a", 3, 7)], "mold_no string, started_at string, label string, order_key long, n long")
     assert U.defect_columns(labels).columns == ["mold_no", "started_at", "b", "a"]
     many = spark.range(300).selectExpr("'RX1' mold_no", "'t' started_at", "concat('d', id) label", "id order_key", "id n")
@@ -125,6 +128,69 @@ def test_white_space_and_numbers(spark):
     assert [tuple(r) for r in got] == [("RX28312", None, None, "AB5", "B2"), ("RX1", 12.345, None, "AA3", None)]
 
 
+def test_unclean_ledger(spark):
+    """An event without a place ends a run; cells are stripped; of two runs at one time the later row is the last."""
+    ev = [
+        ("RX11111", "2026-07-01 07:00:00", "설비 ", " EQ1"), ("RX11111", "2026-07-03 07:00:00", "  ", None), ("RX11111", "2026-07-09 07:00:00", "보관함", None),
+        ("RX22222", "2026-07-02 07:00:00", "설비", "EQ1"), ("RX22222", "2026-07-02 07:00:00", "\u3000설비", "EQ2\t"), ("RX22222", "2026-07-02 07:00:00", "설비", "EQ2"),
+        ("Sheet1", "2026-07-02 07:00:00", "설비", "EQ2"), ("  ", "2026-07-02 07:00:00", "설비", "EQ2"), (None, "2026-07-02 07:00:00", "설비", "EQ2"),
+    ]
+    got, good, bad, tools, equipment = runs(spark, ev, [("RX11111", "a", " EQ1 ", "C1 ", "L1", 1), ("RX22222", "b", "EQ2", "C2", "L2", 2)])
+    assert sorted((r.mold_no, str(r.started_at), str(r.ended_at), r.equipment, r.code, r.fallback) for r in got.collect()) == [
+        ("RX11111", "2026-07-01 07:00:00", "2026-07-03 07:00:00", "EQ1", "C1", False),
+        ("RX22222", "2026-07-02 07:00:00", "2026-07-02 07:00:00", "EQ1", "C1", False), ("RX22222", "2026-07-02 07:00:00", "None", "EQ2", "C2", False)]
+    production = spark.createDataFrame([(date(2026, 7, d), "C1", 100, 1) for d in range(1, 10)], "day date, code string, produced long, defects long")
+    rated = U.defect_rates(got, production)
+    assert {(r.mold_no, r.produced) for r in rated.collect() if r.produced} == {("RX11111", 200)}
+    rec = {r.mold_no: r for r in U.tool_records(tools, rated, U.latest_locations(good)).collect()}
+    assert (rec["RX22222"].line, rec["RX22222"].machine) == ("L2", "EQ2") and rec["RX11111"].status == "standby"
+    lost = {(r.kind, r.key): r.n for r in U.losses(bad, good, tools, equipment, rated, production).collect()}
+    assert lost == {("rejected", "bad sheet name"): 1, ("rejected", "no id"): 2, ("bad_sheet", "Sheet1"): 1, ("bad_sheet", "(빈 이름)"): 2, ("open_run", None): 1}
+
+
+@pytest.mark.parametrize("piece_days", [1, 3, 366])
+def test_running_totals_in_pieces(spark, piece_days):
+    """Sums of every run against a join by day, with stray days a century before and repeated runs."""
+    import random
+
+    rng = random.Random(7)
+    at = lambda: datetime(2026, 7, 1 + rng.randrange(28), rng.randrange(24))
+    rows = [(f"RX{k % 9}", *sorted((at(), at())), rng.choice(["C1", "C2", "C3", None]), k) for k in range(80)]
+    rows += [(*rows[0][:4], 0), ("RX1", at(), None, "C1", 100)]
+    runs = spark.createDataFrame(rows, "mold_no string, started_at timestamp, ended_at timestamp, code string, order_key long")
+    made = {(date(2026, 7, d), c): (rng.randrange(50), rng.randrange(5)) for d in range(1, 32) for c in ("C1", "C2") if rng.random() < 0.7}
+    made[date(1900, 1, 1), "C1"] = (9, 9)
+    production = spark.createDataFrame([(*k, *v) for k, v in made.items()], "day date, code string, produced long, defects long")
+    days = {}
+    for r in U.run_days(runs.dropDuplicates()).collect():
+        days.setdefault((r.mold_no, r.started_at, r.order_key), []).append(made.get((r.day, r.code)))
+    got = U.defect_rates(runs, production, piece_days).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = days.get((r.mold_no, r.started_at, r.order_key), [])
+        found = [d for d in own if d]
+        want = (sum(d[0] for d in found), sum(d[1] for d in found)) if found else (None, None)
+        assert (r.produced, r.defects, r.days_found or 0, r.days_expected or 0) == (*want, len(found), len(own))
+
+
+def test_cells_as_text_and_times(spark):
+    """Numbers as Python writes them, whatever their size; times with microseconds; plain dates."""
+    values = [12345678.5, 0.0005, 5e-05, 1.25e-7, 123456789012.25, -0.00025, 1e15 + 0.5, 0.1, 1e20, -3.0]
+    df = spark.createDataFrame([("float", v) for v in values], "k string, v double")
+    none = F.lit(None)
+    got = [r[0] for r in df.select(S.cell_to_text("k", none.cast("string"), "v", none.cast("timestamp"), none.cast("boolean"))).collect()]
+    assert got == [str(int(v)) if v == int(v) else str(v) for v in values]
+    times = spark.createDataFrame([("datetime", datetime(2026, 7, 1, 7, 0, 0, 1200)), ("datetime", datetime(2026, 7, 1)), ("date", datetime(2026, 7, 1))], "k string, t timestamp")
+    got = [r[0] for r in times.select(S.cell_to_text("k", none.cast("string"), none.cast("double"), "t", none.cast("boolean"))).collect()]
+    assert got == ["2026-07-01T07:00:00.001200", "2026-07-01T00:00:00", "2026-07-01"]
+    assert one(spark, S.normalize_status, ["사용\u3000중", "수\u2003리 중"]) == ["in_use", "repair"]
+    assert one(spark, S.status_from_location, ["설\u3000비", "\u3000"]) == ["in_use", None]
+    texts = ["2026-07-01 7:5:09", "2026.7.1 7:05", "2026/7/1", "2026/7/1 7:05", "2026-13-01", "2026-7-1 25:00", "20260701", " 2026-07-01\u3000", "2026-07-01 07:00:00.5"]
+    assert one(spark, S.to_datetime, texts) == [datetime(2026, 7, 1, 7, 5, 9), datetime(2026, 7, 1, 7, 5), datetime(2026, 7, 1), None, None, None, None, datetime(2026, 7, 1), None]
+    assert one(spark, S.log_time, ["20260701", "20260701070500", "7/1/2026 7:05", "2026-07-01 07:00:00.250", "2026-07-01T07:00:00+09:00"]) == [
+        datetime(2026, 7, 1), datetime(2026, 7, 1, 7, 5), datetime(2026, 7, 1, 7, 5), datetime(2026, 7, 1, 7, 0, 0, 250000), datetime(2026, 6, 30, 22)]
+
+
 def grid(spark, rows, top=1, left=1, name="f"):
     out = []
     for r, row in enumerate(rows):
@@ -175,6 +241,73 @@ def test_layouts(spark):
     assert C.layout_errors(ls(cols=())).first().error == "no columns"
 
 
+def test_fields_named_twice(spark):
+    """The last of equal fields counts, in columns and in key-values; a key-value sheet is row 1."""
+    g = grid(spark, [["Name", "size", "other"], ["a", 1, "x"], ["b", None, "y"]])
+    twice = (1, "k", "s", [("title", "A1", None), ("title", "C1", None)], [("t", "detail", None, [1], 2, None, [("name", "A"), ("name", "B"), ("rest", "C")])], [("A1", "Name"), ("B1", "size"), ("C1", "other")], None)
+    ls = spark.createDataFrame([twice], V.LAYOUT)
+    got = C.parse_rows(g, C.pick_layout(g, ls), ls).orderBy("row_no").collect()
+    assert [dict(r["values"]) for r in got] == [{"title": "other", "name": "1", "rest": "x"}, {"title": "other", "name": None, "rest": "y"}]
+    keys = spark.createDataFrame([(*twice[:4], [], *twice[5:])], V.LAYOUT)
+    r = C.parse_rows(g, C.pick_layout(g, keys), keys).collect()
+    assert [(x.row_no, dict(x["values"])) for x in r] == [(1, {"title": "other"})]
+
+
+def test_blank_anchors(spark):
+    anchors = [("A1", "Name"), ("B1", "size"), ("C1", "other"), ("D1", " "), ("D2", None)]
+    ls = lambda more: spark.createDataFrame([(*layout()[:5], anchors + more, None)], V.LAYOUT)
+    g = grid(spark, [["Name", "size", "other", None], ["a", 1, "x", " "]])
+    assert C.pick_layout(g, ls([])).count() == 1
+    assert C.pick_layout(g, ls([("B2", "")])).count() == 0
+
+
+def test_reading_with_fallback(spark):
+    """The newest layout that can be parsed; a file with a sheet that has none fails whole, with its reason."""
+    good = layout()
+    bad = (2, *good[1:4], [("t", "detail", None, [1], 2, None, [])], *good[5:])
+    early = (3, *good[1:4], [("t", "detail", None, [1], 5, 2, [("name", "A")])], *good[5:])
+    rows = [["Name", "size", "other"], ["a", 1, "x"]]
+    one, two = grid(spark, rows, name="one"), grid(spark, rows, name="two")
+    cells = one.unionByName(two).unionByName(grid(spark, [["?", "?", "?"]], name="two").withColumn("sheet", F.lit("z")))
+    read = lambda *ls: C.read_sheets(cells, spark.createDataFrame(list(ls), V.LAYOUT))
+    got, failed = read(good, bad, early)
+    assert [(r.source_file, r["values"]["name"]) for r in got.collect()] == [("one", "a")]
+    assert [tuple(r) for r in failed.collect()] == [("two", "z: no layout")]
+    got, failed = read(bad, early)
+    assert got.count() == 0 and sorted(map(tuple, failed.collect())) == [("one", "s: end before start"), ("two", "s: end before start")]
+
+
+def test_batch_from_cells(spark, tmp_path):
+    """Cells of four files to published records, with the losses of each step."""
+    from millwright.operators import ingest as I
+
+    fields = {k: v for k, v in I.FIELDS.items()} | {"iqc": ["mold_no", "gap", "note"]}
+    sheets = {
+        "jig_master": ("master", [["#rx11111", "j", "EQ1 ", "C1", "L1"], ["소계", "j", None, None, None]]),
+        "ees": ("RX11111", [["2026-07-01 07:00:00", "설비", " EQ1"], ["2026-07-03 07:00:00", "보관함", None], ["?", "설비", "EQ1"]]),
+        "mes": ("day", [["2026/7/1 ~", "C1", "1,000", 5], ["2026/7/2 ~", "C1", "측정불가", 5]]),
+        "iqc": ("report", [["RX11111", 1.5, "fine"], ["RX9", 2, None], [None, 3, None]]),
+    }
+    cells, layouts = None, []
+    for n, (kind, (sheet, rows)) in enumerate(sheets.items()):
+        names = fields[kind]
+        g = grid(spark, [names, *rows], name=f"/{kind}/1.xlsx").withColumns({"sheet": F.lit(sheet), "kind": F.lit(kind)})
+        cells = g if cells is None else cells.unionByName(g)
+        columns = [(f, "ABCDE"[c]) for c, f in enumerate(names)]
+        layouts.append((n + 1, kind, sheet, [], [("t", "detail", None, [1], 2, None, columns)], [(f"{'ABC'[c]}1", f) for c, f in enumerate(names[:3])], None))
+    layouts = spark.createDataFrame(layouts, V.LAYOUT)
+    broken = grid(spark, [["what", "is", "this"]], name="/mes/2.xlsx").withColumn("kind", F.lit("mes"))
+    readers = {k: I.cell_reader(cells.unionByName(broken), layouts, k) for k in I.KINDS}
+    store = T.Store(spark, str(tmp_path / "s"))
+    found = spark.createDataFrame([(f"/{k}/1.xlsx", k, "h") for k in sheets] + [("/mes/2.xlsx", "mes", "h"), ("/iqc/9.xlsx", "iqc", "h")], "path string, kind string, content_hash string")
+    done = I.run_batch(store, found, readers)
+    assert done["status"] == "ok" and done["failed_files"] == ["/mes/2.xlsx: s: no layout", "/iqc/9.xlsx: no cells"]
+    assert (done["tools"], done["runs"], done["inspected"], done["rejected_events"], done["orphans"], done["skipped_rows"], done["missing_days"]) == (1, 1, 1, 1, 1, 1, 1)
+    r = store.load("records").first()
+    assert (r.mold_no, r.status, r.total_production) == ("RX11111", "standby", 1000)
+    assert {(i.item, i.value) for i in store.load("items").collect()} == {("gap", "1.5"), ("note", "fine")}
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "r.csv"
     p.write_bytes("﻿lot_id,worked_at,product,item_id,item_name,value\nL1,2026-07-01 18:55,P,0030,x,1.5\nL1,bad,P,1,x,2\nL1,2026-07-01 18:56,P,1,x,abc\nL1,2026/7/1 18:57:01,P,2,x,1d\n".encode())
@@ -253,7 +386,7 @@ def test_ingest_batch(spark, tmp_path):
     failed["mes"].append(("/mes/2.xlsx", "broken"))
     done = run([*files, ("/x/1.xlsx", "other", "h")])
     assert done["status"] == "ok" and done["failed_files"] == ["/mes/2.xlsx: broken"]
-    assert (done["tools"], done["runs"], done["inspected"], done["rejected_events"], done["orphans"], done["skipped_rows"], done["missing_days"]) == (1, 1, 1, 1, 1, 1, 1)
+    assert (done["tools"], done["runs"], done["inspected"], done["rejected_events"], done["orphans"], done["skipped_rows"], done["missing_days"]) == (1, 1, 1, 1, 1, 2, 1)
     assert run(files)["status"] == "skipped" and store.latest_run()["status"] == "skipped"
     failed["ees"].append(("/ees/1.xlsx", "broken"))
     assert run([(*files[0][:2], "h2"), *files[1:]])["status"] == "error"
