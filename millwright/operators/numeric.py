@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.operators.ranks import order_statistics
 from millwright.sources.staging import staged
 
 
@@ -122,7 +123,7 @@ def fit_level(df: DataFrame, features: list[str], label: str = "wet_mean", produ
     sums of each product; what is left to solve is as wide as the features, however many products there are.
     """
     df = df.where(F.col(label).isNotNull())
-    med = df.agg(*[F.percentile(c, 0.5) for c in features]).first() if features else ()
+    med = [m[0] for m in order_statistics(df, {c: [0.5] for c in features}).values()] if features else ()
     filled = [F.coalesce(F.col(c), F.lit(m)) for c, m in zip(features, med)]
     moments = df.agg(*[f(x) for x in filled for f in (F.avg, F.stddev_pop)]).first() if features else ()
     scaled = [(x - m) / (s or 1.0) for x, m, s in zip(filled, moments[::2], moments[1::2])]
@@ -151,7 +152,9 @@ def fit_level(df: DataFrame, features: list[str], label: str = "wet_mean", produ
 
 def recommend_gap(lots: DataFrame, g: np.ndarray, bounds: tuple[float, float], max_step: float, lam_move: float = 0.01, lam_smooth: float = 0.01, tol: float = 1e-9, steps: int = 20_000) -> DataFrame:
     """M7: (lot_id, gap): box-constrained quadratic program of every lot, a batch at a time, by
-    accelerated projected gradient until the projected step is below ``tol``."""
+    accelerated projected gradient until the projected step is below ``tol``.
+
+    What is returned is optimal: a lot that isn't there after ``steps`` raises an error."""
     n = g.shape[1]
     d = np.diff(np.eye(n), axis=0)
     h = 2 * (g.T @ g + lam_move * np.eye(n) + lam_smooth * d.T @ d)
@@ -174,6 +177,10 @@ def recommend_gap(lots: DataFrame, g: np.ndarray, bounds: tuple[float, float], m
                     x = new
                     break
                 x, t = new, t2
+            # a gradient step from the answer must lead back to it
+            left = np.abs(np.clip(x - rate * (x @ h - 2 * err @ g), lo, hi) - x).max(axis=1, initial=0)
+            if (left > 100 * tol).any():
+                raise ValueError(f"not converged after {steps} steps: {b.column('lot_id')[int(left.argmax())]}")
             yield pa.RecordBatch.from_arrays([b.column("lot_id"), pa.array((gap + x).tolist(), pa.list_(pa.float64()))], names=["lot_id", "gap"])
 
     return lots.select("lot_id", "current_gap", "current_profile", "target_profile").mapInArrow(solve, "lot_id string, gap array<double>")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millwright.operators.ranks import order_statistics
 from millwright.sources.staging import staged
 
 KEY = ["lot_id", "item_id"]
@@ -228,9 +229,10 @@ def missing_controls(readings: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def changes_per_lot(changes: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Real control changes of each lot that has any, described over lots."""
-    n = control_changes(changes, catalogue).groupBy("lot_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    q = {f"q{p}": F.percentile("n", p / 100) for p in (25, 50, 75)}
-    return n.agg(F.count("n").alias("count"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), *[v.alias(k) for k, v in q.items()], F.max("n").alias("max"))
+    n = staged(control_changes(changes, catalogue).groupBy("lot_id").agg(F.count(F.lit(1)).cast("double").alias("n")), "changes-of-lots")
+    q = dict(zip(("q25", "q50", "q75"), order_statistics(n, {"n": [0.25, 0.5, 0.75]})["n"]))
+    shares = [F.lit(v).cast("double").alias(k) for k, v in q.items()]
+    return n.agg(F.count("n").alias("count"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), *[F.max(s).alias(k) for s, k in zip(shares, q)], F.max("n").alias("max"))
 
 
 def verdict(n_clean: Column, rank: Column, least: int = 20) -> Column:
