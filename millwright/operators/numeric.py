@@ -30,20 +30,69 @@ def _demean(a: Column) -> Column:
     return F.transform(a, lambda x: x - mean)
 
 
+def _kernel_rows(samples: DataFrame, k: int, *keep: str) -> DataFrame:
+    """(x, y) of every measured zone of every sample: its 2k+1 neighbours and its response, both without the sample's mean."""
+    rows = samples.select(*keep, F.explode(F.arrays_zip(neighbours(_demean(F.col("dg")), k).alias("x"), _demean(F.col("dw")).alias("y"))).alias("r")).select(*keep, "r.x", "r.y")
+    return rows.where(F.col("y").isNotNull() & ~F.isnan("y") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+
+def _kernel_sums(n: int) -> list[Column]:
+    """Sums of x x', of x y and of y y, and the number of rows."""
+    at = [F.element_at("x", i + 1) for i in range(n)]
+    return [*[F.sum(at[i] * at[j]) for i in range(n) for j in range(i, n)], *[F.sum(at[i] * F.col("y")) for i in range(n)], F.sum(F.col("y") * F.col("y")), F.count(F.lit(1))]
+
+
+class KernelSums(NamedTuple):
+    """What a kernel fit and its error need of some rows; sums of more rows are sums of these."""
+
+    a: np.ndarray
+    b: np.ndarray
+    yy: float
+    n: int
+
+    @classmethod
+    def of(cls, sums, n: int) -> KernelSums:
+        a, it = np.zeros((n, n)), iter(v or 0.0 for v in sums)
+        for i in range(n):
+            for j in range(i, n):
+                a[i, j] = a[j, i] = next(it)
+        return cls(a, np.array([next(it) for _ in range(n)]), next(it), int(next(it)))
+
+    def __add__(self, other: KernelSums) -> KernelSums:
+        return KernelSums(self.a + other.a, self.b + other.b, self.yy + other.yy, self.n + other.n)
+
+    def fit(self, alpha: float) -> np.ndarray:
+        return np.linalg.solve(self.a + alpha * np.eye(len(self.b)), self.b) if self.n else np.zeros(len(self.b))
+
+    def rmse(self, w: np.ndarray) -> float | None:
+        return float(np.sqrt(max(0.0, self.yy - 2 * w @ self.b + w @ self.a @ w) / self.n)) if self.n else None
+
+
 def fit_kernel(samples: DataFrame, k: int = 2, alpha: float = 1.0) -> np.ndarray:
     """M2: ridge kernel of 2k+1 weights; both sides lose their event mean.  One pass of sums."""
     n = 2 * k + 1
-    rows = samples.select(F.explode(F.arrays_zip(neighbours(_demean(F.col("dg")), k).alias("x"), _demean(F.col("dw")).alias("y"))).alias("r")).select("r.x", "r.y")
-    rows = rows.where(F.col("y").isNotNull() & ~F.isnan("y") & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    at = [F.element_at("x", i + 1) for i in range(n)]
-    sums = rows.agg(*[F.sum(at[i] * at[j]) for i in range(n) for j in range(i, n)], *[F.sum(at[i] * F.col("y")) for i in range(n)]).first()
-    if sums[0] is None:
-        return np.zeros(n)
-    a, it = np.zeros((n, n)), iter(sums)
-    for i in range(n):
-        for j in range(i, n):
-            a[i, j] = a[j, i] = next(it)
-    return np.linalg.solve(a + alpha * np.eye(n), np.array(list(it)))
+    return KernelSums.of(_kernel_rows(samples, k).agg(*_kernel_sums(n)).first(), n).fit(alpha)
+
+
+def evaluate_kernel(samples: DataFrame, alphas: list[float], k: int = 2, fold: str = "fold") -> DataFrame:
+    """(fold, alpha, n, rmse, kernel) of every fold's rows under the kernel fitted to all other folds.
+
+    One scan: sums per fold hold all that the fits and the errors of any number of ``alphas`` need; the other
+    folds' sums are added up (and not the total less the fold, which would lose digits).  ``rmse`` is over the
+    responses without their sample's mean; a fold without measured zones has none.  Rows without a fold
+    take no part.
+    """
+    n = 2 * k + 1
+    kind = dict(samples.dtypes)[fold]
+    rows = _kernel_rows(samples.where(F.col(fold).isNotNull()), k, fold).groupBy(fold).agg(*_kernel_sums(n)).collect()  # a row for each fold
+    sums = {r[0]: KernelSums.of(r[1:], n) for r in rows}
+    out = []
+    for f, own in sorted(sums.items()):
+        rest = KernelSums(np.zeros((n, n)), np.zeros(n), 0.0, 0)
+        for g, s in sorted(sums.items()):
+            rest = rest if g == f else rest + s
+        out += [(f, float(alpha), own.n, own.rmse(w), w.tolist()) for alpha in alphas for w in [rest.fit(alpha)]]
+    return samples.sparkSession.createDataFrame(out, f"{fold} {kind}, alpha double, n long, rmse double, kernel array<double>")
 
 
 def kernel_matrix(kernel, n_zones: int = 25) -> np.ndarray:

@@ -235,6 +235,24 @@ def kernel_fit(spark, d):
     return M.kernel_rows(spark, k, 2).withColumns({"j": F.col("j").cast("long"), "weight": F.round("weight", 6)})
 
 
+@query(f"""WITH {_ANN}, {_DS.format(w=24)}, e AS (SELECT CAST(lot_id AS BIGINT) % 2 AS fold, (g1 - g2) / 2 AS e, w1 IS NOT NULL AS v1, w2 IS NOT NULL AS v2, CASE WHEN w1 IS NULL OR w2 IS NULL THEN 0 ELSE (w1 - w2) / 2 END AS y
+  FROM pr JOIN ev USING (event_id)),
+ s AS (SELECT fold, sum(CASE WHEN v1 THEN e * e ELSE 0 END) AS p, sum(CASE WHEN v2 THEN e * e ELSE 0 END) AS q, sum(CASE WHEN v1 THEN e * y ELSE 0 END) AS b, sum(CASE WHEN v2 THEN -e * y ELSE 0 END) AS c,
+  sum(CASE WHEN v1 THEN y * y ELSE 0 END) + sum(CASE WHEN v2 THEN y * y ELSE 0 END) AS yy, count(CASE WHEN v1 THEN 1 END) + count(CASE WHEN v2 THEN 1 END) AS n FROM e GROUP BY 1),
+ rr AS (SELECT h.fold, alpha, h.p AS hp, h.q AS hq, h.b AS hb, h.c AS hc, h.yy, h.n, t.p, t.q, t.b, t.c FROM s h JOIN s t ON t.fold <> h.fold, (VALUES (0.001), (10.0)) v(alpha)),
+ a AS (SELECT *, q + alpha AS a11, -q AS a12, p + q + alpha AS a22, -p AS a23, p + alpha AS a33, c AS b1, b - c AS b2, -b AS b3 FROM rr),
+ d AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * a12 * a33 AS det FROM a),
+ w AS (SELECT *, ((a22 * a33 - a23 * a23) * b1 - a12 * a33 * b2 + a12 * a23 * b3) / det AS x1, (-a12 * a33 * b1 + a11 * a33 * b2 - a11 * a23 * b3) / det AS x2,
+  (a12 * a23 * b1 - a11 * a23 * b2 + (a11 * a22 - a12 * a12) * b3) / det AS x3 FROM d)
+ SELECT fold, CAST(alpha AS DOUBLE) AS alpha, n, round(sqrt((yy - 2 * (x1 * hc + x2 * (hb - hc) - x3 * hb) + x1 * x1 * hq - 2 * x1 * x2 * hq + x2 * x2 * (hp + hq) - 2 * x2 * x3 * hp + x3 * x3 * hp) / n), 6) AS rmse,
+  round(x2, 6) AS own FROM w""")
+def kernel_folds(spark, d):
+    """Kernels of two folds of lots for two penalties, each scored on the other fold."""
+    samples = _samples(spark, d).withColumn("fold", F.col("lot_id").cast("long") % 2)
+    out = M.evaluate_kernel(samples, [1e-3, 10.0], 1)
+    return out.select("fold", "alpha", "n", F.round("rmse", 6).alias("rmse"), F.round(F.col("kernel")[1], 6).alias("own"))
+
+
 @query(f"WITH {_ANN}, {_DS.format(w=24)} SELECT round(s1, 6) AS s1, round(s2, 6) AS s2, CAST({_RANK} AS BIGINT) AS effective_rank, n AS n_events FROM sv")
 def rank_diagnostics(spark, d):
     out = M.rank_diagnostics(_samples(spark, d), 2)

@@ -145,6 +145,24 @@ def test_kernel(spark):
     assert {(r.i, r.j): r.weight for r in M.kernel_rows(spark, true, 25).collect()} == {(i, j): g[i, j] for i in range(25) for j in range(25) if abs(i - j) <= 2}
 
 
+def test_kernel_of_every_fold(spark):
+    rng = np.random.default_rng(4)
+    k, rows = np.array([0.1, 0.4, 0.2]), []
+    for n in range(90):
+        g = rng.normal(size=8)
+        w = np.convolve(g - g.mean(), k[::-1], "same") + rng.normal(size=8) * 0.1
+        rows.append((n % 3 if n < 84 else None, g.tolist(), [None if rng.random() < 0.1 else float(v) for v in w]))
+    df = spark.createDataFrame(rows, "fold int, dg array<double>, dw array<double>")
+    got = {(r.fold, r.alpha): r for r in M.evaluate_kernel(df, [0.5, 20.0], 1).collect()}
+    assert len(got) == 6
+    for (fold, alpha), r in got.items():
+        w = M.fit_kernel(df.where(f"fold <> {fold}"), 1, alpha)
+        assert np.allclose(r.kernel, w, atol=1e-12)
+        errors = [(v.y - np.dot(v.x, w)) ** 2 for v in M._kernel_rows(df.where(f"fold = {fold}"), 1).collect()]
+        assert r.n == len(errors) and abs(r.rmse - np.sqrt(np.mean(errors))) < 1e-9
+    assert M.evaluate_kernel(df.where("false"), [1.0]).count() == 0
+
+
 def test_rank(spark):
     rng = np.random.default_rng(1)
     for x, want in ((np.outer(np.arange(1, 301.0), np.ones(25)), 1), (rng.normal(size=(300, 25)), 25), (rng.normal(size=(300, 4)) @ rng.normal(size=(4, 25)), 4)):
