@@ -13,6 +13,7 @@ from millwright.functions import scalars as S
 from millwright.operators import cells as C
 from millwright.operators import numeric as M
 from millwright.operators import process_log as P
+from millwright.operators import search as X
 from millwright.operators import sessions as H
 from millwright.operators import usage as U
 from millwright.plans import views as V
@@ -487,6 +488,17 @@ def search_values(spark, d):
     return C.search(V.cells(spark, d), "RING", 1_000_000).drop("source_file")
 
 
+@query(f"""WITH {_CE}, {_TEXT}, wd AS (SELECT DISTINCT substr(p_name, 1, 6) AS word FROM part UNION SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part UNION SELECT '7')
+ SELECT word, sheet, l || row_no AS cell, value FROM wd JOIN tx ON contains(lower(value), lower(word))""")
+def indexed_search(spark, d):
+    """Words of the parts' names and types looked up through an index of grams."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    words = p.select(F.substring("p_name", 1, 6).alias("word")).union(p.select(F.upper(F.substring("p_type", 1, 2)))).union(spark.range(1).select(F.lit("7")))
+    cells, path = V.cells(spark, d), f"{shared_folder(spark)}/millwright/grams-{uuid.uuid4().hex}"
+    X.build_index(cells, path, 50)
+    return X.search_many(cells, spark.read.parquet(path), words, 50).drop("source_file")
+
+
 @query("SELECT p_brand AS sheet, round(CAST(sum(p_size) AS DOUBLE) + sum(p_retailprice), 4) AS value, 2 * count(*) AS numeric_count FROM part GROUP BY 1")
 def aggregate_values(spark, d):
     return C.aggregate(V.cells(spark, d), "sum").drop("source_file").withColumn("value", F.round("value", 4))
