@@ -166,7 +166,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     An item of fewer than ``window`` words, but not none, is one window.  Null text has no words.
     Items with a null id are left out; rows that repeat an item count once.  An empty benchmark
     leaves all documents clean.  Rows that repeat both id and text come out alike, as often as they
-    came in.
+    came in.  An empty ``docs`` gives an empty table; very long texts are searched whole; columns besides
+    the ids and texts are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id long, tag long, n_words long, hits {_HIT}, matches {_MATCH}"

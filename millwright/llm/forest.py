@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Null, empty and blank texts have no shingles and link with nothing.  A row with a null id links
     with nothing, has a null component and is kept.  Repeated rows are in one component and come out
-    as often as they came in; texts that share an id are linked by it.
+    as often as they came in; texts that share an id are linked by it.  An empty table gives an empty
+    one, very long texts count with all their shingles, and columns besides doc_id and text are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

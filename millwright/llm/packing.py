@@ -180,7 +180,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     """doc_id, piece, start, length, ids_crc32, ids (null unless ``keep_ids``).
 
     Null text counts as empty and gives the end id alone.  Rows that repeat id and text give the same
-    pieces as often as they come in; a very long text is tokenised whole and cut afterwards.
+    pieces as often as they come in; a very long text is tokenised whole and cut afterwards.  An empty
+    table gives an empty one; columns besides doc_id and text are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pieces(tokenizer, capacity, end_id, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>")

@@ -125,6 +125,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000
 
     Without any labelled rows every score is 0.5.  A null id is not held out.  Rows that repeat id and text
     score alike, and count as often as they come in when they are labelled; very long texts are read whole.
+    An empty table gives an empty one; columns besides doc_id and text are never read.
     """
     w = fit(labelled_rows(docs, labels, "quality", sample_rows), sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(w)

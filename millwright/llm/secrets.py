@@ -84,7 +84,9 @@ def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
     """Per row: doc_id, tag (hash of the text), base and all (arrays of lo, rank, hi, kind).  Null text counts as empty.
 
     Rows that repeat both id and text come out as often as they came in, with the same spans.
-    ``all`` holds the base spans and the weak parts whose complement is within ``scope`` characters.
+    ``all`` holds the base spans and the weak parts whose complement is within ``scope`` characters.  An
+    empty table gives an empty one, very long texts are searched whole in linear time, and columns besides
+    doc_id and text are left out.  A host has ten labels at most: of a longer name the last ten are the span.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = base_spans(text)

@@ -170,7 +170,9 @@ def remove_repeated_spans(docs: DataFrame, run: int = 3, least_words: int = 16,
     """Per row: doc_id, n_sentences, n_removed, n_bytes_removed, removed (sentence spans), kept (text).
 
     Null text counts as empty.  The order of documents is (doc_id, a hash of the text), a null id
-    first.  Rows that repeat both are one document and come out alike, as often as they came in.
+    first.  Rows that repeat both are one document and come out alike, as often as they came in.  An
+    empty table gives an empty one, very long texts are split into sentences whole, and columns besides
+    doc_id and text are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = docs.mapInArrow(_span_rows(run, least_words, few_words, long_words), "doc_id long, tag long, h1 long, h2 long, span long")

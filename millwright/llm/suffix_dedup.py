@@ -438,7 +438,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_bytes: bool = True,
     Null text counts as empty.  Rows that repeat both id and text are one document and come out alike,
     as often as they came in; different texts under one id are ordered by a hash; a null id sorts first.
     Extra columns of ``docs`` are ignored.  ``keep_bytes=False`` leaves ``kept`` null.  Shards of more
-    than ``shard_rows`` distinct contexts are split.
+    than ``shard_rows`` distinct contexts are split.  An empty table gives an empty one; very long texts are
+    compared whole, piece by piece.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

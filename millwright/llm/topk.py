@@ -90,7 +90,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block_rows: in
     smaller id; a candidate with the query's own id takes no part.
 
     Both inputs: (vec_id long, v array<long>).  Shorter vectors count as padded with zeros; queries
-    that repeat an id are one query (its smallest vector); repeated candidates stay apart rows.
+    that repeat an id are one query (its smallest vector); repeated candidates stay apart rows.  Without
+    queries or without candidates the result is empty; further columns are left out.  Above ``block_rows``
+    queries the blocks run as jobs when the function is called, with the same rows.
     """
     spark = queries.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))

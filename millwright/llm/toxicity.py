@@ -247,7 +247,9 @@ _SCORED = "score double, evidence array<struct<doc_id:long,toxic:int,cosine:doub
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, k: int = 10, shrink: float = 0.5, cut: float = 0.7) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted, evidence (the neighbours).
 
-    Null text scores as empty.  Without labelled rows every score is 0.5.  Repeated rows score alike.
+    Null text scores as empty.  Without labelled rows every score is 0.5.  Repeated rows score alike.  An
+    empty table gives an empty one, very long texts count with all their words, and columns besides
+    doc_id and text are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

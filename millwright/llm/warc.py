@@ -168,7 +168,8 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 8 <<
 
     Null html is an empty payload, a null url leaves the header out.  Page ids that are null never
     stand for a group; where all are null all records are responses.  Rows that repeat the smallest
-    id of a group are responses too.
+    id of a group are responses too.  An empty table gives no archives, a very long page is one record,
+    and columns besides page_id, url and html are left out.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
