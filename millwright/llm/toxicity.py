@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millwright.llm import textops as X
 from millwright.llm.common import held_out, staged
@@ -93,7 +94,7 @@ class Examples:
         self.matrix = np.zeros((len(most), n), np.float32)
         held[most] = 0
         self.lists = np.concatenate(([0], np.cumsum(held)))
-        self.p, self.v = np.empty(self.lists[-1], np.int32), np.empty(self.lists[-1], np.float32)
+        self.p, self.v = np.empty(self.lists[-1], np.min_scalar_type(n)), np.empty(self.lists[-1], np.float32)
         fill = self.lists[:-1].copy()
         for lo in range(0, n, STEP):
             hi = min(n, lo + STEP)
@@ -210,13 +211,27 @@ def _key(word: np.ndarray, count: np.ndarray) -> bytes:
     return hashlib.blake2b(word.tobytes() + count.astype(np.int64).tobytes(), digest_size=16).digest()
 
 
-def _score(shared, k: int, shrink: float):
+def _evidence(index: Examples, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Neighbours of each row as one list array."""
+    ends = np.cumsum([0] + [len(place) for place, _ in found]).astype(np.int32)
+    place = np.concatenate([place for place, _ in found] + [np.zeros(0, np.int32)]).astype(np.int64)
+    cosine = np.concatenate([score for _, score in found] + [np.zeros(0)])
+    of = [pa.array(index.doc[place]), pa.array(index.label[place].astype(np.int32)), pa.array(cosine)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(of, names=["doc_id", "toxic", "cosine"]))
+
+
+_NONE = (np.zeros(0, np.int32), np.zeros(0))
+
+
+def _score(shared, k: int, shrink: float, evidence: bool = False, text: bool = False):
+    """Adds score to a batch, and evidence; ``text`` itself comes out only where asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Examples = shared.value
         for batch in batches:
-            scores, evidence = np.full(batch.num_rows, index.prior), [[] for _ in range(batch.num_rows)]
+            scores, found = np.full(batch.num_rows, index.prior), [_NONE] * batch.num_rows if evidence else []
             body, off = X.flat(batch.column("text"))
-            known: dict[bytes, tuple[float, list]] = {}  # equal texts are looked up once a batch
+            known: dict[bytes, tuple] = {}  # equal texts are looked up once a batch
             for lo, hi in X.slices(off, 1 << 20) if len(index.space) else ():
                 row, word, count = bags(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 p = np.minimum(np.searchsorted(index.space, word), len(index.space) - 1)
@@ -230,18 +245,20 @@ def _score(shared, k: int, shrink: float):
                 asked = np.array([*sorted(ask.values())], np.int64)
                 first = np.append(at[cut[asked]], at[-1])
                 for r, (place, score) in zip(asked.tolist(), index.nearest_all(first, p[use], value[use], k)):
-                    known[keys[r]] = (index.vote(place, score, shrink), [{"doc_id": int(index.doc[x]), "toxic": int(index.label[x]), "cosine": float(s)} for x, s in zip(place, score)])
+                    known[keys[r]] = (index.vote(place, score, shrink), (place, score) if evidence else None)
                 for r, key in enumerate(keys):
                     if key:
-                        scores[lo + r], evidence[lo + r] = known[key]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores), pa.array(evidence, kind)], names=[*keep, "score", "evidence"])
+                        scores[lo + r] = known[key][0]
+                        if evidence:
+                            found[lo + r] = known[key][1]
+            keep = [c for c in batch.schema.names if text or c != "text"]
+            more = {"score": pa.array(scores)} | ({"evidence": _evidence(index, found)} if evidence else {})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *more.values()], names=[*keep, *more])
 
     return run
 
 
-_SCORED = "score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
+_EVIDENCE = "evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, k: int = 10, shrink: float = 0.5, cut: float = 0.7) -> DataFrame:
@@ -253,12 +270,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_00
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_score(shared, k, shrink), f"doc_id long, {_SCORED}")
+    scored = texts.mapInArrow(_score(shared, k, shrink, evidence=True), f"doc_id long, score double, {_EVIDENCE}")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, k: int = 10, shrink: float = 0.5, cut: float = 0.7) -> DataFrame:
     """``docs`` without the rows whose score reaches ``cut``; columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return row.mapInArrow(_score(shared, k, shrink), f"row {row.schema['row'].dataType.simpleString()}, {_SCORED}").where(F.col("score") < cut).select("row.*")
+    # the text goes to the workers once; one of another type stays in the row as well
+    apart = dict(docs.dtypes).get("text") == "string" and len(docs.columns) > 1
+    others = [c for c in docs.columns if not (apart and c == "text")]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").cast("string").alias("text"))
+    out = row.schema.fields[: 2 if apart else 1] + [StructField("score", DoubleType())]
+    scored = row.mapInArrow(_score(shared, k, shrink, text=apart), StructType(out))
+    return scored.where(F.col("score") < cut).select(*[F.col("row").getField(c).alias(c) if c in others else F.col("text") for c in docs.columns])

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millwright.llm import decontam, forest, packing, quality, queries, secrets, sentences, suffix_dedup, topk, toxicity, warc
 from millwright.llm.common import Scratch, table
@@ -287,6 +288,19 @@ def test_toxicity_held_out(spark):
     assert frame(spark, awkward()).columns == toxicity.without_toxic(frame(spark, awkward()), table(spark, sf, "labels")).columns
 
 
+def test_filter_agrees_with_scores_for_any_columns(spark):
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    texts = [None if k == 7 else "" if k == 8 else f"vile fools {k}" if k % 3 == 0 else f"calm meadow {k}" for k in range(60)]
+    rows = [(k, t, 0.5, [k]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, `a.b` array<long>").select("`a.b`", "text", "doc_id", "score")
+    low = {r.doc_id for r in toxicity.toxicity_scores(docs, labels).where("score < 0.7").collect()}
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.schema.simpleString() == docs.schema.simpleString() and 0 < len(low) < 60
+    assert {r.doc_id: (r.text, r.score, r["a.b"]) for r in kept.collect()} == {k: (t, s, x) for k, t, s, x in rows if k in low}
+    raw = docs.withColumn("text", F.col("text").cast("binary"))
+    assert {r.doc_id for r in toxicity.without_toxic(raw, labels).collect()} == low
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
     rows = [np.sort(rng.choice(30, rng.integers(1, 6), replace=False)) for _ in range(3000)]
