@@ -56,7 +56,7 @@ def clean_ledger(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     cell = {"location": F.coalesce(S.blank_to_null(F.col("location")), F.lit("")), "equipment": S.blank_to_null(F.col("equipment"))}
     rows = ledger.withColumns(cell).withColumn("tool", S.normalize_tool("sheet")).withColumn("at", S.to_datetime("event_at"))
     reason = F.when(F.col("tool").isNull(), "no id").when(~S.is_tool_name("sheet"), "bad sheet name").when(F.col("at").isNull(), "bad time")
-    rows = rows.withColumn("reason", reason)
+    rows = staged(rows.withColumn("reason", reason), "ledger")  # a filter on the reason would read each time twice
     return rows.where("reason is null").select(F.col("tool").alias("mold_no"), "at", "location", "equipment", "order_key"), rows.where("reason is not null")
 
 
@@ -75,7 +75,7 @@ def resolve_runs(runs: DataFrame, tools: DataFrame, equipment: DataFrame) -> Dat
     """Tools without a master row drop out; code and line come from the equipment, or as a
     whole from the tool's own row where the equipment is unknown."""
     t = tools.select("mold_no", F.col("equipment_code").alias("own_code"), F.col("line").alias("own_line"))
-    out = runs.join(t, "mold_no").join(equipment.withColumn("hit", F.lit(True)), "equipment", "left")
+    out = runs.join(t.hint("merge"), "mold_no").join(equipment.withColumn("hit", F.lit(True)), "equipment", "left")
     pick = lambda a, b: F.when(F.col("hit"), F.col(a)).otherwise(F.col(b))
     return out.select("mold_no", "started_at", "ended_at", "equipment", pick("code", "own_code").alias("code"), pick("line", "own_line").alias("line"), F.col("hit").isNull().alias("fallback"), "order_key")
 
@@ -97,49 +97,60 @@ def run_days(runs: DataFrame) -> DataFrame:
     return closed.drop("days_expected", "first_day", "last_day")
 
 
+def _of_codes(production: DataFrame, runs: DataFrame) -> DataFrame:
+    """The production rows of codes that runs have; no other row can meet a run.
+
+    The codes are written first: few of them are a small table, which Spark then joins before production is summed."""
+    return production.join(staged(runs.select("code").where("code is not null").distinct(), "codes"), "code", "left_semi")
+
+
 def defect_rates(runs: DataFrame, production: DataFrame, piece_days: int = 366) -> DataFrame:
     """Produced, defects, days found and expected, and rate = sum of defects / sum of production.
 
-    A run's sums are the code's running totals up to its last day less those before its first.  The two days
-    of each run are sorted in among the production rows, which are summed up in pieces of ``piece_days``, the
-    pieces then along their code: as many rows as there are, whatever days they span, and a task has one
-    piece of a code.  Rows that repeat come out as often as they came in.
+    A run's sums are the code's running totals up to its last day less those before its first.  Every day that a
+    run asks for is sorted in once among the production rows of its code, which are summed up in pieces of
+    ``piece_days``, the pieces then along their code: as many rows as there are, whatever days they span, and a
+    task has one piece of a code.  Rows that repeat come out as often as they came in.
     """
-    out = _covered(runs)
-    have = F.col("first_day").isNotNull() & F.col("code").isNotNull()
+    runs = staged(runs, "runs-to-rate")
+    out = _covered(runs).withColumn("day_before", F.date_sub("first_day", 1))
     sums = ["produced", "defects", "found"]
-    days = F.array(F.struct(F.col("last_day").alias("day"), F.lit(True).alias("to")), F.struct(F.date_sub("first_day", 1).alias("day"), F.lit(False).alias("to")))
-    none = F.array(F.struct(F.lit(None).cast("date").alias("day"), F.lit(True).alias("to")))
-    edges = out.select("code", F.struct(*out.columns).alias("run"), F.explode(F.when(have, days).otherwise(none)).alias("e")).select("code", "e.day", "e.to", "run")
-    rows = production.where("code is not null and day is not null").select("code", "day", "produced", "defects", F.col("produced").isNotNull().cast("int").alias("found"))
-    both = rows.unionByName(edges, allowMissingColumns=True).withColumn("piece", F.floor(F.unix_date("day") / piece_days))
-    both = staged(both, "production-and-runs")
+    asked = out.where("first_day is not null and code is not null").select("code", F.explode(F.array("last_day", "day_before")).alias("day")).distinct()
+    rows = _of_codes(production.where("code is not null and day is not null"), runs).select("code", "day", "produced", "defects", F.col("produced").isNotNull().cast("int").alias("found"), F.lit(False).alias("asked"))
+    both = rows.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True).withColumn("piece", F.floor(F.unix_date("day") / piece_days))
+    both = staged(both, "production-and-days")
     along = W.partitionBy("code").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    asked = both.where("day is not null")
-    before = asked.groupBy("code", "piece").agg(*[F.sum(c).alias(c) for c in sums])
+    before = both.groupBy("code", "piece").agg(*[F.sum(c).alias(c) for c in sums])
     before = before.select("code", "piece", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"before_{c}") for c in sums])
-    # on one day production stands before the runs' days
-    inside = W.partitionBy("code", "piece").orderBy("day", F.col("run").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    at = asked.select("code", "piece", "run", "to", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums]).where("run is not null")
-    at = at.join(before, ["code", "piece"]).select("run", "to", *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in sums])
-    less = [(F.max(F.when(F.col("to"), F.col(c))) - F.max(F.when(~F.col("to"), F.col(c)))).alias(f"_{c}") for c in sums]
-    per = at.groupBy("run").agg(*less, F.count_if("to").alias("n")).withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
-    per = per.select("run.*", *[f"_{c}" for c in sums])
-    rest = both.where("run is not null and day is null").select("run.*", *[F.lit(0).cast("long").alias(f"_{c}") for c in sums])
-    out = per.unionByName(rest).withColumn("days_found", F.when(F.col("days_expected").isNotNull(), F.col("_found")))
+    # on one day production stands before the asked day
+    inside = W.partitionBy("code", "piece").orderBy("day", "asked").rowsBetween(W.unboundedPreceding, 0)
+    at = both.select("code", "piece", "day", "asked", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums]).where("asked")
+    at = at.join(before, ["code", "piece"]).select("code", "day", *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in sums])
+    for edge in ("last_day", "day_before"):
+        out = out.join(at.select("code", F.col("day").alias(edge), *[F.col(c).alias(f"{edge}_{c}") for c in sums]), ["code", edge], "left")
+    less = {f"_{c}": F.coalesce(F.col(f"last_day_{c}") - F.col(f"day_before_{c}"), F.lit(0)) for c in sums}
+    out = out.withColumns(less).withColumn("days_found", F.when(F.col("days_expected").isNotNull(), F.col("_found")))
     for c in ("produced", "defects"):
         out = out.withColumn(c, F.when(F.col("days_found") > 0, F.col(f"_{c}")))
     rate = F.try_divide(F.col("defects").cast("double"), F.col("produced").cast("double"))
     return out.select(*runs.columns, "produced", "defects", "days_found", "days_expected", rate.alias("rate"))
 
 
-def daily_lists(runs: DataFrame, production: DataFrame) -> DataFrame:
-    """(mold_no, started_at, order_key, defects_json): the production rows of a run's days as JSON,
-    the only result that needs a row for each day.  Runs without any are absent."""
+def daily_lists(runs: DataFrame, production: DataFrame, piece_days: int = 64) -> DataFrame:
+    """(mold_no, started_at, order_key, defects_json): the production rows of a run's days as JSON.
+    Runs without any are absent.
+
+    A run meets the rows of its code in pieces of ``piece_days``, so it is one row for each piece and not for each day."""
     key = ["mold_no", "started_at", "order_key"]
-    days = run_days(runs.select(*key, "ended_at", "code")).join(production, ["day", "code"])
-    daily = F.array_sort(F.collect_list(F.struct("day", "produced", "defects")))
-    return days.groupBy(*key).agg(F.to_json(daily).alias("defects_json"))
+    piece = lambda day: F.floor(F.unix_date(day) / piece_days)
+    closed = _covered(runs.select(*key, "ended_at", "code")).where("first_day is not null and code is not null")
+    spans = closed.select(*key, "code", "first_day", "last_day", F.explode(F.sequence(piece("first_day"), piece("last_day"))).alias("piece"))
+    rows = _of_codes(production.where("code is not null and day is not null"), runs)
+    held = rows.groupBy("code", piece("day").alias("piece")).agg(F.collect_list(F.struct("day", "produced", "defects")).alias("rows"))
+    own = F.filter("rows", lambda r: r["day"].between(F.col("first_day"), F.col("last_day")))
+    # by their files the sides may look small enough to broadcast when their rows are not
+    days = spans.hint("merge").join(held, ["code", "piece"]).select(*key, own.alias("own")).where(F.size("own") > 0)
+    return days.groupBy(*key).agg(F.to_json(F.array_sort(F.flatten(F.collect_list("own")))).alias("defects_json"))
 
 
 def missing_days(runs: DataFrame, production: DataFrame) -> DataFrame:
@@ -154,7 +165,7 @@ def missing_days(runs: DataFrame, production: DataFrame) -> DataFrame:
     open_runs = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
     held = steps.withColumn("open", open_runs).withColumn("next", F.lead("day").over(w)).where("open > 0")
     days = held.select("code", F.explode(F.sequence("day", F.date_sub("next", 1))).alias("day"))
-    return days.join(production, ["day", "code"], "left_anti").select("day").distinct()
+    return days.join(_of_codes(production, runs).hint("merge"), ["day", "code"], "left_anti").select("day").distinct()
 
 
 def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment: DataFrame, rated: DataFrame, production: DataFrame) -> DataFrame:
@@ -166,11 +177,12 @@ def losses(rejected: DataFrame, events: DataFrame, tools: DataFrame, equipment:
     counts = rated.agg(F.count_if(F.col("ended_at").isNull()).alias("open_run"), F.count_if((F.col("ended_at") > F.col("started_at")) & (F.coalesce("days_found", F.lit(0)) == 0)).alias("unmatched_run"))
     left = counts.unpivot([], ["open_run", "unmatched_run"], "kind", "n")
     at = events.where(F.col("location") == S.AT_MACHINE)
-    known = at.join(tools.select("mold_no"), "mold_no", "left_semi").where("equipment is not null")
+    ids = tools.select("mold_no").hint("merge")  # by its file a table of tools may look small enough to broadcast when its rows are not
+    known = at.join(ids, "mold_no", "left_semi").where("equipment is not null")
     parts = [
         rows(rejected, "rejected", F.col("reason")),
         rows(rejected.where("reason in ('no id', 'bad sheet name')"), "bad_sheet", F.coalesce(S.blank_to_null(F.col("sheet")), F.lit(NO_NAME))),
-        rows(events.join(tools.select("mold_no"), "mold_no", "left_anti"), "unknown_tool", F.col("mold_no")),
+        rows(events.join(ids, "mold_no", "left_anti"), "unknown_tool", F.col("mold_no")),
         rows(known.join(equipment.select("equipment"), "equipment", "left_anti"), "unknown_equipment", F.col("equipment")),
         rows(missing_days(rated, production), "missing_day", F.col("day")),
         left.select("kind", none.alias("key"), "n").where("n > 0"),
@@ -228,7 +240,7 @@ def inspection_items(rows: DataFrame) -> DataFrame:
 
 def attach_inspection(items: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items of known tools, orphan ids)."""
-    known = records.select("mold_no")
+    known = records.select("mold_no").hint("merge")
     return items.join(known, "mold_no", "left_semi"), items.where("mold_no is not null").select("mold_no").distinct().join(known, "mold_no", "left_anti")
 
 
@@ -271,9 +283,10 @@ def production_runs(runs: DataFrame, daily_json: str = "defects_json") -> DataFr
     total = lambda f: F.when(F.size("daily") > 0, F.aggregate("daily", F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d[f], F.lit(0))))
     out = _covered(runs.drop("days_expected").withColumn("daily", F.from_json(daily_json, kind)))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
+    out = out.select(
         "mold_no", "install_seq", "line", F.col("equipment").alias("machine"), "started_at", "ended_at", "rate", total("produced").alias("produced"), total("defects").alias("defects"),
-        F.greatest(zero(F.size("daily")), F.lit(0)).alias("days_covered"), zero(F.col("days_expected")).alias("days_expected")).orderBy("mold_no", "install_seq")
+        F.greatest(zero(F.size("daily")), F.lit(0)).alias("days_covered"), zero(F.col("days_expected")).alias("days_expected"))
+    return staged(out, "production-runs").orderBy("mold_no", "install_seq")  # a sort by ranges reads its rows twice
 
 
 def tool_detail(records: DataFrame, runs: DataFrame, panels: DataFrame, design: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:

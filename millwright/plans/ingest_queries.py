@@ -292,8 +292,8 @@ def stage_panels(spark, d):
  SELECT mold_no, install_seq, line, equipment AS machine, started_at, ended_at, round(rate, 9) AS rate, produced, defects, coalesce(days_found, 0) AS days_covered, coalesce(days_expected, 0) AS days_expected FROM sq""")
 def production_runs(spark, d):
     """Runs with their daily rows stored as JSON, read back and summed."""
-    runs, production = staged(U.install_seq(_rated(spark, d)), "runs"), staged(V.production(spark, d), "production")
-    stored = runs.join(U.daily_lists(runs, production), ["mold_no", "started_at", "order_key"], "left")
+    runs = staged(U.install_seq(_rated(spark, d)), "runs")
+    stored = runs.join(U.daily_lists(runs, V.production(spark, d)), ["mold_no", "started_at", "order_key"], "left")
     out = U.production_runs(stored)
     return out.withColumns({"rate": F.round("rate", 9)} | {c: F.col(c).cast("long") for c in ("install_seq", "days_covered")})
 
