@@ -371,7 +371,9 @@ def _rated(spark, d):
 
 
 def _records(spark, d):
-    return U.tool_records(_tools(spark, d), _rated(spark, d), U.latest_locations(_ledger(spark, d)[0]))
+    events, tools = _ledger(spark, d)[0], staged(_tools(spark, d), "tools")
+    runs = U.resolve_runs(U.pair_runs(events), tools, U.equipment_index(V.master(spark, d)))
+    return U.tool_records(tools, U.defect_rates(runs, V.production(spark, d)), U.latest_locations(events))
 
 
 @query(f"WITH {_U} SELECT mold_no, equipment, equipment_code, line FROM ti")
@@ -435,8 +437,9 @@ def filter_options(spark, d):
  UNION ALL SELECT 'unmatched_run', NULL, count(*) FROM ra WHERE ended_at > started_at AND coalesce(days_found, 0) = 0 HAVING count(*) > 0) SELECT * FROM x""")
 def join_losses(spark, d):
     good, bad = _ledger(spark, d)
-    p = V.production(spark, d)
-    return U.losses(bad, good, _tools(spark, d), U.equipment_index(V.master(spark, d)), _rated(spark, d), p)
+    tools, equipment, p = staged(_tools(spark, d), "tools"), U.equipment_index(V.master(spark, d)), V.production(spark, d)
+    rated = staged(U.defect_rates(U.resolve_runs(U.pair_runs(good), tools, equipment), p), "rated-runs")
+    return U.losses(bad, good, tools, equipment, rated, p)
 
 
 @query(f"WITH {_U} SELECT mold_no, started_at, row_number() OVER (PARTITION BY mold_no ORDER BY started_at, order_key) AS install_seq, CASE WHEN ended_at IS NULL THEN '가동 중' WHEN coalesce(days_expected, 0) = 0 THEN '—' WHEN days_found >= days_expected THEN days_expected || '일' ELSE days_found || '/' || days_expected || '일' END AS coverage FROM ra")
@@ -451,7 +454,7 @@ def run_coverage(spark, d):
  SELECT hi.mold_no, runs, total_installs, total_production, first_installed_at, CASE WHEN c_custkey % 2 = 0 THEN 'iqc' ELSE 'pqc' END || '/L' || c_nationkey || '/' || c_name AS panels, running, CAST(NULL AS VARCHAR) AS design,
   CASE WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'ok' ELSE 'warn' END ELSE 'ok' END AS installed FROM hi JOIN customer ON hi.mold_no = 'RX' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')""")
 def tool_detail(spark, d):
-    r = U.install_seq(_rated(spark, d))
+    r = staged(U.install_seq(_rated(spark, d)), "rated-runs")  # read four times
     stage = F.when(F.col("order_key") % 2 == 0, "iqc").otherwise("pqc")
     panels = V.master(spark, d).select(S.normalize_tool("mold_no").alias("mold_no"), stage.alias("stage"), F.col("line").alias("status"), F.col("jig_name").alias("source_file"))
     tools = r.select("mold_no").distinct()

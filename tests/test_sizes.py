@@ -30,3 +30,24 @@ def test_daily_rows_are_not_broadcast_whole(spark):
     assert "SortMergeJoin [code" in physical(lists) and "BroadcastHashJoin [day" not in physical(lists)
     got = {r.mold_no: r.defects_json for r in lists.collect()}
     assert len(got) == 40 and all(x.count('"day"') == 100 and x.startswith('[{"day":"2024-01-01","produced":2,"defects":1}') for x in got.values())
+
+
+def test_one_pass_reads_the_ledger(spark, tmp_path):
+    """tool_records, list_tools, tool_detail, join_losses: the ledger's times were read anew for every use."""
+    rows = [("RX0001", "2024-01-01", "설비", "EQ1", 1), ("RX0001", "2024-01-03", "수리실", None, 2), ("x", "2024-01-03", "설비", None, 3)]
+    good, bad = U.clean_ledger(spark.createDataFrame(rows, "sheet string, event_at string, location string, equipment string, order_key long"))
+    assert all("try_to_timestamp" not in plan(df) and "gettimestamp" not in plan(df) for df in (good, bad))
+    assert good.count() == 2 and [r.reason for r in bad.collect()] == ["bad sheet name"]
+
+
+def test_production_of_other_codes_is_not_summed_up(spark):
+    """tool_records and its kin: all production rows were sorted and summed, though runs name few codes."""
+    runs, production = runs_and_production(spark)
+    seen, staged = [], U.staged
+    try:
+        U.staged = lambda df, name: seen.append((name, out := staged(df, name))) or out
+        rated = U.defect_rates(runs.withColumn("equipment", F.lit("E")), production)
+    finally:
+        U.staged = staged
+    assert {r.produced for r in rated.collect()} == {200}
+    assert max(df.count() for name, df in seen if name.startswith("production")) <= 3 * 100 + 2 * 3
