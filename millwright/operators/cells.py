@@ -120,13 +120,13 @@ def sheet_names(cells: DataFrame) -> DataFrame:
 def matching_layouts(cells: DataFrame, layouts: DataFrame, least: int = 3) -> DataFrame:
     """Every layout of the sheet's kind whose anchors all match; fewer than ``least`` never match.
 
-    Only cells at anchors are joined; layouts are few, so the optimiser broadcasts them by size.  An anchor
+    Only cells at anchors are joined; layouts are few and broadcast, whatever Spark takes their size for.  An anchor
     with an empty text matches an empty cell and one that isn't there.
     """
     a = layouts.select("id", "kind", F.size("anchors").alias("need"), F.explode("anchors").alias("a")).where(F.col("need") >= least)
     a = a.withColumn("at", S.a1_row_col("a.cell")).select("id", "kind", "need", F.col("at.row_no").alias("row_no"), F.col("at.col_no").alias("col_no"), S.normalize_text("a.text").alias("want"))
     a = a.withColumn("need", F.col("need") - F.sum((F.col("want") == "").cast("int")).over(W.partitionBy("id", "kind")))
-    met = cells.withColumn("value", S.normalize_text(cell_text())).join(a, ["kind", "row_no", "col_no"]).where("value = want or want = ''")
+    met = cells.withColumn("value", S.normalize_text(cell_text())).join(F.broadcast(a), ["kind", "row_no", "col_no"]).where("value = want or want = ''")
     per = met.groupBy(*SHEET, "id", "need").agg(F.count_if((F.col("want") != "") & (F.col("value") == F.col("want"))).alias("n"), F.count_if((F.col("want") == "") & (F.col("value") != "")).alias("against"))
     return per.where("n = need and against = 0").select(*SHEET, F.col("id").alias("layout_id"))
 
@@ -154,7 +154,8 @@ def table_rows(cells: DataFrame, picked: DataFrame, layouts: DataFrame, raw: boo
     cols = rows.select(*SHEET, "layout_id", "table_no", "end", "row_no", F.posexplode("columns").alias("position", "c"))
     cols = cols.select("*", F.col("c.field").alias("field"), S.a1_column("c.column").alias("col_no"))
     value = cells.select(*SHEET, "row_no", "col_no", cell_text().alias("value"), F.lit(True).alias("there"))
-    got = cols.join(value, [*SHEET, "row_no", "col_no"], "left")
+    # by their files cells may look small enough to broadcast when their rows are not
+    got = cols.join(value.hint("merge"), [*SHEET, "row_no", "col_no"], "left")
     blank = F.max(F.col("there").isNotNull() if raw else F.col("value").isNotNull())
     per = got.groupBy(*SHEET, "layout_id", "table_no", "end", "row_no").agg((~blank).alias("blank"), F.array_sort(F.collect_list(F.struct("position", "field", "value"))).alias("values"))
     stop = F.min(F.when(F.col("end").isNull() & F.col("blank"), F.col("row_no"))).over(W.partitionBy(*SHEET, "table_no"))
@@ -170,7 +171,7 @@ def parse_rows(cells: DataFrame, picked: DataFrame, layouts: DataFrame) -> DataF
     ``read_sheets`` reports them."""
     kv = picked.join(layouts.select(F.col("id").alias("layout_id"), F.posexplode("key_values").alias("position", "k")), "layout_id")
     kv = kv.withColumn("at", S.a1_row_col("k.value_cell")).select(*SHEET, "position", F.col("k.field").alias("field"), F.col("at.row_no").alias("row_no"), F.col("at.col_no").alias("col_no"))
-    kv = kv.join(cells.select(*SHEET, "row_no", "col_no", cell_text().alias("value")), [*SHEET, "row_no", "col_no"], "left")
+    kv = kv.join(cells.select(*SHEET, "row_no", "col_no", cell_text().alias("value")).hint("merge"), [*SHEET, "row_no", "col_no"], "left")
     kv = kv.groupBy(*SHEET, "field").agg(F.max_by(F.struct("value"), "position").alias("v"))
     defaults = kv.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("field", "v.value"))).alias("defaults"))
     last = F.filter("values", lambda v: ~F.exists("values", lambda w: (w["field"] == v["field"]) & (w["position"] > v["position"])))
@@ -217,7 +218,7 @@ def layout_gaps(cells: DataFrame, picked: DataFrame, layouts: DataFrame, least:
     filled = cells.withColumn("value", cell_text()).where("value is not null").select(*SHEET, "row_no", "col_no", "value")
     mapped = _tables(layouts).select("layout_id", "table_no", F.explode("columns").alias("c")).select("layout_id", "table_no", S.a1_column("c.column").alias("col_no"))
     detail = inside.join(_tables(layouts).select("layout_id", "table_no").distinct(), ["layout_id", "table_no"], "left_semi")
-    seen = filled.join(detail, [*SHEET, "row_no"]).groupBy(*SHEET, "layout_id", "table_no", "col_no").agg(F.min_by("value", F.struct("head", "row_no")).alias("v"))
+    seen = filled.hint("merge").join(detail, [*SHEET, "row_no"]).groupBy(*SHEET, "layout_id", "table_no", "col_no").agg(F.min_by("value", F.struct("head", "row_no")).alias("v"))
     columns = seen.join(mapped, ["layout_id", "table_no", "col_no"], "left_anti").withColumn("column", S.column_letters("col_no"))
     columns = columns.withColumn("hint", F.when(F.length("v") > hint, F.concat(F.substring("v", 1, hint), F.lit("…"))).otherwise(F.col("v"))).drop("v")
 
@@ -229,7 +230,7 @@ def layout_gaps(cells: DataFrame, picked: DataFrame, layouts: DataFrame, least:
     other = table_rows(cells, picked, layouts, raw=True, role=None).select(*SHEET, "row_no")
     covered = other.unionByName(before).unionByName(keys).unionByName(heads.select(*SHEET, "row_no")).distinct()
     thick = filled.groupBy(*SHEET, "row_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    open_rows = thick.join(covered, [*SHEET, "row_no"], "left_anti").join(picked.select(*SHEET), SHEET, "left_semi")
+    open_rows = thick.join(covered.hint("merge"), [*SHEET, "row_no"], "left_anti").join(picked.select(*SHEET), SHEET, "left_semi")
     island = F.col("row_no") - F.row_number().over(W.partitionBy(*SHEET).orderBy("row_no"))
     ranges = open_rows.withColumn("i", island).groupBy(*SHEET, "i").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
     label = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")))

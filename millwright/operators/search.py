@@ -55,8 +55,9 @@ def search_many(cells: DataFrame, index: DataFrame, words: DataFrame, rows: int
     few = asked.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     few = few.groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, rarest).alias("g"))
     few = few.select("word", F.size("g").alias("need"), F.explode("g.gram").alias("gram"))
-    met = few.join(held, "gram").groupBy("word", "need", *BLOCK).agg(F.count(F.lit(1)).alias("n")).where("n = need").select("word", *BLOCK)
+    # by their files postings and cells may look small enough to broadcast when their rows are not
+    met = few.join(held.hint("merge"), "gram").groupBy("word", "need", *BLOCK).agg(F.count(F.lit(1)).alias("n")).where("n = need").select("word", *BLOCK)
     some = cells.withColumn("block", _block(rows)).withColumn("value", cell_text())
-    found = met.join(some, BLOCK).where(F.contains(F.lower("value"), F.lower("word")))
+    found = met.hint("merge").join(some, BLOCK).where(F.contains(F.lower("value"), F.lower("word")))
     at = F.concat(S.column_letters("col_no"), F.col("row_no").cast("string"))
     return found.select("word", *SHEET, at.alias("cell"), "value")

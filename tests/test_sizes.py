@@ -1,10 +1,13 @@
 """What must not grow with the input: joins of two large tables, passes over them, shares of one task."""
 
+import re
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from millwright.operators import cells as C
 from millwright.operators import usage as U
+from millwright.plans import views as V
 
 
 def plan(df) -> str:
@@ -51,3 +54,18 @@ def test_production_of_other_codes_is_not_summed_up(spark):
         U.staged = staged
     assert {r.produced for r in rated.collect()} == {200}
     assert max(df.count() for name, df in seen if name.startswith("production")) <= 3 * 100 + 2 * 3
+
+
+CELL = "source_file string, kind string, sheet string, row_no int, col_no int, cell_type string, text string, num double, ts timestamp, bool boolean"
+
+
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """parse_rows, layout_row_gaps, indexed_search: cells looked small by their files and were sent to the driver whole."""
+    rows = [("f", "catalog", "s", r, c, "str", f"{n} {r}" if r > 1 else n, None, None, None) for r in range(1, 30) for c, n in ((1, "Name"), (2, "Type"), (3, "Size"))]
+    spark.createDataFrame(rows, CELL).write.parquet(f"{tmp_path}/cells")
+    cells, layouts = spark.read.parquet(f"{tmp_path}/cells"), V.layouts(spark)
+    picked = C.pick_layout(cells, layouts)
+    parsed, gaps = C.parse_rows(cells, picked, layouts), C.layout_gaps(cells, picked, layouts)[1]
+    for df in (parsed, gaps):
+        assert not re.search(r"BroadcastHashJoin \[source_file#\d+, sheet#\d+, row_no|BroadcastHashJoin \[kind.*BuildLeft", physical(df))
+    assert parsed.count() == 28 and gaps.count() == 0
