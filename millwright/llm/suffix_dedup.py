@@ -466,12 +466,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_bytes: bool = True,
 
     texts = docs.join(spots, ["doc", "tag"]).select("doc_id", "doc", "tag", "text", "spots")
     contexts = scratch.put(distinct(texts.mapInArrow(_context_rows(length), _CONTEXT)), "contexts")
-    shards, depth = contexts, 0
+    shards, depth = None, 0
     while (hot := contexts.groupBy("gram").count().where(F.col("count") > shard_rows).select("gram")).limit(1).count():
         hot = scratch.put(hot, f"hot-{depth}")
+        # halves have names of their own, so shards that were left as they are need not be looked at again
+        left = contexts.join(hot, "gram", "left_anti")
+        shards = left if shards is None else shards.unionByName(left)
         contexts = scratch.put(distinct(contexts.join(hot, "gram", "left_semi").mapInArrow(_split(length), _CONTEXT)), f"split-{depth}")
-        shards = shards.join(hot, "gram", "left_anti").unionByName(contexts)
         depth += 1
+    shards = contexts if shards is None else shards.unionByName(contexts)
     firsts = shards.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shards(length), "doc long, tag long, lo int, hi int")
     firsts = scratch.put(firsts.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "firsts")
     scratch.drop("contexts", *(n for n in scratch.paths if n.startswith(("hot-", "split-"))))
