@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millwright.llm import decontam, forest, packing, secrets, toxicity
-from millwright.llm.common import staged, table
+from millwright.llm.common import narrow_batches, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows with that same id the smallest text stays.  Texts without words and rows with a null id
     are linked with nothing and all stay."""
+    narrow_batches(spark)
     return forest.one_of_each(docs, 5, 80)
 
 
@@ -34,6 +35,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts hold none and stay; rows that repeat go or stay together.  Items with a null id
     or text say nothing; an empty benchmark keeps all."""
+    narrow_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -52,6 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     texts of more than 4096 tokens are cut."""
     import public_tokenizers
 
+    narrow_batches(spark)
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))).drop("ids")
 
 

@@ -34,10 +34,10 @@ CODES = _codes()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse powers for i < n (cached, grown by doubling)."""
+    """BASE**i and its inverse powers for i < n (cached, grown in steps)."""
     have = _POW.get("p")
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // 65_536) * 65_536
         inv = np.uint64(pow(int(BASE), -1, 1 << 64))
         for key, base in (("p", BASE), ("q", inv)):
             out = np.full(size, base, dtype=np.uint64)

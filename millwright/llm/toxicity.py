@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millwright.llm import textops as X
-from millwright.llm.common import held_out, staged
+from millwright.llm.common import held_out, narrow_batches, staged
 from millwright.llm.quality import labelled_rows
 
 DENSE, QUERIES = 256, 32  # terms, and queries, of one matrix product
 STEP = 1024  # examples that are added to the lists at a time
+SLICE = 1 << 18  # bytes of text that are looked at together
+KNOWN = 10_000  # texts whose scores a task keeps, and those of one slice more
 SLACK = (DENSE + 8) * 2.0**-22  # twice the error of a cosine in single precision, and some more
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x80:] = 1
@@ -73,21 +75,25 @@ class Examples:
     def __init__(self, space, idf, prior, doc, label, row, term, count, unseen: float = 1.0):
         self.space, self.idf, self.prior, self.unseen = space, idf, prior, unseen
         self.doc, self.label = doc, label
-        self.at = np.searchsorted(row, np.arange(len(doc) + 1))
-        self.term, self.count = term.astype(np.int32), count.astype(np.min_scalar_type(int(count.max()) if len(count) else 0))
+        self.at = np.searchsorted(row, np.arange(len(doc) + 1).astype(row.dtype))
+        self.term, self.count = term.astype(np.int32, copy=False), count.astype(np.min_scalar_type(int(count.max()) if len(count) else 0))
         self.ready = False
 
+    def clear(self) -> None:
+        """Leaves nothing: for the driver's copy, once the workers' is written."""
+        self.__dict__.clear()
+
     def _build(self) -> None:
         """Lists and matrix, in few arrays at a time, as every worker of an executor has its own."""
         n = len(self.doc)
-        self.norm = np.ones(n)
+        self.norm, held = np.ones(n), np.zeros(len(self.space), np.int64)
         for lo in range(0, n, STEP):  # rows end to end, so their values too
             hi = min(n, lo + STEP)
             row = np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1]))
             value = self.values(slice(self.at[lo], self.at[hi]), row + lo)
             norm = np.sqrt(np.bincount(row, value * value, hi - lo))
             self.norm[lo:hi] = np.where(norm > 0, norm, 1)
-        held = np.bincount(self.term, minlength=len(self.space))
+            held += np.bincount(self.term[self.at[lo] : self.at[hi]], minlength=len(self.space))
         most = np.argsort(-held, kind="stable")[:DENSE]
         self.column = np.full(len(self.space), -1, np.int32)
         self.column[most] = np.arange(len(most))
@@ -158,7 +164,7 @@ class Examples:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, off = X.flat(batch.column("text"))
-        for lo, hi in X.slices(off, 1 << 21):
+        for lo, hi in X.slices(off, SLICE):
             row, term, count = bags(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             at = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (term.view(np.int64), count.astype(np.int32))]
@@ -182,26 +188,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Exampl
     rows = labelled_rows(docs, labels, "toxic", sample_rows).select("doc_id", "label", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = staged(rows.mapInArrow(_examples, "doc_id long, label int, terms array<long>, counts array<int>"), "examples").toArrow()
     doc, label = (found.column(c).to_numpy().astype(t) for c, t in (("doc_id", np.int64), ("label", float)))
-    size = found.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # part by part: the hashes of all terms of all examples are several times what the index takes
+    terms, counts = found.column("terms").chunks, found.column("counts").chunks
+    del found
+    of = lambda part, kind: part.flatten().to_numpy(zero_copy_only=False).view(kind)
+    none = [np.zeros(0, np.int64)]
+    size = np.concatenate([*none, *(x.value_lengths().to_numpy(zero_copy_only=False) for x in terms)])
+    space = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(of(x, np.uint64)) for x in terms)]))
+    term = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(space, of(x, np.uint64)).astype(np.int32) for x in terms)])
+    count = np.concatenate([np.zeros(0, np.int32), *(of(x, np.int32) for x in counts)])
+    del terms, counts
     order = np.lexsort((size, label, doc))
-    at = _ranges((np.cumsum(size) - size)[order], size[order])
-    word = found.column("terms").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at].view(np.uint64)
-    count = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at].astype(np.int32)
-    del found, at
+    places = [slice(b - n, b) for b, n in zip(np.cumsum(size)[order].tolist(), size[order].tolist())]
+    term, count = (np.concatenate([x[:0], *(x[p] for p in places)]) for x in (term, count))
     doc, label, size = doc[order], label[order], size[order]
     prior = float(label.mean()) if len(label) else 0.5
-    ends = np.cumsum(size)
+    at = np.append(0, np.cumsum(size))
     # equal examples count once
     known: dict[bytes, int] = {}
-    lead = np.array([known.setdefault(_key(word[b - n : b], count[b - n : b]), r) == r for r, (b, n) in enumerate(zip(ends.tolist(), size.tolist()))], bool)
+    lead = np.array([known.setdefault(_key(term[a:b], count[a:b]), r) == r for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()))], bool)
     del known
-    space = np.unique(word)
-    term = np.searchsorted(space, word).astype(np.int32)
-    del word
+    n, t = np.zeros(len(space)), np.zeros(len(space))
+    for lo in range(0, len(doc), STEP):
+        hi = min(len(doc), lo + STEP)
+        row = np.repeat(np.arange(lo, hi), size[lo:hi])
+        once = lead[row]
+        of_once = term[at[lo] : at[hi]][once]
+        n += np.bincount(of_once, minlength=len(space))
+        t += np.bincount(of_once, label[row[once]], len(space))
     row = np.repeat(np.arange(len(doc), dtype=np.int32), size)
-    once = lead[row]
-    n = np.bincount(term[once], minlength=len(space)).astype(float)
-    t = np.bincount(term[once], label[row[once]], len(space))
     total, toxic = float(lead.sum()), float(label[lead].sum())
     weight = (np.log((1 + total) / (1 + n)) + 1) * (1 + _ratio(n, t, total, toxic)) if len(space) else np.zeros(0)
     return Examples(space, weight, prior, doc, label, row, term, count, np.log(1 + total) + 1)
@@ -228,11 +243,13 @@ def _score(shared, k: int, shrink: float, evidence: bool = False, text: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Examples = shared.value
+        known: dict[bytes, tuple] = {}  # equal texts are looked up once, as long as few are known
         for batch in batches:
             scores, found = np.full(batch.num_rows, index.prior), [_NONE] * batch.num_rows if evidence else []
             body, off = X.flat(batch.column("text"))
-            known: dict[bytes, tuple] = {}  # equal texts are looked up once a batch
-            for lo, hi in X.slices(off, 1 << 20) if len(index.space) else ():
+            for lo, hi in X.slices(off, SLICE) if len(index.space) else ():
+                if len(known) > KNOWN:
+                    known.clear()
                 row, word, count = bags(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 p = np.minimum(np.searchsorted(index.space, word), len(index.space) - 1)
                 hit = index.space[p] == word
@@ -258,6 +275,15 @@ def _score(shared, k: int, shrink: float, evidence: bool = False, text: bool = F
     return run
 
 
+def _shared(docs: DataFrame, labels: DataFrame, sample_rows: int):
+    """The index for the workers; the driver keeps none of it."""
+    narrow_batches(docs.sparkSession)
+    index = fit(docs, labels, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    index.clear()
+    return shared
+
+
 _EVIDENCE = "evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
 
 
@@ -268,7 +294,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_00
     empty table gives an empty one, very long texts count with all their words, and columns besides
     doc_id and text are never read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
+    shared = _shared(docs, labels, sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(_score(shared, k, shrink, evidence=True), f"doc_id long, score double, {_EVIDENCE}")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")
@@ -276,7 +302,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_00
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, k: int = 10, shrink: float = 0.5, cut: float = 0.7) -> DataFrame:
     """``docs`` without the rows whose score reaches ``cut``; columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
+    shared = _shared(docs, labels, sample_rows)
     # the text goes to the workers once; one of another type stays in the row as well
     apart = dict(docs.dtypes).get("text") == "string" and len(docs.columns) > 1
     others = [c for c in docs.columns if not (apart and c == "text")]

@@ -2,7 +2,11 @@
 
 import random
 
+import pyarrow as pa
+
 from millwright.llm import suffix_dedup as D
+from millwright.llm import toxicity
+from millwright.llm.common import BATCH, BATCH_BYTES, narrow_batches
 
 
 def test_split_shards_leave_the_others_alone(spark, monkeypatch):
@@ -30,3 +34,25 @@ def test_split_shards_leave_the_others_alone(spark, monkeypatch):
         if "Join LeftAnti" in line:
             assert open_at is None  # no anti join over the result of another
             open_at = at
+
+
+def test_texts_go_to_python_in_narrow_batches(spark, monkeypatch):
+    """Pipeline, toxicity: 10,000 texts were one batch, and the driver kept the index that it had sent out."""
+    own, made = spark.newSession(), []
+    rows = [(k, ("good words " if k % 2 else "bad words ") * 400) for k in range(3000)]
+    docs = own.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = own.createDataFrame([(k, 1, 1 - k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *args: made.append(fit(*args)) or made[-1])
+    kept = toxicity.without_toxic(docs, labels)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    assert max(r.size for r in docs.mapInArrow(sizes, "n long, size long").collect()) < 2 * BATCH_BYTES
+    assert not vars(made[0])
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(1, 3000, 2))
+    own.conf.set(BATCH, "1000000")
+    narrow_batches(own)  # what the session sets stays
+    assert own.conf.get(BATCH) == "1000000"
