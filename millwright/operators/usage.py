@@ -36,8 +36,11 @@ def equipment_index(master: DataFrame) -> DataFrame:
 
 
 def production_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(last row of each (day, code), unreadable rows).  Rows without a code are totals and vanish."""
+    """(last row of each (day, code), unreadable rows).  Rows without a code are totals and vanish.
+
+    The rows are read and written once: both results, and the filters on what was read, would read them anew."""
     rows = rows.withColumn("equipment_code", S.blank_to_null(F.col("equipment_code"))).where("equipment_code is not null").select(S.run_date("run_date").alias("day"), F.col("equipment_code").alias("code"), S.to_int("produced").alias("produced"), S.to_int("defects").alias("defects"), "order_key")
+    rows = staged(rows, "production-rows")
     good = F.col("day").isNotNull() & F.col("produced").isNotNull() & F.col("defects").isNotNull()
     return last_production(rows.where(good)), rows.where(~good)
 
