@@ -157,8 +157,11 @@ def settling_stream(spark, d):
         last.select("lot_id", F.timestamp_seconds("at").alias("worked_at"), F.lit(ST.MEAN).alias("kind"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("double").alias("wet_mean")).write.mode("append").parquet(f"{folder}/in")
     own = spark.newSession()
     own.conf.set(ST.STATE_STORE, ST.ROCKS)
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 12).parquet(f"{folder}/in")
+    # a partition of the state costs about a second in every batch, however few rows it has
+    own.conf.set("spark.sql.shuffle.partitions", min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    # a quarter of the files at a time: as many batches whatever the input's size
+    files = -(-(len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles()) - 2) // 4)
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files)).parquet(f"{folder}/in")
     found = ST.stream_settling(stream, 6 * HOUR, 1.1, 2, 48 * HOUR, "2 days", 30 * 24 * HOUR)
     found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(ST.OUT).parquet(f"{folder}/out")

@@ -8,6 +8,7 @@ soon as nothing later can change them, at their deadline at the latest.  A lot w
 
 from __future__ import annotations
 
+import bisect
 import math
 import pickle
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ class Lot:
     microseconds.
     """
 
+    timer: int | None = None  # milliseconds; what is read from an older state has none
+
     def __init__(self):
         self.n, self.last, self.seen, self.items, self.events, self.trail, self.waiting = 0, None, None, set(), [], [], []
 
@@ -98,25 +101,31 @@ class Settling(StatefulProcessor):
         self.state = handle.getValueState("lot", "body binary")
 
     def _load(self) -> Lot:
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else Lot()
+        held = self.state.get()
+        return pickle.loads(held[0]) if held else Lot()
 
     def _advance(self, lot: Lot, now: int) -> list[dict]:
         out = []
-        while lot.waiting and lot.waiting[0][0] <= now:
-            row = lot.waiting.pop(0)
+        due = bisect.bisect_right(lot.waiting, now, key=lambda r: r[0])
+        rows, lot.waiting = lot.waiting[:due], lot.waiting[due:]
+        for row in rows:
             out += lot.done(row[0] - 1, self.merge, self.wait)  # what ended before this row
             lot.take(*row, self.merge, self.std_max, self.window)
         return out + lot.done(now, self.merge, self.wait)
 
-    def _close(self, key: tuple, lot: Lot, now: int) -> Iterator[pd.DataFrame]:
+    def _close(self, key: tuple, lot: Lot, now: int, expired: int | None = None) -> Iterator[pd.DataFrame]:
         out = self._advance(lot, now)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        # every call of the handle is a round trip to the JVM, so a lot remembers its timer; one that ran has gone by itself
+        held, lot.timer = lot.timer, None
         if not lot.waiting and not lot.events and lot.seen is not None and now > lot.seen + self.idle:
             self.state.clear()
         else:
+            lot.timer = -(-lot.wake(self.merge, self.wait, self.idle) // 1000)
             self.state.update((pickle.dumps(lot),))
-            self.handle.registerTimer(-(-lot.wake(self.merge, self.wait, self.idle) // 1000))
+            if lot.timer != held:
+                self.handle.registerTimer(lot.timer)
+        if held is not None and held not in (expired, lot.timer):
+            self.handle.deleteTimer(held)
         if out:
             late = lambda e: e["settled"] is None or e["settled"] - e["at"] > self.wait
             stamp = lambda t: pd.Timestamp(t, unit="us")
@@ -137,7 +146,7 @@ class Settling(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         lot = self._load()
-        yield from self._close(key, lot, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._close(key, lot, timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
